@@ -23,6 +23,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.signature_join import jaccard_components
+
+    return jaccard_components(spark, _documents(spark, sf_dir))[0]
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix_sources
 
@@ -66,7 +72,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_source_mixing, op3_trie_token_counts, op6_sstable_token_ids, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op6_sstable_token_ids, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
