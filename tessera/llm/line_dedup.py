@@ -154,4 +154,5 @@ def line_dedup_digest(spark: SparkSession, docs: DataFrame, min_docs: int = 10)
     """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs."""
     scratch = Scratch(spark, "line-dedup")
     maps = scratch.cut(keep_bitmaps(scratch, docs, min_docs).groupBy("doc_id").agg(F.collect_list("gone").alias("gone")), "bitmaps")
-    return docs.select("doc_id", "text").join(maps, "doc_id", "left").mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    # the same plan at every size: text is shuffled once, never beside a broadcast of the bitmaps
+    return docs.select("doc_id", "text").join(maps.hint("merge"), "doc_id", "left").mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
