@@ -41,6 +41,12 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import quality_rules
+
+    return quality_rules(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sstable import sstable_digest
 
@@ -72,8 +78,10 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op6_sstable_token_ids, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op5_risk_controlled_rules, op6_sstable_token_ids, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    from tessera.llm.quality_rules import ORACLE
+
+    return {"op5_risk_controlled_rules": ORACLE, "op10_line_dedup": OP10_SQL}
