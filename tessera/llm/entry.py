@@ -41,6 +41,12 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import contaminated
+
+    return contaminated(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import quality_rules
 
@@ -53,6 +59,18 @@ def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable_digest(spark, _documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import personal_data_digest
+
+    return personal_data_digest(spark, _documents(spark, sf_dir))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_classifier import quality_scores
+
+    return quality_scores(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.line_dedup import line_dedup_digest
 
@@ -78,7 +96,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op5_risk_controlled_rules, op6_sstable_token_ids, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op8_personal_data, op9_quality_classifier, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
