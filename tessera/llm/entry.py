@@ -59,6 +59,12 @@ def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable_digest(spark, _documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op7_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pfp_dedup import repeats_digest
+
+    return repeats_digest(spark, _documents(spark, sf_dir))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import personal_data_digest
 
@@ -96,7 +102,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op8_personal_data, op9_quality_classifier, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op7_prefix_free_repeats, op8_personal_data, op9_quality_classifier, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
