@@ -19,6 +19,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -215,19 +216,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.gap = self.tokenizer.token_to_id(self.GAP)
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids as one array, with the start and length of each word in it."""
+        start, length, flat, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         plain = [i for i, w in enumerate(words) if "<|" not in w]
         for a in range(0, len(plain), 2000):
             part = plain[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.GAP.join(words[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
-            for i, x in zip(part, np.split(ids, np.flatnonzero(ids == self.gap)), strict=True):
-                out[i] = x
-            for i in part[1:]:
-                out[i] = out[i][1:]
-        for i in set(range(len(words))) - set(plain):
-            out[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
-        return out
+            ids = np.array(self.tokenizer.encode_batch_fast([self.GAP.join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
+            gaps = np.flatnonzero(ids == self.gap)
+            begin = np.concatenate(([0], gaps + 1))
+            start[part], length[part] = at + begin, np.concatenate((gaps, [len(ids)])) - begin
+            flat.append(ids)
+            at += len(ids)
+        for i in sorted(set(range(len(words))) - set(plain)):
+            ids = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            start[i], length[i] = at, len(ids)
+            flat.append(ids)
+            at += len(ids)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), start, length
 
 
 class _Cache:
@@ -252,18 +258,21 @@ class _Cache:
         if not known.all():
             new = first[~known]
             data = raw.tobytes()
-            ids = self.encoder.words([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = len(self.flat) + np.cumsum(length) - length
-            self.flat = np.concatenate([self.flat, *ids])
-            order = np.argsort(merged := np.concatenate((self.keys, keys[~known])), kind="stable")
-            self.keys = merged[order]
-            self.start = np.concatenate((self.start, start))[order]
-            self.length = np.concatenate((self.length, length))[order]
+            ids, start, length = self.encoder.words([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            start += len(self.flat)
+            self.flat = np.concatenate((self.flat, ids))
+            place = at[~known]  # both sides are sorted: a merge by insertion
+            self.start, self.length, self.keys = np.insert(self.start, place, start), np.insert(self.length, place, length), np.insert(self.keys, place, keys[~known])
             at = np.searchsorted(self.keys, keys)
         return self.start[at][back], self.length[at][back]
 
 
+@lru_cache(2)
+def _worker_cache(vocabulary: str) -> _Cache:
+    """One cache a Python worker, kept from task to task."""
+    return _Cache(WordEncoder(vocabulary))
+
+
 def encode_rows(cache: _Cache, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a text column, and the n + 1 offsets of its rows."""
     raw, at = text_buffer(column)
@@ -279,14 +288,14 @@ def _write_shards(folder: str, vocabulary: str, end_id: int):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        cache = _Cache(WordEncoder(vocabulary))
+        cache = _worker_cache(vocabulary)
         fs, base = store(folder)
         name = f"shard-{context.partitionId():06d}.sst"
         writing = f"{base}/_{name}-{context.taskAttemptId()}"
         fs.create_dir(base, recursive=True)
         out, writer, low, high = None, None, None, None
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 23):
                 ids, at = encode_rows(cache, batch.column(1))
                 small = not len(ids) or int(ids.max()) < 1 << 16
                 end = np.array([end_id], np.uint32)
