@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def describe(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -127,7 +128,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, by: tuple[st
     return s.select(*by, "n1", "n2", u.alias("u"), z.alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: min(1.0, 2 * normal_tail(abs(v))))
 
