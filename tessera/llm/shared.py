@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +55,60 @@ class Scratch:
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Edges that one task contracts at once.
+CONTRACT = 1 << 21
+
+
+def smallest_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reached) of an edge list that fits a task: hooking and pointer jumps."""
+    nodes, back = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = back[: len(u)].copy(), back[len(u) :].copy()
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            jump = label[label]
+            if (jump == label).all():
+                break
+            label = jump
+    return nodes, nodes[label]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges -> stars of the forest that the rows of this task span; holds CONTRACT edges at a time."""
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, low = smallest_labels(u, v)
+        keep = node != low
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(low[keep])], ["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        size += batch.num_rows
+        if size >= 2 * CONTRACT:
+            yield from stars()
+            held, size = [], 0
+    if held:
+        yield from stars()
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reached.
 
-    Alternating large-star and small-star steps. Minima are pre-aggregated and
-    written before the join, so that a hub's rows can be split by AQE.
+    Tasks first contract their edges to stars. Edges of one task are then done; others go on with alternating large-star
+    and small-star steps, whose minima are pre-aggregated and written before the join, so that AQE can split a hub's rows.
     """
-    now = scratch.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    first = scratch.cut(edges.where("u <> v").select("u", "v"), "edges")
+    tasks = max(1, -(-first.count() // CONTRACT))
+    now = scratch.cut(first.coalesce(tasks).mapInArrow(_contract, "u long, v long"), "stars")
+    scratch.drop(first)
     seen = None
-    for _ in range(60):
+    while tasks > 1:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = scratch.cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
