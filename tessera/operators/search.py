@@ -154,7 +154,8 @@ def per_run(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame,
         return run(ids, _graph_of(t, ids), p.iloc[0])
 
     # parameters are a small table of the caller; the graph repeats once a run, which is the work itself
-    return params.groupBy(*key).cogroup(params.select(*key).distinct().crossJoin(rows).groupBy(*key)).applyInPandas(one, schema)
+    again = params.select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
+    return params.groupBy(*key).cogroup(again.crossJoin(rows).groupBy(*(f"_{k}" for k in key))).applyInPandas(one, schema)
 
 
 def leiden_runs(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame) -> DataFrame:

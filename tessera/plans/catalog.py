@@ -663,8 +663,8 @@ def sel06_baseline_profile(s, d):
 THRESH = "SELECT f.*, t.threshold FROM front f, (SELECT unnest([4.0, 6.0, 8.0])::DOUBLE AS threshold) t"
 
 
-@query(A.sql("SELECT p.run, p.threshold, p.solution_id, round(avg(CASE WHEN cluster_count > rows_.threshold THEN 1.0 ELSE 0 END), 6)::DOUBLE AS trimmed_share FROM pick p JOIN rows_ ON p.run = rows_.run AND p.threshold = rows_.threshold GROUP BY 1, 2, 3", "front", rows_=THRESH,
-    kept="SELECT * FROM rows_ WHERE cluster_count <= threshold", ok="SELECT * FROM (SELECT *, bool_or(feasible) OVER (PARTITION BY run, threshold) AS some FROM kept) WHERE feasible OR NOT some", q="SELECT *, max(weighted_modularity) OVER (PARTITION BY run, threshold) AS qm FROM ok",
+@query(A.sql("SELECT p.run, p.threshold, p.solution_id, round(avg(CASE WHEN rows_.cluster_count > rows_.threshold THEN 1.0 ELSE 0 END), 6)::DOUBLE AS trimmed_share FROM pick p JOIN rows_ ON p.run = rows_.run AND p.threshold = rows_.threshold GROUP BY 1, 2, 3", "front", rows_=THRESH,
+    kept="SELECT * FROM rows_ WHERE cluster_count <= threshold", ok="SELECT * FROM (SELECT *, bool_or(feasible) OVER (PARTITION BY run, threshold) AS any_ok FROM kept) WHERE feasible OR NOT any_ok", q="SELECT *, max(weighted_modularity) OVER (PARTITION BY run, threshold) AS qm FROM ok",
     pick="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, threshold ORDER BY imbalance, weighted_modularity DESC, coupling, solution_id) AS k FROM q WHERE (qm - weighted_modularity) / qm <= 0.05 + 1e-12) WHERE k = 1"))
 def sel08_thresholds(s, d):
     return rounded(S.threshold_sensitivity(A.front(s, d), ("run",), "cluster_count", (4, 6, 8)).select("run", "threshold", "solution_id", "trimmed_share"))
