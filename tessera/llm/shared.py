@@ -33,8 +33,11 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "part", codec: str = "lz4_raw") -> DataFrame:
-        """Write df and read it back: the lineage ends here, and the size is known."""
+    def cut(self, df: DataFrame, name: str = "part", codec: str = "zstd") -> DataFrame:
+        """Write df and read it back: the lineage ends here, and the size is known.
+
+        zstd, not lz4_raw, whose pages Spark's own reader failed to decode on some data.
+        """
         path = self.path(name)
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
