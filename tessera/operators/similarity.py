@@ -99,23 +99,22 @@ def largest_matching(edges: list[tuple[int, int]]) -> int:
     out: dict[int, list[int]] = {}
     for a, b in edges:
         out.setdefault(a, []).append(b)
-    owner: dict[int, int] = {}
+    owner: dict[int, int] = {}  # column -> row
+    mate: dict[int, int] = {}  # row -> column
 
     def grow(start: int) -> bool:
-        todo, came, seen = [start], {}, set()
+        todo, came = [start], {}
         while todo:
             a = todo.pop()
             for b in out[a]:
-                if b in seen:
+                if b in came:
                     continue
-                seen.add(b)
                 came[b] = a
                 if b not in owner:
-                    while True:
+                    while b is not None:  # flip the path back to the start
                         a = came[b]
-                        b, owner[b] = next((k for k, v in owner.items() if v == a), None), a
-                        if b is None:
-                            return True
+                        owner[b], mate[a], b = a, b, mate.get(a)
+                    return True
                 todo.append(owner[b])
         return False
 
