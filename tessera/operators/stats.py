@@ -69,14 +69,14 @@ def wilcoxon_p(n: int, w_plus: float, w_minus: float, ties: float) -> float:
 
 
 def wilcoxon(ranks: DataFrame, degenerate: tuple[float, float] = (0.0, 1.0), least: int = 1) -> DataFrame:
-    """statistic and p_value; fewer than `least` non-zero differences give the degenerate pair."""
+    """statistic and p_value; fewer than `least` non-zero differences give the degenerate pair (NaN comes back as null)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             out = [degenerate if n < least else (min(a, b), wilcoxon_p(int(n), a, b, s)) for n, a, b, s in zip(t.nonzero, t.w_plus, t.w_minus, t.ties, strict=True)]
             yield t.assign(statistic=[float(x[0]) for x in out], p_value=[float(x[1]) for x in out])
 
-    return ranks.mapInPandas(run, ranks.withColumns({"statistic": F.lit(0.0), "p_value": F.lit(0.0)}).schema)
+    return ranks.mapInPandas(run, ranks.withColumns({"statistic": F.lit(None).cast("double"), "p_value": F.lit(None).cast("double")}).schema)
 
 
 def holm(tests: DataFrame, p: str = "p_value", by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
