@@ -26,7 +26,7 @@ ALPHA, DELTA = 0.01, 0.05
 RULES = {
     "symbols": ("1000 * n_symbols div greatest(n_words, 1)", (100, 200, 300, 400, 600, 800)),
     "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", (200, 300, 400)),
-    "lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (300, 400, 500, 700)),
+    "lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", (600, 800)),
     "length": ("100 * word_chars div greatest(n_words, 1)", (650, 700, 750, 800, 900, 1000)),
 }
 SPACE = r"[\\x20\\x09-\\x0D]"
