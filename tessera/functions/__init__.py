@@ -1 +1,14 @@
+"""Column functions of the operators, in one place."""
 
+from tessera.operators.fronts import dominates, imbalance_bound, normalized
+from tessera.operators.graph import configured_weight, normalized_weight, weight_or_zero
+from tessera.operators.partition import canonical_labels, safe_ratio
+from tessera.operators.selection import relative_gain, relative_loss
+from tessera.operators.stats import average_rank, relative_delta, snapped_delta, two_sided_p
+from tessera.operators.text import clean_identifier, compose, declaration_of, literal_class, nfkc, normal_type, package_of, scaled, simple_name, split_identifier, vector_hash
+from tessera.operators.vectors import cosine, norm
+
+__all__ = [
+    "average_rank", "canonical_labels", "clean_identifier", "compose", "configured_weight", "cosine", "declaration_of", "dominates", "imbalance_bound", "literal_class", "nfkc", "norm", "normal_type",
+    "normalized", "normalized_weight", "package_of", "relative_delta", "relative_gain", "relative_loss", "safe_ratio", "scaled", "simple_name", "snapped_delta", "split_identifier", "two_sided_p", "vector_hash", "weight_or_zero",
+]
