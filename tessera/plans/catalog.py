@@ -409,7 +409,7 @@ def sim01_similarity(s, d):
 
 
 ALL = "SELECT i, j, n, sum(n) OVER (PARTITION BY i, j, l) AS a, sum(n) OVER (PARTITION BY i, j, r) AS b FROM (SELECT x.solution_id AS i, y.solution_id AS j, x.cluster_id AS l, y.cluster_id AS r, count(*) AS n FROM cand x JOIN cand y ON x.class_id = y.class_id AND x.solution_id < y.solution_id GROUP BY 1, 2, 3, 4)"
-PAIRS = f"SELECT i, j, (sn - sa * sb / (t * (t - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2.0)) AS ari, ({NMI}) / ((ln(t) - la / t + ln(t) - lb / t) / 2) AS nmi_arithmetic FROM (SELECT i, j, {ROW[7:].replace('FROM cont', 'FROM all_ GROUP BY 1, 2')})"
+PAIRS = f"SELECT i, j, CASE WHEN abs((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2.0)) < 1e-12 THEN 1.0 ELSE (sn - sa * sb / (t * (t - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2.0)) END AS ari, ({NMI}) / ((ln(t) - la / t + ln(t) - lb / t) / 2) AS nmi_arithmetic FROM (SELECT i, j, {ROW[7:].replace('FROM cont', 'FROM all_ GROUP BY 1, 2')})"
 
 
 @query(A.sql("SELECT i, j, round(ari, 6)::DOUBLE AS ari, round(nmi_arithmetic, 6) AS nmi_arithmetic FROM p", "cand", all_=ALL, p=PAIRS))
@@ -443,7 +443,7 @@ def sim11_matching(s, d):
     return C.overlap_matching(A.labels(s, d), A.labels_mod(s, d))
 
 
-@query(A.sql("SELECT round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(2 * p * r / (p + r), 6)::DOUBLE AS f1 FROM (SELECT sn / sa AS p, sn / sb AS r FROM w)", *CONT, w=ROW))
+@query(A.sql("SELECT round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, CASE WHEN p + r = 0 THEN 0.0 ELSE round(2 * p * r / (p + r), 6) END::DOUBLE AS f1 FROM (SELECT CASE WHEN sa = 0 THEN 0.0 ELSE sn / sa END AS p, CASE WHEN sb = 0 THEN 0.0 ELSE sn / sb END AS r FROM w)", *CONT, w=ROW))
 def ref03_pairwise(s, d):
     return rounded(C.pair_counts(A.labels(s, d), A.labels_mod(s, d)))
 
