@@ -925,8 +925,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from tessera.plans import catalog_more  # noqa: F401  registers further queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import catalog_more  # noqa: F401
+
     return dict(_SQL)
