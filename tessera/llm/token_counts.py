@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.kernels import _TABLE, mix, powers, ragged, slices, span_hashes, text_buffer, word_bounds
+from tessera.sources.shipping import ship
 
 LONG = 96
 
@@ -166,4 +167,5 @@ def _counts(path: str, limit: int = 1 << 24):
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens for every row of docs."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_counts(path), "doc_id long, n_pretokens long, n_tokens long")
