@@ -6,8 +6,9 @@ Candidates: base spans, and looser forms of the same kinds that no base span cov
 a plus sign, cards with other separators, defanged addresses, spelled-out mail addresses).
 Labelers vote 1, 0 or -1 on each candidate: the strict regex, a gazetteer (top-level domains, first digits of card
 issuers, reserved numbers), context words before the span, and the characters around it.
-Expectation-maximisation estimates each labeler's reliability and the share of true spans from the counts of vote patterns;
-a logistic model of span features is then fitted to the posteriors and decides on the candidates.
+Expectation-maximisation estimates each labeler's reliability, and the share of true spans among the looser ones, from the counts of
+vote patterns; base spans count as true there.
+A logistic model of span features is then fitted to the posteriors and decides on the candidates.
 Only counts of (votes, features) are gathered: a bounded number of patterns, however many rows there are.
 
 Null or empty text has no spans. Patterns use possessive loops and start at the first character of a run, so time stays linear on
@@ -33,19 +34,19 @@ STRICT = {
 #: Cheap tests that a text can hold a match at all.
 GUARD = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|@|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+){1,8}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|\x20?\.\x20?)[0-9]{1,3}+){2}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}+(?:(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}+){1,8}+|\x20at\x20[A-Za-z0-9-]{1,63}+(?:\x20dot\x20[A-Za-z0-9-]{1,63}+){1,8}+)",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\))[0-9]{1,3}+){3}+",
     "card": r"(?<![0-9])[0-9]{4}[._/\x20-]{1,2}[0-9]{4}[._/\x20-]{1,2}[0-9]{4}[._/\x20-]{1,2}[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3,4}[\x20./-])[0-9]{3}[\x20./-][0-9]{4}(?![0-9])",
 }
-LOOSE_GUARD = {"email": r"(?:\(|\[|\{|\x20)(?:at|dot)(?:\)|\]|\}|\x20)", "ip": r"[0-9](?:\[\.\]|\(\.\)|\x20\.)", "card": "[0-9]{4}[._/\\x20-]", "phone": "[0-9]{3}[\\x20./-][0-9]{4}"}
+LOOSE_GUARD = {"email": r"(?:\(at\)|\[at\]|\{at\}|\x20dot\x20)", "ip": r"[0-9](?:\[\.\]|\(\.\))[0-9]", "card": "[0-9]{4}[._/\\x20-]", "phone": "[0-9]{3}[\\x20./-][0-9]{4}"}
 #: Fixed values of the gazetteers.
 DOMAINS = ("com", "org", "net", "edu", "gov", "int", "info", "io", "de", "fr", "es", "uk", "us", "eu")
 CONTEXT = {"email": "mail|contact|write|reach", "ip": r"\bip\b|address|host|server|login", "card": "card|visa|master|credit|payment|account", "phone": "phone|call|tel|mobile|cell|fax|contact"}
 AGAINST = r"(?:order|invoice|isbn|issn|version|no\.|nr\.|ref|id|serial|[$€£#])\s*$"
 SPANS = "array<struct<s:int,e:int,t:string>>"
 N_FEATURES = 6
-EM_ROUNDS, FIT_ROUNDS, ACCEPT = 20, 200, 0.9
+EM_ROUNDS, FIT_ROUNDS, ACCEPT = 20, 400, 0.9
 
 
 def _found(name: str) -> str:
@@ -109,16 +110,17 @@ def fit(found: DataFrame) -> tuple[list[float], list[float]]:
     patterns = found.select(F.explode("found").alias("f")).groupBy("f.votes", "f.x").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "x", "n"))).alias("p"))  # bounded: 3^4 votes x 2^6 features
     logit = "ln(m[0] / (1 - m[0])) + aggregate(sequence(0, 3), 0D, (s, j) -> s + r.votes[j] * ln(m[j + 1] / (1 - m[j + 1])))"
-    post = f"transform(p, r -> named_struct('v', r.votes, 'n', r.n, 'q', 1 / (1 + exp(-({logit})))))"
+    chance = f"if(r.votes[0] = 1, 1D, 1 / (1 + exp(-({logit}))))"  # base spans anchor the labelers
+    post = f"transform(p, r -> named_struct('v', r.votes, 'n', r.n, 'q', {chance}))"
     clip = lambda v, low: f"least(0.99D, greatest({low}D, {v}))"
-    share = clip("aggregate(z, 0D, (s, r) -> s + r.n * r.q) / aggregate(z, 0D, (s, r) -> s + r.n)", 0.01)
+    share = clip("aggregate(z, 0.5D, (s, r) -> s + if(r.v[0] = 1, 0D, r.n * r.q)) / aggregate(z, 1D, (s, r) -> s + if(r.v[0] = 1, 0D, r.n))", 0.01)
     good = "aggregate(z, 1D, (s, r) -> s + r.n * if(r.v[j] = 1, r.q, if(r.v[j] = -1, 1 - r.q, 0D)))"
     told = "aggregate(z, 2D, (s, r) -> s + if(r.v[j] = 0, 0D, r.n))"
     step = f"transform(array({post}), z -> concat(array({share}), transform(sequence(0, 3), j -> {clip(f'{good} / {told}', 0.55)})))[0]"
-    em = one.selectExpr("p", f"aggregate(sequence(1, {EM_ROUNDS}), array(0.5D, 0.9D, 0.7D, 0.7D, 0.7D), (m, i) -> {step}) AS m").selectExpr("p", "m", f"transform(p, r -> 1 / (1 + exp(-({logit})))) AS q")
+    em = one.selectExpr("p", f"aggregate(sequence(1, {EM_ROUNDS}), array(0.5D, 0.9D, 0.7D, 0.7D, 0.7D), (m, i) -> {step}) AS m").selectExpr("p", "m", f"transform(p, r -> {chance}) AS q")
     total = "aggregate(p, 0D, (s, r) -> s + r.n)"
     error = f"(q[k] - 1 / (1 + exp(-aggregate(sequence(0, {N_FEATURES - 1}), 0D, (s, j) -> s + w[j] * p[k].x[j])))) * p[k].n / t"
-    gradient = f"transform(array(transform(sequence(0, size(p) - 1), k -> {error})), g -> transform(sequence(0, {N_FEATURES - 1}), j -> 0.998D * w[j] + 2D * aggregate(sequence(0, size(p) - 1), 0D, (s, k) -> s + g[k] * p[k].x[j])))[0]"
+    gradient = f"transform(array(transform(sequence(0, size(p) - 1), k -> {error})), g -> transform(sequence(0, {N_FEATURES - 1}), j -> 0.9998D * w[j] + 2D * aggregate(sequence(0, size(p) - 1), 0D, (s, k) -> s + g[k] * p[k].x[j])))[0]"
     fitted = em.selectExpr("p", "m", "q", f"{total} AS t").selectExpr("m", f"aggregate(sequence(1, {FIT_ROUNDS}), array_repeat(0D, {N_FEATURES}), (w, i) -> {gradient}) AS w", "size(p) AS n")
     row = fitted.where("n > 0").first()
     return (list(row["m"]), list(row["w"])) if row else ([0.5, 0.9, 0.7, 0.7, 0.7], [0.0] * N_FEATURES)

@@ -114,3 +114,13 @@ def test_cutoffs_control_risk(spark):
     labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(2500)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.kept for r in quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
     assert all(got[i] == (i % 5 != 0) for i in range(2500))
+
+
+def test_pii_leaves_prose_alone(spark):
+    rng = random.Random(5)
+    words = ["look", "at", "the", "dot", "door.Then", "ran", "at", "noon.", "over", "12", "1994", "call", "3.5"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(80)) + (" mail me at a.b@mail7.example.com now" if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(1000, "write to jane.doe [at] example [dot] com please"), (1001, "write to jane.doe at example dot com please")]
+    got = check_pii(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert all(len((got[i].spans or "").split(",")) == 1 and bool(got[i].spans) == (i % 3 == 0) for i in range(300))
+    assert got[1000].spans.startswith("email:9:") and got[1001].spans.startswith("email:9:")
