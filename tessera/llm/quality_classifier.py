@@ -190,7 +190,10 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, samp
     made = scratch.cut(docs.mapInArrow(_features(vectors), "doc_id long, x binary"), "features")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held)
-    rows = made.join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).toPandas()
+    labelled = scratch.cut(made.join(one.hint("merge"), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))), "labelled")
+    # a hash range that holds about the sample, so that no task sends the driver more than its share of it
+    top = int((1 << 30) * min(1.0, sample / max(1, labelled.count())))
+    rows = labelled.where(F.col("h") <= top).select("h", "doc_id", "x", "quality").toPandas().sort_values(["h", "doc_id", "x"], kind="stable").head(sample)
     network = Network(_matrix(rows["x"]), rows["quality"].to_numpy(float))
     scored = made.mapInArrow(_score(sc.broadcast(network)), "doc_id long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
