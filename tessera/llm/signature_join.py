@@ -114,6 +114,23 @@ def fold(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keys[new], docs[new], edges[:, 0], edges[:, 1]
 
 
+def pack_keys(keys: np.ndarray, docs: np.ndarray) -> bytes:
+    """6 bytes of each key (its bucket holds the rest of its bits) and documents as 4 bytes from the smallest where those do."""
+    base = int(docs.min())
+    wide = int(docs.max()) - base >= 1 << 32
+    head = np.array([base, len(docs) << 1 | wide], np.int64).tobytes()
+    return head + (docs - base).astype(np.int64 if wide else np.uint32).tobytes() + keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    base, n = np.frombuffer(blob, np.int64, 2).tolist()
+    wide, n = n & 1, n >> 1
+    docs = np.frombuffer(blob, np.int64 if wide else np.uint32, n, 16)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, 2:] = np.frombuffer(blob, np.uint8, 6 * n, 16 + docs.nbytes).reshape(n, 6)
+    return keys.view(np.uint64).reshape(-1), docs.astype(np.int64) + base
+
+
 def _sketch(n: int, percent: int, buckets: int):
     def flush(keys: list, docs: list) -> Iterator[pa.RecordBatch]:
         if not keys:
@@ -126,7 +143,7 @@ def _sketch(n: int, percent: int, buckets: int):
         k, d, b = k[order], d[order], b[order]
         at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         ends = np.concatenate((at[1:], [len(b)]))
-        yield _rows(bucket=b[at], blob=[k[i:j].tobytes() + d[i:j].tobytes() for i, j in zip(at, ends, strict=True)])
+        yield _rows(bucket=b[at], blob=[pack_keys(k[i:j], d[i:j]) for i, j in zip(at, ends, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held = [], [], 0
@@ -160,9 +177,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, blobs = None, []
 
     def edges() -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs]
-        keys = np.concatenate([p[0] for p in parts]).view(np.uint64)
-        _, _, u, v = fold(keys, np.concatenate([p[1] for p in parts]))
+        keys, docs = (np.concatenate(x) for x in zip(*map(unpack_keys, blobs), strict=True))
+        _, _, u, v = fold(keys, docs)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -316,10 +332,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     made = scratch.cut(docs.mapInArrow(_sketch(n, percent, 4 * parts), _MADE), "sketch")
-    sketch = made.where("bucket IS NULL").select("doc_id", "n", "h1", "h2")
+    sketch = scratch.cut(made.where("bucket IS NULL").select("doc_id", "n", "h1", "h2"), "sets")
     keys = made.where("bucket >= 0").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "u long, v long")
     local = made.where("bucket = -1").select("blob").mapInArrow(_local_edges, "u long, v long")
-    near = scratch.cut(components(scratch, keys.union(local)), "candidates")
+    edges = scratch.cut(keys.union(local), "edges")
+    scratch.drop(made)
+    scratch.release()
+    near = scratch.cut(components(scratch, edges), "candidates")
+    scratch.drop(edges)
 
     # equal sets fold into their smallest document
     members = scratch.cut(sketch.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("s")).select("doc_id", "s.*").join(near.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
@@ -331,6 +351,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     pairs = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "text")
     order = ["component", "i", "j"]
     links = scratch.cut(pairs.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_verify(n, percent), "u long, v long"), "links")
+    scratch.release()
     found = components(scratch, links.union(copies))
     found = scratch.cut(found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "components")
     out = sketch.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
