@@ -8,8 +8,8 @@ are a phrase: its bytes overlap the next phrase's by LENGTH - 1, so each window
 Dictionary and parse: equal phrases are one dictionary entry, which keeps its smallest document; the parse is the
 sequence of (document, place, phrase). Order: entries are sorted by trigger, and where a trigger has several
 phrases their windows are sorted by content, so the suffixes that matter stand together. A phrase that also
-stands in a smaller document goes whole; first occurrences that share a trigger with another phrase are settled
-window by window. Each text is read three times; most of the corpus never gets beyond the phrase level.
+stands in a smaller document goes whole; first occurrences that share a trigger and the bytes on one side of it with another
+document's phrase are settled window by window. Each text is read three times; most of the corpus never gets beyond the phrase level.
 
 Rows travel as packed arrays by hash bucket, folded in the task first: of equal phrases in a task only those of the
 smallest document are sent, so a common passage costs one row a task.
@@ -34,6 +34,8 @@ from tessera.llm.kernels import _TABLE, mix, powers, ragged, slices, span_hashes
 from tessera.llm.shared import Scratch
 
 LENGTH, TRIGGER = 50, 16
+#: Texts that share a window around a trigger share so many bytes on one side of it at least.
+SIDE = (LENGTH - TRIGGER + 1) // 2
 #: Bytes of text whose phrases a task folds at once.
 GATHER = 1 << 24
 _PLACE = np.uint64(23)
@@ -51,9 +53,9 @@ def rolling(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 def phrases(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """trigger hash, phrase hash, row, first window (in its text), number of windows of each phrase."""
+    """trigger hash, phrase hash, row, first window (in its text), number of windows, left and right hash of each phrase."""
     width = LENGTH - TRIGGER + 1
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint16))
     if len(raw) < LENGTH:
         return none
     if len(raw) > 1 << 22:  # a very long text: pieces that overlap by LENGTH - 1, so that places fit
@@ -76,7 +78,15 @@ def phrases(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     a = start[new]
     p = span_hashes(raw, a, a + count + LENGTH - 1)
     p = mix(p + (own[new] - a).astype(np.uint64))
-    return g[own[new]], p, row[new], a - at[row[new]], count
+    # the SIDE bytes before and behind the trigger, where the text has them
+    t, low_end, high_end = own[new], at[row[new]], at[row[new] + 1]
+    sides = []
+    for begin, end in ((t - SIDE, t), (t + TRIGGER, t + TRIGGER + SIDE)):
+        there = (begin >= low_end) & (end <= high_end)
+        h = p.copy()
+        h[there] = span_hashes(raw, begin[there], end[there])
+        sides.append((h >> np.uint64(48)).astype(np.uint16))
+    return g[t], p, row[new], a - low_end, count, *sides
 
 
 def _long(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -84,8 +94,8 @@ def _long(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         for s in range(a, max(a + 1, b - LENGTH + 1), 1 << 21):
             piece = raw[s : min(b, s + (1 << 21) + LENGTH - 1)]
-            k, p, _, first, n = phrases(piece, np.array([0, len(piece)]))
-            parts.append((k, p, np.full(len(k), r), first + s - a, n))
+            k, p, _, first, *rest = phrases(piece, np.array([0, len(piece)]))
+            parts.append((k, p, np.full(len(k), r), first + s - a, *rest))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -101,10 +111,23 @@ def fold_first(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_two(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each entry: does its key stand in two documents?"""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    size = np.diff(np.concatenate((begin, [len(k)])))
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(d[begin] != d[begin + size - 1], size)
+    return out
+
+
 _BLOB = "kind int, bucket int, blob binary"
 
 
-def _blobs(kind: int, bucket: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+def _blobs(kind: int, bucket: np.ndarray, arrays: tuple[np.ndarray, ...], pack=lambda *x: b"".join(a.tobytes() for a in x)) -> Iterator[pa.RecordBatch]:
     """Rows (kind, bucket, packed arrays) of entries dealt by bucket."""
     if not len(bucket):
         return
@@ -113,7 +136,7 @@ def _blobs(kind: int, bucket: np.ndarray, arrays: tuple[np.ndarray, ...]) -> Ite
     arrays = tuple(x[order] for x in arrays)
     at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
     end = np.concatenate((at[1:], [len(b)]))
-    blobs = [b"".join(x[i:j].tobytes() for x in arrays) for i, j in zip(at, end, strict=True)]
+    blobs = [pack(*(x[i:j] for x in arrays)) for i, j in zip(at, end, strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(b[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
 
@@ -143,68 +166,131 @@ def _grouped(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch
         yield from done(now[0], blobs)
 
 
-SENT = (np.uint64, np.uint64, np.int64, np.int32, np.uint8)
+#: Bytes sent of each field: trigger and phrase hash, first window, number of windows, left and right hash. A phrase
+#: is the same when trigger, phrase and side hashes are, 120 bits with the bucket's.
+SENT = (5, 6, 4, 1, 2, 2)
+#: Entries that a task gathers before it deals them by document.
+HELD = 1 << 20
+
+
+class Outbox:
+    """Gathers (doc, first window, number) of a kind over all of a task's input, then deals them by document bucket.
+
+    So a task sends each document bucket a few rows, however many hash buckets it has read.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, {}, 0
+
+    def add(self, kind: int, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(doc):
+            self.held.setdefault(kind, []).append((doc, first.astype(np.int32), n.astype(np.int32)))
+            self.size += len(doc)
+            if self.size >= HELD:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for kind, parts in self.held.items():
+            doc, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((first, doc))
+            doc, first, n = doc[order], first[order].astype(np.int64), n[order].astype(np.int64)
+            begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1]))))
+            doc, first, n = doc[begin], first[begin].astype(np.int32), np.add.reduceat(n, begin).astype(np.int32)
+            yield from _blobs(kind, _bucket_of(doc, self.buckets), (doc, first, n))
+        self.held, self.size = {}, 0
+
+
+def pack_phrases(doc: np.ndarray, fields: tuple[np.ndarray, ...]) -> bytes:
+    """Documents as 4 bytes from their smallest where those do, and the SENT bytes of each field."""
+    base = int(doc.min())
+    wide = int(doc.max()) - base >= 1 << 32
+    out = [np.array([base, len(doc) << 1 | wide], np.int64).tobytes(), (doc - base).astype(np.int64 if wide else np.uint32).tobytes()]
+    for x, size in zip(fields, SENT, strict=True):
+        out.append(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
+    return b"".join(out)
+
+
+def unpack_phrases(blobs: list[bytes]) -> list[np.ndarray]:
+    """doc and the fields of blobs, as 64-bit arrays."""
+    parts = []
+    for blob in blobs:
+        base, n = np.frombuffer(blob, np.int64, 2).tolist()
+        wide, n, at = n & 1, n >> 1, 16
+        doc = np.frombuffer(blob, np.int64 if wide else np.uint32, n, at)
+        at += doc.nbytes
+        row = [doc.astype(np.int64) + base]
+        for size in SENT:
+            x = np.zeros((n, 8), np.uint8)
+            x[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
+            at += n * size
+            row.append(x.view(np.uint64).reshape(-1))
+        parts.append(row)
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 GONE = (np.int64, np.int32, np.int32)
 
 
+def _boxed(batches, done, box: Outbox) -> Iterator[pa.RecordBatch]:
+    box.__init__(box.buckets)
+    yield from _grouped(batches, done)
+    yield from box.flush()
+
+
 def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(x.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _parse(buckets: int):
+def _parse(buckets: int, by_doc: int):
     """Texts -> phrases by trigger (kind 0), and windows that go (kind 1: doc, first window, number) by document."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        k, p, doc, first, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        k, p, doc, first, n, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
         gone = fold_first(p, doc)
-        d, f, m = doc[gone], first[gone], n[gone]
-        if len(d):  # phrases that follow each other are one run
-            begin = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1] + m[:-1]))))
-            d, f, m = d[begin], f[begin], np.add.reduceat(m, begin)
-        yield from _blobs(1, _bucket_of(d, buckets), (d, f.astype(np.int32), m.astype(np.int32)))
+        yield from box.add(1, doc[gone], first[gone], n[gone])
         s = ~gone
-        yield from _blobs(0, _bucket_of(k[s], buckets), (k[s], p[s], doc[s], first[s].astype(np.int32), n[s].astype(np.uint8)))
+        yield from _blobs(0, _bucket_of(k[s], buckets), tuple(x[s] for x in (doc, k, p, first, n, left, right)), lambda doc, *x: pack_phrases(doc, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        box.__init__(by_doc)
         for whole in batches:
             for batch in slices(whole, "text"):
                 raw, at = text_buffer(batch.column(1))
-                k, p, row, first, n = phrases(raw, at)
-                held.append((k, p, batch.column(0).to_numpy(zero_copy_only=False)[row], first, n))
+                k, p, row, *rest = phrases(raw, at)
+                held.append((k, p, batch.column(0).to_numpy(zero_copy_only=False)[row], *rest))
                 size += len(raw)
                 if size >= GATHER:
                     yield from flush(held)
                     held, size = [], 0
         yield from flush(held)
+        yield from box.flush()
 
+    box = Outbox(by_doc)
     return run
 
 
-def _dictionary(buckets: int):
+def _dictionary(by_doc: int):
     """Phrases by trigger -> windows that go (1), and first occurrences whose trigger has other phrases (2), by document."""
 
     def done(kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == 1:
-            doc, first, n = _unpack(blobs, GONE)
-            yield from _blobs(1, _bucket_of(doc, buckets), (doc, first, n))
+            yield from box.add(1, *_unpack(blobs, GONE))
             return
-        k, p, doc, first, n = _unpack(blobs, SENT)
-        gone = fold_first(p, doc)
-        n = n.astype(np.int32)
-        yield from _blobs(1, _bucket_of(doc[gone], buckets), (doc[gone], first[gone], n[gone]))
-        k, p, doc, first, n = (x[~gone] for x in (k, p, doc, first, n))
-        order = np.lexsort((doc, k))
-        k, p, doc, first, n = (x[order] for x in (k, p, doc, first, n))
-        begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate((begin, [len(k)])))
-        # only triggers that stand in two documents at least
-        open_ = np.repeat(doc[begin] != doc[begin + size - 1], size) if len(k) else np.zeros(0, bool)
-        yield from _blobs(2, _bucket_of(doc[open_], buckets), (doc[open_], first[open_], n[open_]))
+        doc, k, p, first, n, left, right = unpack_phrases(blobs)
+        whole = mix(mix(k) + p) + (left << np.uint64(16) | right)
+        gone = fold_first(whole, doc)
+        first, n = first.astype(np.int32), n.astype(np.int32)
+        yield from box.add(1, doc[gone], first[gone], n[gone])
+        k, doc, first, n, left, right = (x[~gone] for x in (k, doc, first, n, left, right))
+        # a shared window needs an equal side as well as the trigger, in two documents at least
+        open_ = in_two(mix(k) + left, doc) | in_two(mix(k) + (right | np.uint64(1 << 20)), doc)
+        yield from box.add(2, doc[open_], first[open_], n[open_])
 
-    return lambda batches: _grouped(batches, done)
+    box = Outbox(by_doc)
+    return lambda batches: _boxed(batches, done, box)
 
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +317,7 @@ def _runs(blob) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _windows(buckets: int):
+def _windows(buckets: int, by_doc: int):
     """(doc_id, packed text, open windows) -> windows by content (0: hash, doc, place), folded in the task."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -239,12 +325,13 @@ def _windows(buckets: int):
             return
         h, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         gone = fold_first(h, doc)
-        yield from _blobs(1, _bucket_of(doc[gone], buckets), (doc[gone], place[gone], np.ones(int(gone.sum()), np.int32)))
+        yield from box.add(1, doc[gone], place[gone], np.ones(int(gone.sum()), np.int32))
         yield from _blobs(0, _bucket_of(h[~gone], buckets), (h[~gone], doc[~gone], place[~gone]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         held, size = [], 0
+        box.__init__(by_doc)
         for batch in batches:
             for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(unpack(text), np.uint8)
@@ -257,11 +344,13 @@ def _windows(buckets: int):
                     yield from flush(held)
                     held, size = [], 0
         yield from flush(held)
+        yield from box.flush()
 
+    box = Outbox(by_doc)
     return run
 
 
-def _order_windows(buckets: int):
+def _order_windows(by_doc: int):
     def done(kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if kind == 1:
             doc, place, n = _unpack(blobs, GONE)
@@ -270,9 +359,10 @@ def _order_windows(buckets: int):
             gone = fold_first(h, doc)
             doc, place = doc[gone], place[gone]
             n = np.ones(len(doc), np.int32)
-        yield from _blobs(1, _bucket_of(doc, buckets), (doc, place, n))
+        yield from box.add(1, doc, place, n)
 
-    return lambda batches: _grouped(batches, done)
+    box = Outbox(by_doc)
+    return lambda batches: _boxed(batches, done, box)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,13 +407,13 @@ def repeated_windows(spark: SparkSession, scratch: Scratch, docs: DataFrame) ->
     """(doc_id, runs) of windows that go; docs (doc_id, text) has no nulls."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    settled = scratch.cut(dealt(docs.mapInArrow(_parse(buckets), _BLOB), parts).mapInArrow(_dictionary(buckets), _BLOB), "dictionary")
+    settled = scratch.cut(dealt(docs.mapInArrow(_parse(buckets, parts), _BLOB), parts).mapInArrow(_dictionary(parts), _BLOB), "dictionary")
     scratch.release()
     by_document = lambda df: dealt(df, parts).mapInArrow(_per_document, "doc_id long, runs binary")
     open_ = scratch.cut(by_document(settled.where("kind = 2")), "open")
     texts = docs.mapInArrow(_pack, "doc_id long, text binary")
-    windows = texts.join(open_.hint("merge"), "doc_id").mapInArrow(_windows(buckets), _BLOB)
-    found = scratch.cut(dealt(windows, parts).mapInArrow(_order_windows(buckets), _BLOB), "windows")
+    windows = texts.join(open_.hint("merge"), "doc_id").mapInArrow(_windows(buckets, parts), _BLOB)
+    found = scratch.cut(dealt(windows, parts).mapInArrow(_order_windows(parts), _BLOB), "windows")
     scratch.release()
     return by_document(settled.where("kind = 1").union(found))
 

@@ -68,7 +68,18 @@ def test_long_text_in_pieces():
 
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 100, (1 << 22) + 5000).astype(np.uint8)
-    k, p, row, first, n = P.phrases(raw, np.array([0, len(raw)]))
+    k, p, row, first, n, *_ = P.phrases(raw, np.array([0, len(raw)]))
     assert int(n.sum()) == len(raw) - LENGTH + 1
     assert (np.sort(first)[1:] == (np.sort(first) + n[np.argsort(first)])[:-1]).all()
     assert n.max() <= 255
+
+
+def test_packed_phrases():
+    from tessera.llm import pfp_dedup as P
+
+    rng = np.random.default_rng(2)
+    for top in (1 << 20, 1 << 50):
+        doc = rng.integers(-top, top, 50)
+        fields = tuple(rng.integers(0, 1 << 8 * s, 50).astype(np.uint64) for s in P.SENT)
+        for a, b in zip((doc, *fields), P.unpack_phrases([P.pack_phrases(doc, fields)]), strict=True):
+            assert (a == b).all()
