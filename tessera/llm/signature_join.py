@@ -36,7 +36,7 @@ from tessera.llm.shared import Scratch, components
 #: Keys a task gathers before it folds and writes them.
 GATHER = 1 << 20
 #: N-grams of one block.
-BLOCK_GRAMS = 1 << 18
+BLOCK_GRAMS = 1 << 22
 LEAF, FANOUT = 16, 8
 
 
