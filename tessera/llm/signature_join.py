@@ -274,7 +274,10 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
             common = np.bitwise_count(x.maps[rows.start : rows.stop, None] & y.maps[None, cols.start : cols.stop]).sum(2).astype(np.int64)
             common += np.minimum(x.spare[rows.start : rows.stop, None], y.spare[None, cols.start : cols.stop])
             total = x.size[rows.start : rows.stop, None] + y.size[None, cols.start : cols.stop]
-            for p, q in zip(*np.nonzero((100 + percent) * common >= percent * total), strict=True):
+            mine = np.array([union.find(int(x.order[r])) for r in rows])
+            theirs = np.array([union.find(shift + int(y.order[c])) for c in cols])
+            near = ((100 + percent) * common >= percent * total) & (mine[:, None] != theirs[None])
+            for p, q in zip(*np.nonzero(near), strict=True):
                 r, c = rows.start + int(p), cols.start + int(q)
                 if y is x and r >= c:
                     continue
