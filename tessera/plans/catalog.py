@@ -39,8 +39,8 @@ def raw(s, d, thin=A.THIN):
     return G.raw_edges(A.dependencies(s, d, thin))
 
 
-def ssa(s, d):
-    return G.ssa_edges(raw(s, d), A.flows(s, d), 0.25)
+def ssa(s, d, thin=A.THIN):
+    return G.ssa_edges(raw(s, d, thin), A.flows(s, d, thin), 0.25)
 
 
 RAW = ("deps", "raw")
@@ -120,8 +120,8 @@ def grf13_top_flow_degree(s, d):
 SEM = "SELECT source AS class_id_a, target AS class_id_b, argument_flow_weight + 1 AS weight FROM flow WHERE return_flow_weight > 0"
 
 
-def semantic(s, d):
-    return G.flow_weights(A.flows(s, d)).where("return_flow_weight > 0").select(F.col("source").alias("class_id_a"), F.col("target").alias("class_id_b"), (F.col("argument_flow_weight") + 1).alias("weight"))
+def semantic(s, d, thin=A.THIN):
+    return G.flow_weights(A.flows(s, d, thin)).where("return_flow_weight > 0").select(F.col("source").alias("class_id_a"), F.col("target").alias("class_id_b"), (F.col("argument_flow_weight") + 1).alias("weight"))
 
 
 @query(A.sql("SELECT coalesce(source, class_id_a) AS source, coalesce(target, class_id_b) AS target, raw_weight AS structural_weight, weight AS semantic_weight, CASE WHEN weight IS NULL THEN 'structural_only' WHEN raw_weight IS NULL THEN 'semantic_only' ELSE 'overlap' END AS category FROM raw FULL JOIN sem ON source = class_id_a AND target = class_id_b", *SSA[:4], sem=SEM))
@@ -911,13 +911,13 @@ def viz03_edge_widths(s, d):
 @query()
 def clu01_leiden(s, d):
     params = s.createDataFrame([(1.0, 42), (1.0, 1), (0.8, 42), (1.2, 42)], "resolution double, seed long")
-    return X.leiden_runs(A.nodes(s, d), raw(s, d), "raw_weight", params)
+    return X.leiden_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params)
 
 
 @query()
 def evo08_nsga2(s, d):
     params = s.createDataFrame([(0,), (1,)], "seed long")
-    return X.nsga2_runs(A.nodes(s, d), raw(s, d), "raw_weight", params, 24, 12).withColumn("label_vector", F.to_json("label_vector"))
+    return X.nsga2_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params, 24, 12).withColumn("label_vector", F.to_json("label_vector"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
