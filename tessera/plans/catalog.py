@@ -802,12 +802,12 @@ def stat24_random_baseline(s, d):
     import numpy as np
 
     k = np.array([r[0] for r in A.labels(s, d).orderBy("class_id").select("cluster_id").toLocalIterator()])  # one subject
-    return T.random_baseline(s, k, min(200, len(k) * (len(k) - 1) // 4), 100)
+    return T.random_baseline(s, k, semantic(s, d, None).count())
 
 
 @query()
 def res08_bootstrap(s, d):
-    return rounded(T.bootstrap_mean(A.pairs(s, d), "left", 500))
+    return rounded(T.bootstrap_mean(A.pairs(s, d), "left"))
 
 
 # Vectors, text, hashes
@@ -916,8 +916,8 @@ def clu01_leiden(s, d):
 
 @query()
 def evo08_nsga2(s, d):
-    params = s.createDataFrame([(0,), (1,)], "seed long")
-    return X.nsga2_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params, 24, 12).withColumn("label_vector", F.to_json("label_vector"))
+    params = s.createDataFrame([(k,) for k in range(30)], "seed long")
+    return X.nsga2_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params).withColumn("label_vector", F.to_json("label_vector"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,8 +211,9 @@ def stat25_mapped_ratio(s, d):
 @query()
 def stat26_pass_rule(s, d):
     k = np.array([r[0] for r in A.labels(s, d).orderBy("class_id").select("cluster_id").toLocalIterator()])
-    p95 = T.quantile_higher(T.random_baseline(s, k, min(200, len(k) * (len(k) - 1) // 4), 100), "mapped_ratio", 0.95)
-    return R.mapped_ratio(semantic(s, d, None), A.labels(s, d)).crossJoin(p95).withColumn("passes", F.col("mapped_ratio") > F.col("quantile"))
+    edges = semantic(s, d, None)
+    p95 = T.quantile_higher(T.random_baseline(s, k, edges.count()), "mapped_ratio", 0.95)
+    return R.mapped_ratio(edges, A.labels(s, d)).crossJoin(p95).withColumn("passes", F.col("mapped_ratio") > F.col("quantile"))
 
 
 @query(A.sql("SELECT lang, count(*) AS classes, count(*) FILTER (WHERE n > 300) AS capped, CAST(sum(greatest(n - 300, 0)) AS BIGINT) AS removed, coalesce(string_agg(class_id, ';' ORDER BY class_id) FILTER (WHERE n > 300), '') AS capped_ids FROM (SELECT class_id, lang, len(string_split(text, ' ')) AS n FROM texts) GROUP BY 1", "texts"))
@@ -276,8 +277,12 @@ def clu04_sweep(s, d):
 
 @query()
 def clu05_seed_stability(s, d):
-    params = s.createDataFrame([(1.0, k) for k in range(5)], "resolution double, seed long")
-    return rounded(C.stability(C.all_pairs(X.leiden_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params), "seed")))
+    params = s.createDataFrame([(1.0, k) for k in range(30)], "resolution double, seed long")
+
+    def of(graph, edges, weight):
+        return C.stability(C.all_pairs(X.leiden_runs(A.nodes(s, d), edges, weight, params), "seed")).withColumn("graph", F.lit(graph))
+
+    return rounded(of("raw", raw(s, d, None), "raw_weight").union(of("ssa", ssa(s, d, None), "g_ssa_weight")))
 
 
 @query()

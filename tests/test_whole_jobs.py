@@ -24,3 +24,13 @@ def test_searches_see_every_line_pair(spark, lines):
         groups.setdefault(r.cluster_id, set()).add(r.class_id)
     assert sorted(map(sorted, groups.values())) == [["0", "1", "2"], ["3", "4", "5"]]
     assert catalog.semantic(spark, lines, None).count() == 4  # from the first supplier of each group
+
+
+def test_repetitions_of_the_reference(spark, lines, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(catalog.T, "random_baseline", lambda s, k, edges, repetitions=1000, base=0: asked.update(baseline=(len(k), edges, repetitions)))
+    monkeypatch.setattr(catalog.X, "nsga2_runs", lambda nodes, edges, weight, params, population=100, generations=100: asked.update(nsga2=(params.count(), population, generations)) or params.selectExpr("array(seed) AS label_vector"))
+    catalog.queries()["stat24_random_baseline"](spark, lines)
+    catalog.queries()["evo08_nsga2"](spark, lines)
+    assert asked == {"baseline": (6, 4, 1000), "nsga2": (30, 100, 100)}
+    assert {(r.graph, r.pairs) for r in catalog.queries()["clu05_seed_stability"](spark, lines).collect()} == {("raw", 435), ("ssa", 435)}
