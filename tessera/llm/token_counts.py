@@ -1,7 +1,7 @@
 """Token counts of a unigram model, with one trie of distinct pre-tokens for each batch.
 
 A pre-token is a white-space word with a space before it. The vocabulary is a public rank file of
-byte tokens; the score of rank r is -ln(r + 2), a Zipf prior that nothing trains.
+byte tokens, all of which count, however long; the score of rank r is -ln(r + 2), a Zipf prior that nothing trains.
 The best segmentation of a prefix serves every word that starts with it: distinct words are
 sorted, their trie is filled level by level, and the forward score of a node is the best over the
 tokens that end there. Terminal nodes hold the number of tokens. Ties go to fewer tokens.
@@ -32,11 +32,12 @@ class Vocabulary:
 
     BITS = 22
 
-    def __init__(self, path: str, longest: int = 24):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.scores = {t: -float(np.log(r + 2.0)) for t, r in ranks.items() if len(t) <= longest}
-        self.longest = max(map(len, self.scores))
+        self.scores = {t: -float(np.log(r + 2.0)) for t, r in ranks.items()}
+        self.lengths = sorted(set(map(len, self.scores)))
+        self.longest = self.lengths[-1]
         data = b"".join(self.scores)
         raw = np.frombuffer(data, np.uint8)
         ends = np.cumsum(np.fromiter(map(len, self.scores), np.int64, len(self.scores)))
@@ -64,7 +65,9 @@ def count_one(word: bytes, v: Vocabulary, score: list[float] | None = None, coun
     score, count = list(score or [0.0]), list(count or [0])
     for end in range(len(score), len(word) + 1):
         best, n = -np.inf, 0
-        for size in range(1, min(v.longest, end) + 1):
+        for size in v.lengths:
+            if size > end:
+                break
             s = v.scores.get(word[end - size : end])
             if s is not None:
                 t, c = score[end - size] + s, count[end - size] + 1
@@ -96,6 +99,7 @@ def trie_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
     node = np.zeros(len(ranked), np.int64)  # node of each living word at the level above
     sums, best, count, parent = [np.zeros(1, np.uint64)], [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     long_rows = np.flatnonzero(size > depth)
+    sizes = set(v.lengths)
     for d in range(1, depth + 1):
         keep = size[alive] >= d
         alive, node = alive[keep], node[keep]
@@ -108,11 +112,12 @@ def trie_counts(words: list[bytes], v: Vocabulary) -> np.ndarray:
         above = up_to
         for k in range(1, min(v.longest, d) + 1):
             begin = d - k
-            hit, s = v.find(mix((total - sums[begin][above]) * down[begin] + np.uint64(k)))
-            if len(hit):
-                t, c = best[begin][above[hit]] + s, count[begin][above[hit]] + 1
-                better = (t > score[hit]) | (t == score[hit]) & (c < tokens[hit])
-                score[hit[better]], tokens[hit[better]] = t[better], c[better]
+            if k in sizes:
+                hit, s = v.find(mix((total - sums[begin][above]) * down[begin] + np.uint64(k)))
+                if len(hit):
+                    t, c = best[begin][above[hit]] + s, count[begin][above[hit]] + 1
+                    better = (t > score[hit]) | (t == score[hit]) & (c < tokens[hit])
+                    score[hit[better]], tokens[hit[better]] = t[better], c[better]
             if begin:
                 above = parent[begin][above]
         sums.append(total)
