@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near copies: 5 words, similarity of 0.8 or more."""
-    groups = jaccard_components(spark, docs, n=5, percent=80)[0]
+    groups = jaccard_components(spark, docs, n=5, percent=80, counts=False)[0]
     lead = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(lead.hint("merge"), "doc_id", "left_semi").select(docs.columns)
 

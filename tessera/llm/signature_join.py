@@ -10,12 +10,13 @@
 3. Within a component, equal sets fold into one representative; the rest are dealt over blocks of bounded
    total size, and each pair of blocks is one unit of work. There a signature tree is built for each side: a node
    holds the OR of its sets' token bitmaps, its size range and the most tokens that share a bit. The
-   dual traversal drops node pairs whose largest possible overlap can't reach the threshold, and pairs
-   already connected; what is left is checked on the whole sets.
-4. Components of the verified links are the result.
+   dual traversal drops node pairs whose largest possible overlap can't reach the threshold; what is left
+   is checked on the whole sets. Where only components are asked for, pairs already connected are left out.
+4. Components of the verified links, and the number of linked documents of each document, are the result.
 
-Links are a spanning set: every component of the full link graph is found, while pairs inside one
-component aren't all written. Null or empty text has an empty set and no link. With fewer
+Equal sets are linked too; a class of equal sets counts with its size. The unit of work sums its links by document,
+so that a group of copies writes a row a document and block, not a row a pair. A doc_id that repeats with different texts counts with its
+smallest set. Null or empty text has an empty set and no link. With fewer
 words than n, the whole sequence is the only n-gram. Null doc_id: never linked, component null. Rows that repeat
 a doc_id are one node. Hashes have 64 bits for n-grams and 128 bits for sets.
 """
@@ -38,6 +39,10 @@ GATHER = 1 << 20
 #: N-grams of one block.
 BLOCK_GRAMS = 1 << 22
 LEAF, FANOUT = 16, 8
+#: Distinct tokens of a leaf up to which overlaps are a matrix product.
+DENSE = 1 << 16
+#: First salt of the hash of a set.
+SALT = 0x1234567
 
 
 def gram_sets(raw: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -154,7 +159,7 @@ def _sketch(n: int, percent: int, buckets: int):
                 flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
                 ends = np.cumsum(size)
                 hash_ = []
-                for salt in (0x1234567, 0x7654321):
+                for salt in (SALT, 0x7654321):
                     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat + np.uint64(salt)))))
                     hash_.append((total[ends] - total[ends - size]).view(np.int64))
                 ids = batch.column(0)
@@ -245,14 +250,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of each set of left with each of right."""
+    every = np.unique(np.concatenate(left))
+    if len(every) > DENSE:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left], np.int64)
+
+    def flags(sets: list[np.ndarray]) -> np.ndarray:
+        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(every, flat), len(every) - 1)
+        known = every[at] == flat
+        out = np.zeros((len(sets), len(every)), np.float32)
+        out[rows[known], at[known]] = 1
+        return out
+
+    return (flags(left) @ flags(right).T).astype(np.int64)
+
+
 def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Links (i, j) between left and right, or within left if right is None, that connect all of its components."""
+    union = Union(len(left) + len(right or []))
+    return [(int(i), int(j)) for a, b in tree_pairs(left, right, percent, union) for i, j in zip(a, b, strict=True)]
+
+
+def tree_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, union: Union | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links (i, j), some at a time; with a union, which then joins them, only those between sets that it doesn't connect."""
     most = max(map(len, left + (right or [])))
     bits = 1 << max(9, min(15, int(4 * most - 1).bit_length()))
     x = SignatureTree(left, bits)
     y = SignatureTree(right, bits) if right is not None else x
     shift = 0 if right is None else len(left)
-    union, out = Union(len(left) + (len(right) if right is not None else 0)), []
     need = lambda total: -(-percent * total // (100 + percent))  # noqa: E731  least overlap of sizes with that sum
 
     def bound(a, b):
@@ -274,6 +301,16 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
             common = np.bitwise_count(x.maps[rows.start : rows.stop, None] & y.maps[None, cols.start : cols.stop]).sum(2).astype(np.int64)
             common += np.minimum(x.spare[rows.start : rows.stop, None], y.spare[None, cols.start : cols.stop])
             total = x.size[rows.start : rows.stop, None] + y.size[None, cols.start : cols.stop]
+            if union is None:
+                near = (100 + percent) * common >= percent * total
+                if y is x:
+                    near &= np.arange(rows.start, rows.stop)[:, None] < np.arange(cols.start, cols.stop)
+                if near.any():
+                    near &= (100 + percent) * overlaps(x.sets[rows.start : rows.stop], y.sets[cols.start : cols.stop]) >= percent * total
+                    p, q = np.nonzero(near)
+                    if len(p):
+                        yield x.order[rows.start + p], y.order[cols.start + q]
+                continue
             mine = np.array([union.find(int(x.order[r])) for r in rows])
             theirs = np.array([union.find(shift + int(y.order[c])) for c in cols])
             near = ((100 + percent) * common >= percent * total) & (mine[:, None] != theirs[None])
@@ -284,7 +321,7 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
                 u, v = union.find(int(x.order[r])), union.find(shift + int(y.order[c]))
                 if u != v and linked(x.sets[r], y.sets[c], percent):
                     union.join(u, v)
-                    out.append((int(x.order[r]), int(y.order[c])))
+                    yield x.order[[r]], y.order[[c]]
             continue
         if j == 0 or i > j:
             todo += [(i - 1, k, j, b) for k in range(a * FANOUT, min((a + 1) * FANOUT, len(x.levels[i - 1][1])))]
@@ -293,44 +330,81 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
             todo += [(i - 1, k, j - 1, m) for k in kids for m in kids if k <= m]
         else:
             todo += [(i, a, j - 1, k) for k in range(b * FANOUT, min((b + 1) * FANOUT, len(y.levels[j - 1][1])))]
-    return out
 
 
-def _verify(n: int, percent: int):
-    """Rows (component, i, j, own, doc_id, text), sorted by the first three -> links (u, v)."""
+def _verify(n: int, percent: int, what: str):
+    """Rows (component, i, j, own, doc_id, copies, h1, text), sorted by the first three -> links (u, v), and for what = "counts" (u, n) too.
+
+    what: "span" for links that connect, "counts" for those and the number of documents linked to u by this unit, "all" for all links.
+    """
 
-    def links(docs: list[int], own: list[int], sets: list[np.ndarray], i: int, j: int) -> Iterator[pa.RecordBatch]:
-        if i == j:
-            pairs = [(docs[a], docs[b]) for a, b in tree_links(sets, None, percent)] if len(sets) > 1 else []
+    def links(docs: list[int], own: list[int], copies: list[int], sets: list[np.ndarray], i: int, j: int) -> Iterator[pa.RecordBatch]:
+        own_ = np.array(own)
+        left = np.flatnonzero(own_ == i)
+        right = np.flatnonzero(own_ == j)
+        if not len(left) or not len(right) or len(docs) < 2:
+            return
+        doc, size, total = np.array(docs, np.int64), np.array(copies, np.int64), np.zeros(len(docs), np.int64)
+        union, u, v = Union(len(docs)), [], []
+        mine, theirs = [sets[k] for k in left], None if i == j else [sets[k] for k in right]
+        if what == "span":
+            for a, b in tree_links(mine, theirs, percent):
+                u.append(int(doc[left[a]]))
+                v.append(int(doc[right[b]]))
         else:
-            left = [k for k, o in enumerate(own) if o == i]
-            right = [k for k, o in enumerate(own) if o == j]
-            pairs = [(docs[left[a]], docs[right[b]]) for a, b in tree_links([sets[k] for k in left], [sets[k] for k in right], percent)] if left and right else []
-        if pairs:
-            u, v = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            for a, b in tree_pairs(mine, theirs, percent):
+                a, b = left[a], right[b]
+                if what == "all":
+                    once = (size[a] > 0) & (size[b] > 0)
+                    if once.any():
+                        yield batch_of(doc[a[once]], doc[b[once]])
+                    continue
+                np.add.at(total, a, size[b])
+                np.add.at(total, b, size[a])
+                roots = {int(k): union.find(int(k)) for k in np.unique(np.concatenate((a, b)))}
+                new = np.array([roots[k] for k in a.tolist()]) != np.array([roots[k] for k in b.tolist()])
+                for p, q in zip(a[new].tolist(), b[new].tolist(), strict=True):
+                    r, s = union.find(p), union.find(q)
+                    if r != s:
+                        union.join(r, s)
+                        u.append(int(doc[p]))
+                        v.append(int(doc[q]))
+            counted = (total > 0) & (size > 0)
+            if counted.any():
+                yield batch_of(doc[counted], None, total[counted])
+        if u:
+            yield batch_of(np.array(u, np.int64), np.array(v, np.int64))
+
+    def batch_of(u: np.ndarray, v: np.ndarray | None, n: np.ndarray | None = None) -> pa.RecordBatch:
+        cols = [pa.nulls(len(u), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (u, v, n)]
+        return pa.RecordBatch.from_arrays(cols, ["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, own, sets = None, [], [], []
+        now, docs, own, copies, sets, seen = None, [], [], [], [], set()
         for whole in batches:
             for batch in slices(whole, "text"):
-                made = gram_sets(*text_buffer(batch.column(5)), n)
-                for c, i, j, o, doc, s in zip(*(batch.column(k).to_pylist() for k in range(5)), made, strict=True):
+                made = gram_sets(*text_buffer(batch.column(7)), n)
+                for c, i, j, o, doc, k, h1, s in zip(*(batch.column(k).to_pylist() for k in range(7)), made, strict=True):
                     if now != (c, i, j):
                         if docs:
-                            yield from links(docs, own, sets, *now[1:])
-                        now, docs, own, sets = (c, i, j), [], [], []
+                            yield from links(docs, own, copies, sets, *now[1:])
+                        now, docs, own, copies, sets, seen = (c, i, j), [], [], [], [], set()
+                    # of the rows of one doc_id, one with the class's own set counts
+                    counts = doc not in seen and int(mix(s + np.uint64(SALT)).sum(dtype=np.uint64).view(np.int64)) == h1
+                    if counts:
+                        seen.add(doc)
                     docs.append(doc)
                     own.append(o)
+                    copies.append(k if counts else 0)
                     sets.append(s)
         if docs:
-            yield from links(docs, own, sets, *now[1:])
+            yield from links(docs, own, copies, sets, *now[1:])
 
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id) for every row of docs, and the verified links (u, v) between different sets."""
+def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent: int = 90, counts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, component_id) and, with counts, n_links for every row of docs; all links (u, v) between different sets, by their smallest documents."""
     scratch = Scratch(spark, "ngram-join")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
@@ -346,16 +420,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
 
     # equal sets fold into their smallest document
     members = scratch.cut(sketch.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("s")).select("doc_id", "s.*").join(near.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
-    classes = scratch.cut(members.groupBy("component", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = scratch.cut(members.groupBy("component", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     copies = members.join(classes.select("component", "h1", "h2", "rep"), ["component", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     # blocks of bounded size; each pair of blocks of a component is one unit
     blocks = classes.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).where("sets > 1").select("component", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    placed = scratch.cut(classes.join(blocks, "component").select(F.col("rep").alias("doc_id"), "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")), "placed")
-    pairs = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "text")
+    placed = scratch.cut(classes.join(blocks, "component").select(F.col("rep").alias("doc_id"), "component", "blocks", "copies", "h1", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")), "placed")
+    pairs = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "copies", "h1", "text")
     order = ["component", "i", "j"]
-    links = scratch.cut(pairs.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(_verify(n, percent), "u long, v long"), "links")
+    units = pairs.repartition(parts, *order).sortWithinPartitions(*order)
+    told = scratch.cut(units.mapInArrow(_verify(n, percent, "counts" if counts else "span"), "u long, v long, n long"), "links")
+    links = units.mapInArrow(_verify(n, percent, "all"), "u long, v long, n long").select("u", "v")
     scratch.release()
-    found = components(scratch, links.union(copies))
+    found = components(scratch, told.where("v IS NOT NULL").select("u", "v").union(copies))
     found = scratch.cut(found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "components")
     out = sketch.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if counts:
+        near_ = told.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("near"))
+        sized = classes.join(near_, "rep", "left").select("component", "h1", "h2", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")).where("n_links > 0")
+        degree = members.join(sized, ["component", "h1", "h2"]).select("doc_id", "n_links")
+        out = out.join(degree, "doc_id", "left").select(*out.columns, F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out, links
