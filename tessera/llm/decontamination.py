@@ -4,9 +4,10 @@ One pass over the corpus: words (runs of letters and digits, A-Z lowered) become
 that also stand in an item are seeds; seeds on about the same diagonal of a document and an item give one passage,
 which is written as word ids. The pass also counts the benchmark's words over the whole corpus. A seed is rare when its words,
 taken as independent at those counts, would make it fewer than RARE times a million positions;
-copies of an item can't make its seeds common that way. Passages with a rare seed are aligned with their item
-(match 2, mismatch -1, gap -1), so edited and paraphrased copies score too.
-A document and item are reported when the best alignment has at least MIN_SCORE and SHARE of the item's full score.
+copies of an item of more than 12 words can't make its seeds common that way. Passages with a rare seed, or with SHARE of the item's seeds and
+WHOLE of them at least, are aligned with their item (match 2, mismatch -1, gap -1), so edited and paraphrased copies score too.
+A document and item are reported when the best alignment has SHARE of the item's full score, and at least MIN_SCORE or, for shorter items,
+that full score; or when it has RUN, whatever the item's length. Items of fewer than WHOLE seeds whose copies make a large share of all words aren't found.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words (or one item), one corpus pass a block.
 Null or empty texts have no words. Items with fewer than n words match nothing. Null doc_id or item_id: a match is
@@ -27,7 +28,8 @@ from tessera.llm.shared import Scratch
 
 GRAM, DRIFT, MARGIN = 3, 8, 12
 RARE = 20.0
-SHARE, MIN_SCORE = 0.35, 14
+SHARE, MIN_SCORE, RUN = 0.35, 14, 26
+WHOLE = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20
 
@@ -153,18 +155,20 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
 def _aligned(shared, rare_shared, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, rare = shared.value, rare_shared.value
+        grams = np.array([max(0, len(w) - GRAM + 1) for w in index.items])
         for batch in batches:
             by: dict[int, list[int]] = {}
             seeds, words = batch.column(4).to_pylist(), batch.column(3).to_pylist()
             for i, item in enumerate(batch.column(1).to_pylist()):
-                if rare[np.frombuffer(seeds[i], np.int64)].any():
+                found = np.frombuffer(seeds[i], np.int64)
+                if rare[found].any() or len(found) >= max(WHOLE, share * grams[item]):
                     by.setdefault(item, []).append(i)
             for item, rows in by.items():
                 for a in range(0, len(rows), 256):
                     part = rows[a : a + 256]
                     score, end = align(index.items[item], [np.frombuffer(words[i], np.int32) for i in part])
                     full = MATCH * len(index.items[item])
-                    good = np.flatnonzero((score >= least) & (score >= share * full))
+                    good = np.flatnonzero((score >= min(least, full)) & (score >= share * full) | (score >= RUN))
                     if len(good):
                         at = pa.array([part[k] for k in good])
                         start = batch.column(2).take(at).to_numpy() + end[good]
