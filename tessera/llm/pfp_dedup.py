@@ -6,8 +6,8 @@ Parsing: a rolling hash of every TRIGGER-byte string picks triggers; the trigger
 leftmost smallest hash in it, so equal windows have their trigger at the same place, in any text. Consecutive windows with one trigger
 are a phrase: its bytes overlap the next phrase's by LENGTH - 1, so each window lies in exactly one phrase of its text.
 Dictionary and parse: equal phrases are one dictionary entry, which keeps its smallest document; the parse is the
-sequence of (document, place, phrase). Order: entries are sorted by trigger, and where a trigger has several
-phrases their windows are sorted by content, so the suffixes that matter stand together. A phrase that also
+sequence of (document, place, phrase). There is no suffix array of the dictionary or of the parse, and no order by content: phrases, and
+where a trigger has several, their windows of LENGTH bytes, are grouped by hash (winnowing with window minima). A phrase that also
 stands in a smaller document goes whole; first occurrences that share a trigger and the bytes on one side of it with another
 document's phrase are settled window by window. Each text is read three times; most of the corpus never gets beyond the phrase level.
 
