@@ -1,14 +1,18 @@
 """N-gram Jaccard self-join with signature trees.
 
 1. One pass makes each document's set of distinct word n-gram hashes, its size, a 128-bit hash of the
-   set, and segment keys: sets of a size class are cut by hash range into one segment more than
-   the largest symmetric difference that a linked pair can have, so a linked pair agrees on at least one whole
-   segment. A set near the next class's lower end also makes that class's keys. No link is lost.
+   set, and segment keys: sets of a size class are cut by hash range into segments, and a set sends the keys of its
+   largest D + 1 non-empty segments (ties by key), D being the largest symmetric difference that it can have with a set it links
+   to. A linked pair differs in at most D segments, so its first equal segment in that order is sent by both. That needs
+   more than D non-empty segments in one of the two; a set with fewer also sends its D + 1 smallest n-grams, for
+   which the same holds. A set near the next class's lower end makes that class's keys too. No link is lost, and an
+   empty segment is never a key.
 2. Equal keys give candidate edges to the smallest document of the key. Each task keeps one row a key
    and writes edges for the rest, so a hot key costs one row a task. Components of
    these edges bound where links can be.
-3. Within a component, equal sets fold into one representative; the rest are dealt over blocks of bounded
-   total size, and each pair of blocks is one unit of work. There a signature tree is built for each side: a node
+3. Within a component, equal sets fold into one representative. A large component is cut into bands of set sizes, of
+   which only equal and neighbouring ones can link, and a band into blocks; each pair of blocks that can link is one unit of work. There a
+   signature tree is built for each side: a node
    holds the OR of its sets' token bitmaps, its size range and the most tokens that share a bit. The
    dual traversal drops node pairs whose largest possible overlap can't reach the threshold; what is left
    is checked on the whole sets. Where only components are asked for, pairs already connected are left out.
@@ -18,13 +22,16 @@ Equal sets are linked too; a class of equal sets counts with its size. The unit
 so that a group of copies writes a row a document and block, not a row a pair. A doc_id that repeats with different texts counts with its
 smallest set. Null or empty text has an empty set and no link. With fewer
 words than n, the whole sequence is the only n-gram. Null doc_id: never linked, component null. Rows that repeat
-a doc_id are one node. Hashes have 64 bits for n-grams and 128 bits for sets.
+a doc_id are one node, with a row of the result each. Ties: the smallest doc_id names a component. Very long texts are whole sets like others.
+An empty table gives an empty result. Only doc_id and text are read, so other columns may have any names. Hashes have 64 bits for n-grams
+and 128 bits for sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +43,8 @@ from tessera.llm.shared import Scratch, components
 
 #: Keys a task gathers before it folds and writes them.
 GATHER = 1 << 20
-#: N-grams of one block.
-BLOCK_GRAMS = 1 << 22
+#: N-grams of one block, and sets of one as long as a band has no more than SPREAD blocks for them.
+BLOCK_GRAMS, BLOCK_SETS, SPREAD = 1 << 22, 1024, 16
 LEAF, FANOUT = 16, 8
 #: Distinct tokens of a leaf up to which overlaps are a matrix product.
 DENSE = 1 << 16
@@ -68,20 +75,23 @@ def gram_sets(raw: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def difference(size: int, partner: int, percent: int) -> int:
+    """Largest symmetric difference of linked sets of these sizes."""
+    return (size + partner) * (100 - percent) // (100 + percent)
+
+
 @lru_cache(8)
-def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the size classes, and the number of segments of each."""
+def size_classes(percent: int, top: int = 1 << 40) -> tuple[np.ndarray, list[int]]:
+    """Lower ends of the size classes, and the number of segments of each: half as many again as a linked pair can differ in."""
     low = [1]
     while low[-1] < top:
         low.append(max(low[-1] + 1, low[-1] * 5 // 4))
-    low_ = np.array(low)
-    high = low_[1:] - 1
-    return low_[:-1], 2 * high * (100 - percent) // (100 + percent) + 1
+    return np.array(low), [3 * (difference(end - 1, end - 1, percent) + 1) // 2 for end in low[1:]]
 
 
 def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a sorted set: linked sets share one at least."""
-    low, count = size_classes(percent)
+    low, segments = size_classes(percent)
     size = len(grams)
     c = int(np.searchsorted(low, size, "right")) - 1
     classes = [c]
@@ -90,11 +100,17 @@ def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x51ED270B)))))
     out = []
     for k in classes:
-        m = int(count[k])
+        m, most = segments[k], difference(size, min(int(low[k + 1]) - 1, size * 100 // percent), percent)
         cut = np.searchsorted(grams, np.arange(1, m, dtype=np.uint64) * np.uint64((2**64 - 1) // m))
         at = np.concatenate(([0], cut, [size]))
-        tag = np.arange(m, dtype=np.uint64) + np.uint64(k << 40)
-        out.append(mix((total[at[1:]] - total[at[:-1]]) ^ mix(tag + np.uint64(1))))
+        held = np.diff(at)
+        some = np.flatnonzero(held)
+        keys = mix((total[at[some + 1]] - total[at[some]]) ^ mix(some.astype(np.uint64) + np.uint64((k << 40) + 1)))
+        if len(keys) > most + 1:
+            keys = keys[np.lexsort((keys, -held[some]))[: most + 1]]
+        out.append(keys)
+        if len(some) <= most:
+            out.append(mix(grams[: most + 1] ^ mix(np.array([(k << 40) + (1 << 39)], np.uint64))))
     return np.concatenate(out)
 
 
@@ -422,10 +438,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     members = scratch.cut(sketch.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("s")).select("doc_id", "s.*").join(near.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
     classes = scratch.cut(members.groupBy("component", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     copies = members.join(classes.select("component", "h1", "h2", "rep"), ["component", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    # blocks of bounded size; each pair of blocks of a component is one unit
-    blocks = classes.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).where("sets > 1").select("component", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    placed = scratch.cut(classes.join(blocks, "component").select(F.col("rep").alias("doc_id"), "component", "blocks", "copies", "h1", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")), "placed")
-    pairs = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "copies", "h1", "text")
+    # small components are one unit; large ones have size bands, and each pair of blocks of equal or neighbouring bands is one
+    sized = classes.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).where("sets > 1").select("component", (F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("sets") / BLOCK_SETS) > 1).alias("large"))
+    band = F.when(F.col("large"), F.floor(F.log("n") / (1.001 * log(100 / percent)))).otherwise(0).cast("int")
+    placed = scratch.cut(classes.join(sized, "component").select(F.col("rep").alias("doc_id"), "component", "large", "copies", "h1", "n", band.alias("band")), "placed")
+    by_band = placed.where("large").groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    blocks = F.ceil(F.greatest(F.col("grams") / BLOCK_GRAMS, F.least(F.col("sets") / BLOCK_SETS, F.lit(SPREAD)))).cast("int")
+    # one entry for each size band of a component, some dozens at most
+    bands = scratch.cut(by_band.select("component", "band", blocks.alias("blocks")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")), "bands")
+    dealt = placed.join(bands, "component", "left").select("doc_id", "component", "copies", "h1", "band", *(F.coalesce(F.try_element_at("blocks", F.col("band") + k), F.lit(int(k == 0))).alias(f"b{k + 1}") for k in (-1, 0, 1)))
+    dealt = dealt.withColumn("own", F.expr("shiftleft(cast(band AS bigint), 32) + pmod(xxhash64(doc_id), b1)"))
+    others = F.expr("flatten(transform(array(b0, b1, b2), (b, k) -> if(b = 0, array(), transform(sequence(0, b - 1), x -> shiftleft(cast(band + k - 1 AS bigint), 32) + x))))")
+    pairs = docs.join(dealt.hint("merge"), "doc_id").withColumn("other", F.explode(others)).select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "copies", "h1", "text")
     order = ["component", "i", "j"]
     units = pairs.repartition(parts, *order).sortWithinPartitions(*order)
     told = scratch.cut(units.mapInArrow(_verify(n, percent, "counts" if counts else "span"), "u long, v long, n long"), "links")

@@ -104,3 +104,45 @@ def test_tree_prunes_nothing_linked():
     assert classes(pairs) == classes(tree_links(sets, None, 90))
     half = [(i, j) for i, j in pairs if (i < 100) != (j < 100)]
     assert classes(half) == classes([(a, 100 + b) for a, b in tree_links(sets[:100], sets[100:], 90)])
+
+
+def test_linked_sets_share_a_key():
+    from tessera.llm.signature_join import linked, segment_keys
+
+    rng = np.random.default_rng(3)
+    for n, percent in ((3, 90), (5, 80), (5, 95)):
+        for _ in range(4000):
+            base = np.unique(rng.integers(0, 2**64, int(rng.choice([1, 2, 4, 5, 6, 8, 9, 12, 20, 37, 90, 300])), dtype=np.uint64))
+            gone = rng.random(len(base)) < rng.choice([0, 0.05, 0.1, 0.2, 0.25])
+            fresh = rng.integers(0, 2**64, int(rng.integers(0, 1 + len(base) // 4)), dtype=np.uint64)
+            other = np.unique(np.concatenate((base[~gone], fresh)))
+            if len(other) and linked(base, other, percent):
+                assert len(np.intersect1d(segment_keys(base, percent), segment_keys(other, percent))), (len(base), len(other), percent)
+
+
+def test_empty_segments_are_no_keys():
+    from tessera.llm.signature_join import segment_keys
+
+    rng = np.random.default_rng(4)
+    for size in (3, 5, 8, 9, 20, 50):
+        keys = [segment_keys(np.sort(rng.integers(0, 2**64, size, dtype=np.uint64)), 80) for _ in range(400)]
+        flat = np.concatenate([np.unique(k) for k in keys])
+        assert len(np.unique(flat)) == len(flat)  # sets with nothing in common make no candidate edge
+
+
+def test_bands_of_a_large_component(spark, monkeypatch):
+    from tessera.llm import signature_join
+
+    rng = random.Random(2)
+    words, rows = [f"w{i}" for i in range(40)], []
+    for i in range(160):  # a chain of texts, each with a few words more than the one before
+        words.append(f"v{i}")
+        if rng.random() < 0.5:
+            words.append(f"u{i}")
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(signature_join, "BLOCK_SETS", 7)
+    for n, percent in ((3, 90), (5, 80)):
+        monkeypatch.setattr(signature_join, "SPREAD", 3)
+        monkeypatch.setattr(signature_join, "BLOCK_GRAMS", 1500)
+        assert run(spark, df, n=n, percent=percent) == brute(rows, n, percent)
