@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import mix, slices, span_hashes, text_buffer, word_bounds
-from tessera.llm.shared import Scratch, components
+from tessera.llm.shared import CONTRACT, Scratch, components, pack_edges, smallest_labels
 
 #: Keys a task gathers before it folds and writes them.
 GATHER = 1 << 20
@@ -158,7 +158,12 @@ def _sketch(n: int, percent: int, buckets: int):
             return
         k, d, u, v = fold(np.concatenate(keys), np.concatenate(docs))
         if len(u):
-            yield _rows(bucket=[-1], blob=[np.stack([u, v], 1).tobytes()])
+            # documents that this task connects go on as the smallest of them
+            node, low = smallest_labels(u, v)
+            stars = list(pack_edges(node, low))
+            yield _rows(bucket=[-1] * len(stars), blob=stars)
+            at = np.minimum(np.searchsorted(node, d), len(node) - 1)
+            d = np.where(node[at] == d, low[at], d)
         b = (k % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(b, kind="stable")
         k, d, b = k[order], d[order], b[order]
@@ -194,31 +199,34 @@ def _sketch(n: int, percent: int, buckets: int):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs, sorted by bucket -> edges (u, v) of the keys in each bucket."""
-    now, blobs = None, []
+    """Blobs, sorted by bucket -> packed edges that connect the documents of each key, contracted to stars."""
+    now, blobs, held = None, [], []
 
-    def edges() -> Iterator[pa.RecordBatch]:
+    def done() -> None:
         keys, docs = (np.concatenate(x) for x in zip(*map(unpack_keys, blobs), strict=True))
-        _, _, u, v = fold(keys, docs)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        held.append(fold(keys, docs)[2:])
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        return smallest_labels(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def out(node: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for blob in pack_edges(node, low):
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if bucket != now and blobs:
-                yield from edges()
+                done()
                 blobs = []
+                if sum(len(u) for u, _ in held) >= 2 * CONTRACT:
+                    yield from out(*stars())
+                    held = []
             now = bucket
             blobs.append(blob)
     if blobs:
-        yield from edges()
-
-
-def _local_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            e = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["u", "v"])
+        done()
+    if held:
+        yield from out(*stars())
 
 
 class SignatureTree:
@@ -426,13 +434,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, percent
     docs = docs.select("doc_id", "text")
     made = scratch.cut(docs.mapInArrow(_sketch(n, percent, 4 * parts), _MADE), "sketch")
     sketch = scratch.cut(made.where("bucket IS NULL").select("doc_id", "n", "h1", "h2"), "sets")
-    keys = made.where("bucket >= 0").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "u long, v long")
-    local = made.where("bucket = -1").select("blob").mapInArrow(_local_edges, "u long, v long")
-    edges = scratch.cut(keys.union(local), "edges")
+    keys = made.where("bucket >= 0").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "blob binary")
+    edges = scratch.cut(keys.union(made.where("bucket = -1").select("blob")), "edges")
     scratch.drop(made)
     scratch.release()
     near = scratch.cut(components(scratch, edges), "candidates")
-    scratch.drop(edges)
 
     # equal sets fold into their smallest document
     members = scratch.cut(sketch.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("s")).select("doc_id", "s.*").join(near.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
