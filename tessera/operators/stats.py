@@ -116,11 +116,21 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
     return s.select(*by, "n", F.when((F.col("n") >= 2) & ~flat, F.col("c") / F.sqrt(F.when(flat, 1.0).otherwise(F.col("vx") * F.col("vy")))).alias("rho"), F.when(F.col("n") < 2, "too_few").when(flat, "constant").alias("reason"))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, first: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """U of the first group and what its normal approximation needs (tie and continuity corrected z)."""
-    r = df.where(F.col(value).isNotNull()).withColumns({"_r": average_rank(value, by), "_t": F.count("*").over(Window.partitionBy(*by, value))})
-    a = F.col(group) == first
-    s = r.groupBy(*by).agg(F.count_if(a).cast("double").alias("n1"), F.count_if(~a).cast("double").alias("n2"), F.sum(F.when(a, F.col("_r")).otherwise(0.0)).alias("ranks"), F.sum(F.col("_t") * F.col("_t") - 1.0).alias("ties"))
+def mann_whitney(df: DataFrame, value: str, group: str, first: str, by: tuple[str, ...] = (), ranges: int = 64) -> DataFrame:
+    """U of the first group and what its normal approximation needs (tie and continuity corrected z).
+
+    Equal values fold into one row; ranks add up within value ranges, so that no task sorts a whole series.
+    """
+    known = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
+    cuts = sorted(set(known.approxQuantile("_v", [k / ranges for k in range(1, ranges)], 0.005)))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_v"))) if cuts else F.lit(0)
+    folded = known.groupBy(*by, "_v").agg(F.count_if(F.col(group) == first).alias("_n"), F.count("*").alias("_t")).withColumn("_b", place)
+    before = lambda c, *keys, order: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = folded.groupBy(*by, "_b").agg(F.sum("_t").alias("_s")).withColumn("_below", before("_s", *by, order="_b")).drop("_s")  # one row a range
+    r = folded.withColumn("_within", before("_t", *by, "_b", order="_v")).join(whole, [*by, "_b"])
+    rank = F.col("_below") + F.col("_within") + (F.col("_t") + 1) / 2
+    t = F.col("_t").cast("double")
+    s = r.groupBy(*by).agg(F.sum("_n").cast("double").alias("n1"), F.sum(F.col("_t") - F.col("_n")).cast("double").alias("n2"), F.sum(F.col("_n") * rank).alias("ranks"), F.sum(t * (t * t - 1.0)).alias("ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / F.greatest(n * (n - 1), F.lit(1.0)))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Line pairs that the queries with SQL keep, as that SQL says; queries without SQL pass None and see the whole join.
-THIN = 20
-
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -17,24 +14,46 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("class_id"), F.col("s_name").alias("class_name"), F.col("s_nationkey").cast("string").alias("package"))
 
 
-def _line_pairs(spark: SparkSession, d: str, shift: int, thin: int | None) -> DataFrame:
-    cols = ["l_orderkey", "l_suppkey", "l_partkey", "l_linestatus", "l_returnflag", "l_linenumber"]
-    a, b = table(spark, d, "lineitem").select(*cols).alias("a"), table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").alias("b")
-    j = a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).where(F.col("a.l_suppkey") != F.col("b.l_suppkey"))
-    return j if thin is None else j.where((F.col("a.l_partkey") + shift) % thin == F.col("b.l_partkey") % thin)
+def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["l_orderkey", "l_suppkey", "l_linestatus", "l_returnflag", "l_linenumber"]
+    a, b = table(spark, d, "lineitem").select(*cols).alias("a"), table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").alias("b")
+    return a.join(b, F.col("a.l_orderkey") == F.col("b.l_orderkey")).where(F.col("a.l_suppkey") != F.col("b.l_suppkey"))
+
+
+def _part_pairs(spark: SparkSession, d: str, ahead: int) -> DataFrame:
+    """Lines of an order with those that stand so many places further on: a graph of parts, which is sparse."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", "l_returnflag", "l_linenumber")
+    a, b = lines.withColumn("place", F.col("l_linenumber") + ahead).alias("a"), lines.select("l_orderkey", "l_partkey", F.col("l_linenumber").alias("place")).alias("b")
+    return a.join(b, ["l_orderkey", "place"]).where(F.col("a.l_partkey") != F.col("b.l_partkey"))
+
+
+def part_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return _dependencies(_part_pairs(spark, d, 1), "l_partkey")
+
+
+def part_flows(spark: SparkSession, d: str) -> DataFrame:
+    return _flows(_part_pairs(spark, d, 2), "l_partkey")
+
 
+def dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return _dependencies(_line_pairs(spark, d), "l_suppkey")
 
-def dependencies(spark: SparkSession, d: str, thin: int | None = THIN) -> DataFrame:
+
+def flows(spark: SparkSession, d: str) -> DataFrame:
+    return _flows(_line_pairs(spark, d), "l_suppkey")
+
+
+def _dependencies(found: DataFrame, key: str) -> DataFrame:
     typed = F.col("a.l_linestatus") == "O"
-    return _line_pairs(spark, d, 0, thin).select(
-        F.col("a.l_suppkey").cast("string").alias("source"), F.col("b.l_suppkey").cast("string").alias("target"), F.when(typed, "type").otherwise("call").alias("dependency_type"),
+    return found.select(
+        F.col(f"a.{key}").cast("string").alias("source"), F.col(f"b.{key}").cast("string").alias("target"), F.when(typed, "type").otherwise("call").alias("dependency_type"),
         F.when(typed, 1.0).otherwise(2.0).alias("weight"), F.when(typed, "field_type_reference").otherwise("method_call").alias("evidence_kind"),
     )
 
 
-def flows(spark: SparkSession, d: str, thin: int | None = THIN) -> DataFrame:
-    return _line_pairs(spark, d, 1, thin).where(F.col("a.l_returnflag").isin("R", "A")).select(
-        F.col("a.l_suppkey").cast("string").alias("source"), F.col("b.l_suppkey").cast("string").alias("target"),
+def _flows(found: DataFrame, key: str) -> DataFrame:
+    return found.where(F.col("a.l_returnflag").isin("R", "A")).select(
+        F.col(f"a.{key}").cast("string").alias("source"), F.col(f"b.{key}").cast("string").alias("target"),
         F.when(F.col("a.l_returnflag") == "R", "return_value_flow").otherwise("argument_passing_flow").alias("flow_type"), F.lit(3.0).alias("weight"), F.col("a.l_linenumber").cast("string").alias("evidence_method"),
     )
 
@@ -83,9 +102,8 @@ _ENDS = "CAST(a.l_suppkey AS VARCHAR) AS source, CAST(b.l_suppkey AS VARCHAR) AS
 #: Named SQL parts; each may use those before it.
 PARTS = {
     "nodes": "SELECT CAST(s_suppkey AS VARCHAR) AS class_id, s_name AS class_name, CAST(s_nationkey AS VARCHAR) AS package FROM supplier",
-    "deps": f"SELECT {_ENDS}, CASE WHEN a.l_linestatus = 'O' THEN 'type' ELSE 'call' END AS dependency_type, CASE WHEN a.l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight {_PAIR} AND a.l_partkey % {THIN} = b.l_partkey % {THIN}",
-    "alldeps": f"SELECT {_ENDS}, CASE WHEN a.l_linestatus = 'O' THEN 'type' ELSE 'call' END AS dependency_type, CASE WHEN a.l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight {_PAIR}",
-    "flows": f"SELECT {_ENDS}, CASE WHEN a.l_returnflag = 'R' THEN 'return_value_flow' ELSE 'argument_passing_flow' END AS flow_type, 3.0::DOUBLE AS weight, CAST(a.l_linenumber AS VARCHAR) AS evidence_method {_PAIR} AND (a.l_partkey + 1) % {THIN} = b.l_partkey % {THIN} AND a.l_returnflag IN ('R', 'A')",
+    "deps": f"SELECT {_ENDS}, CASE WHEN a.l_linestatus = 'O' THEN 'type' ELSE 'call' END AS dependency_type, CASE WHEN a.l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight {_PAIR}",
+    "flows": f"SELECT {_ENDS}, CASE WHEN a.l_returnflag = 'R' THEN 'return_value_flow' ELSE 'argument_passing_flow' END AS flow_type, 3.0::DOUBLE AS weight, CAST(a.l_linenumber AS VARCHAR) AS evidence_method {_PAIR} AND a.l_returnflag IN ('R', 'A')",
     "raw": "SELECT least(source, target) AS source, greatest(source, target) AS target, sum(CASE WHEN dependency_type = 'type' THEN weight ELSE 0 END) AS type_weight, sum(CASE WHEN dependency_type = 'call' THEN weight ELSE 0 END) AS call_weight, sum(weight) AS raw_weight FROM deps GROUP BY 1, 2",
     "flow": "SELECT least(source, target) AS source, greatest(source, target) AS target, sum(CASE WHEN flow_type = 'return_value_flow' THEN weight ELSE 0 END) AS return_flow_weight, sum(CASE WHEN flow_type = 'argument_passing_flow' THEN weight ELSE 0 END) AS argument_flow_weight FROM flows GROUP BY 1, 2",
     "ssa": "SELECT source, target, type_weight, call_weight, return_flow_weight, argument_flow_weight, 0.25 * (return_flow_weight + argument_flow_weight) AS ssa_flow_weight, type_weight + call_weight + 0.25 * (return_flow_weight + argument_flow_weight) AS g_ssa_weight FROM (SELECT coalesce(r.source, f.source) AS source, coalesce(r.target, f.target) AS target, coalesce(type_weight, 0) AS type_weight, coalesce(call_weight, 0) AS call_weight, coalesce(return_flow_weight, 0) AS return_flow_weight, coalesce(argument_flow_weight, 0) AS argument_flow_weight FROM raw r FULL JOIN flow f ON r.source = f.source AND r.target = f.target) WHERE type_weight + call_weight + return_flow_weight + argument_flow_weight > 0",
@@ -102,6 +120,14 @@ PARTS = {
 }
 
 
+def _by_part(sql: str, ahead: int) -> str:
+    return sql.replace("l_suppkey", "l_partkey").replace("a.l_orderkey = b.l_orderkey", f"a.l_orderkey = b.l_orderkey AND a.l_linenumber + {ahead} = b.l_linenumber")
+
+
+#: The graph of parts in place of the graph of suppliers, whose whole joins leave no pair out.
+BY_PART = {"deps": _by_part(PARTS["deps"], 1), "flows": _by_part(PARTS["flows"], 2)}
+
+
 def sql(body: str, *parts: str, **more: str) -> str:
     """body with the named parts, and further ones, as common tables."""
     use = {**{k: PARTS[k] for k in parts}, **more}

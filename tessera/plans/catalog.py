@@ -35,12 +35,20 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
-def raw(s, d, thin=A.THIN):
-    return G.raw_edges(A.dependencies(s, d, thin))
+def raw(s, d):
+    return G.raw_edges(A.dependencies(s, d))
 
 
-def ssa(s, d, thin=A.THIN):
-    return G.ssa_edges(raw(s, d, thin), A.flows(s, d, thin), 0.25)
+def ssa(s, d):
+    return G.ssa_edges(raw(s, d), A.flows(s, d), 0.25)
+
+
+def part_raw(s, d):
+    return G.raw_edges(A.part_dependencies(s, d))
+
+
+def part_ssa(s, d):
+    return G.ssa_edges(part_raw(s, d), A.part_flows(s, d), 0.25)
 
 
 RAW = ("deps", "raw")
@@ -53,9 +61,9 @@ CONT = ("l", "r", "cont")
 # Graph tables
 
 
-@query(A.sql("SELECT * FROM raw", "alldeps", raw=A.PARTS["raw"].replace("FROM deps", "FROM alldeps")))
+@query(A.sql("SELECT * FROM raw", *RAW))
 def grf03_raw_edges(s: SparkSession, d: str) -> DataFrame:
-    return raw(s, d, None)
+    return raw(s, d)
 
 
 @query(A.sql("SELECT count(*) FILTER (WHERE source = target) AS self_loops, count(*) AS rows FROM deps", "deps"))
@@ -120,27 +128,31 @@ def grf13_top_flow_degree(s, d):
 SEM = "SELECT source AS class_id_a, target AS class_id_b, argument_flow_weight + 1 AS weight FROM flow WHERE return_flow_weight > 0"
 
 
-def semantic(s, d, thin=A.THIN):
-    return G.flow_weights(A.flows(s, d, thin)).where("return_flow_weight > 0").select(F.col("source").alias("class_id_a"), F.col("target").alias("class_id_b"), (F.col("argument_flow_weight") + 1).alias("weight"))
+def semantic(s, d):
+    return semantic_of(A.flows(s, d))
+
 
+def semantic_of(flows):
+    return G.flow_weights(flows).where("return_flow_weight > 0").select(F.col("source").alias("class_id_a"), F.col("target").alias("class_id_b"), (F.col("argument_flow_weight") + 1).alias("weight"))
 
-@query(A.sql("SELECT coalesce(source, class_id_a) AS source, coalesce(target, class_id_b) AS target, raw_weight AS structural_weight, weight AS semantic_weight, CASE WHEN weight IS NULL THEN 'structural_only' WHEN raw_weight IS NULL THEN 'semantic_only' ELSE 'overlap' END AS category FROM raw FULL JOIN sem ON source = class_id_a AND target = class_id_b", *SSA[:4], sem=SEM))
+
+@query(A.sql("SELECT coalesce(source, class_id_a) AS source, coalesce(target, class_id_b) AS target, raw_weight AS structural_weight, weight AS semantic_weight, CASE WHEN weight IS NULL THEN 'structural_only' WHEN raw_weight IS NULL THEN 'semantic_only' ELSE 'overlap' END AS category FROM raw FULL JOIN sem ON source = class_id_a AND target = class_id_b", *SSA[:4], sem=SEM, **A.BY_PART))
 def grf14_evidence_category(s, d):
-    return G.evidence_category(raw(s, d), semantic(s, d))
+    return G.evidence_category(part_raw(s, d), semantic_of(A.part_flows(s, d)))
 
 
 NEW = "SELECT least(f.source, f.target) AS source, greatest(f.source, f.target) AS target, flow_type, evidence_method FROM flows f WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.source = least(f.source, f.target) AND r.target = greatest(f.source, f.target))"
 
 
-@query(A.sql("SELECT source, target, string_agg(DISTINCT flow_type, ';' ORDER BY flow_type) AS flow_types, count(*) AS records, count(DISTINCT evidence_method) AS methods FROM fresh GROUP BY 1, 2", *SSA[:3], fresh=NEW))
+@query(A.sql("SELECT source, target, string_agg(DISTINCT flow_type, ';' ORDER BY flow_type) AS flow_types, count(*) AS records, count(DISTINCT evidence_method) AS methods FROM fresh GROUP BY 1, 2", *SSA[:3], fresh=NEW, **A.BY_PART))
 def grf15_flow_only_pairs(s, d):
-    return G.flow_only_pairs(raw(s, d), A.flows(s, d))
+    return G.flow_only_pairs(part_raw(s, d), A.part_flows(s, d))
 
 
-@query(A.sql("SELECT neighbour AS class_id, count(DISTINCT node) AS bridged FROM ends WHERE node IN (SELECT node FROM nn) AND neighbour NOT IN (SELECT node FROM nn) GROUP BY 1 HAVING count(DISTINCT node) >= 2", *SSA[:3], "ends", fresh=NEW, top="SELECT DISTINCT source, target FROM fresh ORDER BY source, target LIMIT 3", nn="SELECT source AS node FROM top UNION SELECT target FROM top"))
+@query(A.sql("SELECT neighbour AS class_id, count(DISTINCT node) AS bridged FROM ends WHERE node IN (SELECT node FROM nn) AND neighbour NOT IN (SELECT node FROM nn) GROUP BY 1 HAVING count(DISTINCT node) >= 2", *SSA[:3], "ends", fresh=NEW, strong="SELECT source, target FROM fresh GROUP BY 1, 2 HAVING count(*) > 1", nn="SELECT source AS node FROM strong UNION SELECT target FROM strong", **A.BY_PART))
 def grf16_bridge_context(s, d):
-    three = G.flow_only_pairs(raw(s, d), A.flows(s, d)).select("source", "target").orderBy("source", "target").limit(3)
-    return G.bridge_context(raw(s, d), three)
+    e = part_raw(s, d)
+    return G.bridge_context(e, G.flow_only_pairs(e, A.part_flows(s, d)).where("records > 1").select("source", "target"))
 
 
 @query(A.sql("SELECT least(sc, tc) AS cluster_a, greatest(sc, tc) AS cluster_b, count(*) AS edge_count, sum(type_weight) AS type_weight, sum(call_weight) AS call_weight, sum(raw_weight) AS raw_weight FROM lab GROUP BY 1, 2", *LAB))
@@ -174,16 +186,9 @@ def grf19_boundary_destinations(s, d):
     return G.boundary_destinations(raw(s, d), A.labels(s, d))
 
 
-SPARSE = "SELECT source, target FROM raw WHERE (CAST(source AS INTEGER) * 31 + CAST(target AS INTEGER)) % 61 = 0"
-
-
-def sparse(s, d):
-    return raw(s, d).where("(CAST(source AS INT) * 31 + CAST(target AS INT)) % 61 = 0").select("source", "target")
-
-
-@query("WITH RECURSIVE " + A.sql("SELECT a AS class_id, min(b) AS component FROM reach GROUP BY 1", *RAW, "nodes", sp=SPARSE, step="SELECT source AS a, target AS b FROM sp UNION SELECT target, source FROM sp", reach="SELECT class_id AS a, class_id AS b FROM nodes UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a")[5:])
+@query("WITH RECURSIVE " + A.sql("SELECT a AS class_id, min(b) AS component FROM reach GROUP BY 1", *RAW, "nodes", step="SELECT source AS a, target AS b FROM raw UNION SELECT target, source FROM raw", reach="SELECT class_id AS a, class_id AS b FROM nodes UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a")[5:])
 def grf20_components(s, d):
-    return G.connected_components(A.nodes(s, d), sparse(s, d))
+    return G.connected_components(A.nodes(s, d), raw(s, d).select("source", "target"))
 
 
 @query(A.sql("SELECT focal, external, count(*) AS edge_count, sum(w) AS weight, count(DISTINCT external_class) AS outside_classes, count(DISTINCT focal_class) AS focal_classes FROM sides GROUP BY 1, 2", *LAB, sides=SIDES))
@@ -285,9 +290,9 @@ def met03_partition_metrics(s, d):
     return rounded(M.partition_metrics(raw(s, d), A.labels(s, d), "raw_weight"))
 
 
-@query(A.sql("SELECT count(*) AS new_edges, (SELECT count(*) FROM ssa) AS ssa_edges, round(count(*) * 1.0::DOUBLE / (SELECT count(*) FROM ssa), 6) AS new_edge_ratio FROM ssa x WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.source = x.source AND r.target = x.target)", *SSA))
+@query(A.sql("SELECT count(*) AS new_edges, (SELECT count(*) FROM ssa) AS ssa_edges, round(count(*) * 1.0::DOUBLE / (SELECT count(*) FROM ssa), 6) AS new_edge_ratio FROM ssa x WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.source = x.source AND r.target = x.target)", *SSA, **A.BY_PART))
 def met06_new_edges(s, d):
-    return rounded(M.new_edge_share(raw(s, d), ssa(s, d)))
+    return rounded(M.new_edge_share(part_raw(s, d), part_ssa(s, d)))
 
 
 @query(A.sql("SELECT sum(ssa_flow_weight) AS ssa_weight, sum(g_ssa_weight) AS total_weight, round(sum(ssa_flow_weight) / sum(g_ssa_weight), 6) AS ssa_weight_share FROM ssa", *SSA))
@@ -313,19 +318,19 @@ def met10_size_metrics(s, d):
 PW = "SELECT coalesce(r.source, x.source) AS source, coalesce(r.target, x.target) AS target, coalesce(raw_weight, 0) AS raw_weight, coalesce(g_ssa_weight, 0) AS g_ssa_weight, r.source IS NULL AS is_new FROM raw r FULL JOIN ssa x ON r.source = x.source AND r.target = x.target"
 
 
-@query(A.sql("SELECT * FROM pw", *SSA, pw=PW))
+@query(A.sql("SELECT * FROM pw", *SSA, pw=PW, **A.BY_PART))
 def met12_pair_weights(s, d):
-    return M.pair_weights(raw(s, d), ssa(s, d))
+    return M.pair_weights(part_raw(s, d), part_ssa(s, d))
 
 
-@query(A.sql("SELECT * FROM pw WHERE is_new ORDER BY g_ssa_weight DESC, source, target LIMIT 20", *SSA, pw=PW))
+@query(A.sql("SELECT * FROM pw WHERE is_new ORDER BY g_ssa_weight DESC, source, target LIMIT 20", *SSA, pw=PW, **A.BY_PART))
 def met11_impact_new(s, d):
-    return M.impact_new(raw(s, d), ssa(s, d))
+    return M.impact_new(part_raw(s, d), part_ssa(s, d))
 
 
-@query(A.sql("SELECT *, g_ssa_weight - raw_weight AS increase FROM pw WHERE NOT is_new AND g_ssa_weight > raw_weight ORDER BY increase DESC, source, target LIMIT 20", *SSA, pw=PW))
+@query(A.sql("SELECT *, g_ssa_weight - raw_weight AS increase FROM pw WHERE NOT is_new AND g_ssa_weight > raw_weight ORDER BY increase DESC, source, target LIMIT 20", *SSA, pw=PW, **A.BY_PART))
 def met11_impact_increased(s, d):
-    return M.impact_increased(raw(s, d), ssa(s, d))
+    return M.impact_increased(part_raw(s, d), part_ssa(s, d))
 
 
 @query(A.sql("SELECT source, target, string_agg(t, '; ' ORDER BY t) AS summary FROM (SELECT least(source, target) AS source, greatest(source, target) AS target, printf('%s:%d rows/%.1f weight', flow_type, count(*), sum(weight)) AS t FROM flows GROUP BY 1, 2, flow_type) GROUP BY 1, 2", "flows"))
@@ -770,9 +775,9 @@ def stat13_spearman(s, d):
     return rounded(T.spearman(A.pairs(s, d), "left", "right", ("event_type",)))
 
 
-@query("SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, round(rs - n1 * (n1 + 1) / 2.0, 3)::DOUBLE AS u FROM (SELECT count(*) FILTER (WHERE g = 'a') AS n1, count(*) FILTER (WHERE g = 'b') AS n2, sum(r) FILTER (WHERE g = 'a') AS rs FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events WHERE event_id % 50 = 0))")
+@query("SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, round(rs - n1 * (n1 + 1) / 2.0, 3)::DOUBLE AS u FROM (SELECT count(*) FILTER (WHERE g = 'a') AS n1, count(*) FILTER (WHERE g = 'b') AS n2, sum(r) FILTER (WHERE g = 'a') AS rs FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM events))")
 def stat14_mann_whitney(s, d):
-    e = A.table(s, d, "events").where("event_id % 50 = 0").withColumn("g", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
+    e = A.table(s, d, "events").withColumn("g", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
     return T.mann_whitney(e, "value", "g", "a").select("n1", "n2", F.round("u", 3).alias("u"))
 
 
@@ -802,7 +807,7 @@ def stat24_random_baseline(s, d):
     import numpy as np
 
     k = np.array([r[0] for r in A.labels(s, d).orderBy("class_id").select("cluster_id").toLocalIterator()])  # one subject
-    return T.random_baseline(s, k, semantic(s, d, None).count())
+    return T.random_baseline(s, k, semantic(s, d).count())
 
 
 @query()
@@ -911,13 +916,13 @@ def viz03_edge_widths(s, d):
 @query()
 def clu01_leiden(s, d):
     params = s.createDataFrame([(1.0, 42), (1.0, 1), (0.8, 42), (1.2, 42)], "resolution double, seed long")
-    return X.leiden_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params)
+    return X.leiden_runs(A.nodes(s, d), raw(s, d), "raw_weight", params)
 
 
 @query()
 def evo08_nsga2(s, d):
     params = s.createDataFrame([(k,) for k in range(30)], "seed long")
-    return X.nsga2_runs(A.nodes(s, d), raw(s, d, None), "raw_weight", params).withColumn("label_vector", F.to_json("label_vector"))
+    return X.nsga2_runs(A.nodes(s, d), raw(s, d), "raw_weight", params).withColumn("label_vector", F.to_json("label_vector"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def met05_graph_totals(s, d):
 
 @query()
 def met05_smoke_row(s, d):
-    return rounded(R.smoke_metrics(A.nodes(s, d), raw(s, d, None), ssa(s, d, None), A.labels(s, d), A.labels_mod(s, d)))
+    return rounded(R.smoke_metrics(A.nodes(s, d), raw(s, d), ssa(s, d), A.labels(s, d), A.labels_mod(s, d)))
 
 
 SOL = "SELECT z.solution_id, z.class_count, z.cluster_count, z.largest, z.singletons, z.size_cv, internal_weight, total - internal_weight AS external_weight, (total - internal_weight) / total AS coupling, internal_weight / total AS internal_share, internal_weight / total - squares / (4 * total * total) AS weighted_modularity FROM (SELECT solution_id, CAST(sum(size) AS BIGINT) AS class_count, count(*) AS cluster_count, max(size) AS largest, count(*) FILTER (WHERE size = 1) AS singletons, stddev_pop(size) / avg(size) AS size_cv FROM (SELECT solution_id, cluster_id, count(*) AS size FROM cand GROUP BY 1, 2) GROUP BY 1) z JOIN (SELECT solution_id, sum(i) AS internal_weight, sum(deg) / 2 AS total, sum(deg * deg) AS squares FROM (SELECT solution_id, c, sum(i) AS i, sum(w) AS deg FROM (SELECT solution_id, sc AS c, CASE WHEN sc = tc THEN w ELSE 0 END AS i, w FROM placed UNION ALL SELECT solution_id, tc, 0, w FROM placed) GROUP BY 1, 2) GROUP BY 1) m ON z.solution_id = m.solution_id"
@@ -211,7 +211,7 @@ def stat25_mapped_ratio(s, d):
 @query()
 def stat26_pass_rule(s, d):
     k = np.array([r[0] for r in A.labels(s, d).orderBy("class_id").select("cluster_id").toLocalIterator()])
-    edges = semantic(s, d, None)
+    edges = semantic(s, d)
     p95 = T.quantile_higher(T.random_baseline(s, k, edges.count()), "mapped_ratio", 0.95)
     return R.mapped_ratio(edges, A.labels(s, d)).crossJoin(p95).withColumn("passes", F.col("mapped_ratio") > F.col("quantile"))
 
@@ -243,12 +243,10 @@ def res06_graph_quality(s, d):
     return rounded(R.graph_quality(A.nodes(s, d), semantic(s, d), raw(s, d)))
 
 
-@query(A.sql("SELECT x.class_id AS a, y.class_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM vec x JOIN vec y ON x.label = y.label AND CAST(x.class_id AS INTEGER) < CAST(y.class_id AS INTEGER) AND CAST(x.class_id AS INTEGER) % 10 = 0", "vec"))
+@query(A.sql("SELECT x.class_id AS a, y.class_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM vec x JOIN vec y ON x.class_id <> y.class_id AND CAST(x.class_id AS BIGINT) % 100 = 0", "vec"))
 def vec02_cosine(s, d):
-    v = A.vectors(s, d)
-    x, y = v.select(F.col("class_id").alias("a"), F.col("embedding").alias("u"), "label"), v.select(F.col("class_id").alias("b"), F.col("embedding").alias("w"), "label")
-    j = x.where("CAST(a AS INT) % 10 = 0").join(y, "label").where("CAST(a AS INT) < CAST(b AS INT)")
-    return rounded(j.select("a", "b", E.cosine(F.col("u"), F.col("w")).alias("cosine")))
+    v = A.vectors(s, d).select("class_id", "embedding")
+    return rounded(E.cosines(v.where("CAST(class_id AS BIGINT) % 100 = 0"), v))
 
 
 @query()
@@ -263,16 +261,16 @@ def clu03_strongest_edges(s, d):
     def run(ids, g, p):
         return pd.DataFrame({"groups": int(p["groups"]), "class_id": ids, "cluster_id": X.strongest_edge_groups(g, int(p["groups"]), max(2, int(0.4 * g.n))).astype("int32")})
 
-    return X.per_run(A.nodes(s, d), raw(s, d, None), "raw_weight", params, ["groups"], run, "groups long, class_id string, cluster_id int")
+    return X.per_run(A.nodes(s, d), raw(s, d), "raw_weight", params, ["groups"], run, "groups long, class_id string, cluster_id int")
 
 
 @query()
 def clu04_sweep(s, d):
     """Modularity of Leiden over a grid of resolutions and seeds."""
     params = s.createDataFrame([(r / 10, seed) for r in (6, 10, 14) for seed in (0, 1)], "resolution double, seed long")
-    found = X.leiden_runs(A.nodes(s, d), ssa(s, d, None), "g_ssa_weight", params)
+    found = X.leiden_runs(A.nodes(s, d), ssa(s, d), "g_ssa_weight", params)
     named = found.withColumn("solution_id", F.concat_ws(":", "resolution", "seed"))
-    return rounded(R.solution_metrics(ssa(s, d, None), named, "g_ssa_weight"))
+    return rounded(R.solution_metrics(ssa(s, d), named, "g_ssa_weight"))
 
 
 @query()
@@ -282,7 +280,7 @@ def clu05_seed_stability(s, d):
     def of(graph, edges, weight):
         return C.stability(C.all_pairs(X.leiden_runs(A.nodes(s, d), edges, weight, params), "seed")).withColumn("graph", F.lit(graph))
 
-    return rounded(of("raw", raw(s, d, None), "raw_weight").union(of("ssa", ssa(s, d, None), "g_ssa_weight")))
+    return rounded(of("raw", raw(s, d), "raw_weight").union(of("ssa", ssa(s, d), "g_ssa_weight")))
 
 
 @query()
@@ -293,4 +291,4 @@ def evo13_seeds(s, d):
         rows = X.seeds(g, X.leiden(g, seed=int(p["seed"])), int(p["seed"]))
         return pd.DataFrame({"seed": int(p["seed"]), "name": [n for n, _ in rows], "clusters": [int(x.max()) + 1 for _, x in rows]})
 
-    return X.per_run(A.nodes(s, d), raw(s, d, None), "raw_weight", params, ["seed"], run, "seed long, name string, clusters long")
+    return X.per_run(A.nodes(s, d), raw(s, d), "raw_weight", params, ["seed"], run, "seed long, name string, clusters long")

@@ -23,7 +23,7 @@ def test_searches_see_every_line_pair(spark, lines):
     for r in catalog.queries()["clu01_leiden"](spark, lines).where("seed = 1").collect():
         groups.setdefault(r.cluster_id, set()).add(r.class_id)
     assert sorted(map(sorted, groups.values())) == [["0", "1", "2"], ["3", "4", "5"]]
-    assert catalog.semantic(spark, lines, None).count() == 4  # from the first supplier of each group
+    assert catalog.semantic(spark, lines).count() == 4  # from the first supplier of each group
 
 
 def test_repetitions_of_the_reference(spark, lines, monkeypatch):
