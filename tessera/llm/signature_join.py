@@ -379,9 +379,7 @@ def _verify(n: int, percent: int, what: str):
             for a, b in tree_pairs(mine, theirs, percent):
                 a, b = left[a], right[b]
                 if what == "all":
-                    once = (size[a] > 0) & (size[b] > 0)
-                    if once.any():
-                        yield batch_of(doc[a[once]], doc[b[once]])
+                    yield batch_of(doc[a], doc[b])
                     continue
                 np.add.at(total, a, size[b])
                 np.add.at(total, b, size[a])
@@ -393,7 +391,7 @@ def _verify(n: int, percent: int, what: str):
                         union.join(r, s)
                         u.append(int(doc[p]))
                         v.append(int(doc[q]))
-            counted = (total > 0) & (size > 0)
+            counted = total > 0
             if counted.any():
                 yield batch_of(doc[counted], None, total[counted])
         if u:
@@ -414,12 +412,12 @@ def _verify(n: int, percent: int, what: str):
                             yield from links(docs, own, copies, sets, *now[1:])
                         now, docs, own, copies, sets, seen = (c, i, j), [], [], [], [], set()
                     # of the rows of one doc_id, one with the class's own set counts
-                    counts = doc not in seen and int(mix(s + np.uint64(SALT)).sum(dtype=np.uint64).view(np.int64)) == h1
-                    if counts:
-                        seen.add(doc)
+                    if doc in seen or int(mix(s + np.uint64(SALT)).sum(dtype=np.uint64).view(np.int64)) != h1:
+                        continue
+                    seen.add(doc)
                     docs.append(doc)
                     own.append(o)
-                    copies.append(k if counts else 0)
+                    copies.append(k)
                     sets.append(s)
         if docs:
             yield from links(docs, own, copies, sets, *now[1:])
