@@ -85,19 +85,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, pos, line, lower_ascii AS key FROM (
-    SELECT doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS line
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
-  , LATERAL (SELECT translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii)
+  SELECT row_id, doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS line,
+    translate(regexp_replace(regexp_replace(unnest(parts), '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), common AS (
   SELECT key FROM lines WHERE key <> '' AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 ), marked AS (
-  SELECT l.*, c.key IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
+  SELECT l.*, c.key IS NOT NULL AND doc_id IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row_id
 """
 
 

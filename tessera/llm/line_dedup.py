@@ -8,7 +8,10 @@ a boundary table of at most two rows a task, which settles runs that cross tasks
 What comes back is a zlib bitmap a document (bit = 1: keep), never text.
 
 Null or empty text is one empty line. Null doc_id: its lines neither count nor go.
-Rows that repeat a doc_id count as one document for the threshold, and each loses the line.
+Rows that repeat a doc_id count as one document for the threshold. A row is known by its doc_id and the hash of its text,
+so each row loses its own lines only, and equal rows lose the same. Ties: a line counts once a document, wherever it stands.
+Very long texts are split as whole texts; their lines travel as hashes. An empty table gives an empty result. Only doc_id and text are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,43 +37,41 @@ def line_key(line: bytes) -> bytes:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["h1", "h2", "doc_id", "pos"]
+    names = ["h1", "h2", "doc_id", "row", "pos"]
     for batch in batches:
-        hashes, docs, places = bytearray(), [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+        hashes, docs, rows, places = bytearray(), [], [], []
+        for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if doc is None or not text:
                 continue
             for pos, line in enumerate(text.split(b"\n")):
                 if key := line_key(line):
                     hashes += xxhash.xxh3_128_digest(key)
                     docs.append(doc)
+                    rows.append(row)
                     places.append(pos)
         if docs:
             h = np.frombuffer(bytes(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32())], names)
 
 
-_RUNS = "kind int, part long, h1 long, h2 long, doc_id long, pos int, last_doc long, n_docs long"
+_RUNS = "kind int, part long, piece int, h1 long, h2 long, doc_id long, row long, pos int, last_doc long, n_docs long"
 
 
-def _emit(kind, part, h1, h2, doc, pos, last, n) -> pa.RecordBatch:
+def _emit(kind, part, piece, h1, h2, doc, row, pos, last, n) -> pa.RecordBatch:
     size = len(h1)
-    full = lambda v, t: pa.array(np.full(size, v, t))
-    return pa.RecordBatch.from_arrays(
-        [full(kind, np.int32), full(part, np.int64), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(last), pa.array(n.astype(np.int64))],
-        ["kind", "part", "h1", "h2", "doc_id", "pos", "last_doc", "n_docs"],
-    )
+    cols = [np.full(size, kind, np.int32), np.full(size, part, np.int64), piece.astype(np.int32), h1, h2, doc, row, pos.astype(np.int32), last, n.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in _RUNS.split(", ")])
 
 
 def _stream(min_docs: int):
-    """Sorted rows -> lines to drop (kind 0), lines of runs at a batch's edge (1), records of those runs (2)."""
+    """Sorted rows -> lines to drop (kind 0), lines of runs at a batch's edge (1), records of those runs (2: a piece each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() << 32
         for batch in batches:
-            h1, h2, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            h1, h2, doc, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(h1):
                 continue
             new_key = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -80,53 +81,56 @@ def _stream(min_docs: int):
             n_docs = np.add.reduceat(fresh.astype(np.int64), begin)
             edge = np.zeros(len(begin), bool)
             edge[[0, -1]] = True
+            piece = np.repeat(np.cumsum(edge) - 1, end - begin)
             for kind, runs in ((0, ~edge & (n_docs >= min_docs)), (1, edge)):
                 if (rows := np.repeat(runs, end - begin)).any():
-                    yield _emit(kind, part, h1[rows], h2[rows], doc[rows], pos[rows], doc[rows], np.zeros(int(rows.sum())))
+                    yield _emit(kind, part, piece[rows], h1[rows], h2[rows], doc[rows], row[rows], pos[rows], doc[rows], np.zeros(int(rows.sum())))
             at = begin[edge]
-            yield _emit(2, part, h1[at], h2[at], doc[at], np.arange(len(at)), doc[end[edge] - 1], n_docs[edge])
+            yield _emit(2, part, np.arange(len(at)), h1[at], h2[at], doc[at], row[at], pos[at], doc[end[edge] - 1], n_docs[edge])
             part += 1
 
     return run
 
 
 def drop_marks(scratch: Scratch, docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """(doc_id, pos) of every line whose key stands in at least min_docs documents."""
-    lines = scratch.cut(docs.select("doc_id", "text").mapInArrow(_lines, "h1 long, h2 long, doc_id long, pos int"), "lines")
+    """(doc_id, row, pos) of every line whose key stands in at least min_docs documents; row is the xxhash64 of the text."""
+    lines = scratch.cut(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_lines, "h1 long, h2 long, doc_id long, row long, pos int"), "lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h1", "h2", "doc_id", "pos"]
+    order = ["h1", "h2", "doc_id", "row", "pos"]
     runs = scratch.cut(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _RUNS), "runs")
     scratch.drop(lines)
     # a document that goes on from one piece to the next counts once
-    pieces = runs.where("kind = 2").withColumn("before", F.lag("last_doc").over(Window.partitionBy("h1", "h2").orderBy("part", "pos")))
-    common = scratch.cut(pieces.groupBy("h1", "h2").agg(F.sum(F.col("n_docs") - F.when(F.col("before") == F.col("doc_id"), 1).otherwise(0)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "common")
-    settled = runs.where("kind = 1").select("h1", "h2", "doc_id", "pos").join(common, ["h1", "h2"])
-    return runs.where("kind = 0").select("doc_id", "pos").union(settled.select("doc_id", "pos"))
+    pieces = runs.where("kind = 2").withColumn("before", F.lag("last_doc").over(Window.partitionBy("h1", "h2").orderBy("part", "piece")))
+    common = pieces.groupBy("h1", "h2").agg(F.sum(F.col("n_docs") - F.when(F.col("before") == F.col("doc_id"), 1).otherwise(0)).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    settled = scratch.cut(runs.where("kind = 2").select("h1", "h2", "part", "piece").join(common, ["h1", "h2"]).select("part", "piece"), "settled")
+    # lines meet their piece, which holds a batch at most, not their key
+    late = runs.where("kind = 1").select("part", "piece", "doc_id", "row", "pos").join(settled, ["part", "piece"])
+    return runs.where("kind = 0").select("doc_id", "row", "pos").union(late.select("doc_id", "row", "pos"))
 
 
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Positions, sorted by document -> a row a document and batch: the bitmap of lines that go."""
     for batch in batches:
-        doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        doc, row, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(doc):
             continue
-        begin = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1))
+        begin = np.concatenate(([0], np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1])) + 1))
         blobs = []
         for a, b in zip(begin, np.concatenate((begin[1:], [len(doc)])), strict=True):
             bits = np.zeros(int(pos[a:b].max()) + 1, np.uint8)
             bits[pos[a:b]] = 1
             blobs.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(blobs, pa.binary())], ["doc_id", "gone"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(row[begin]), pa.array(blobs, pa.binary())], ["doc_id", "row", "gone"])
 
 
 def keep_bitmaps(scratch: Scratch, docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """(doc_id, gone): for documents that lose lines, zlib-compressed bitmaps of those lines.
+    """(doc_id, row, gone): for documents that lose lines, zlib-compressed bitmaps of those lines; row is the xxhash64 of the text.
 
-    A document may have several rows (one a batch); a reader ORs them. Bits beyond a
+    A document may have several bitmaps (one a batch); a reader ORs them. Bits beyond a
     bitmap's end are 0. Documents without a row keep every line.
     """
     marks = drop_marks(scratch, docs, min_docs)
-    return marks.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_bitmap, "doc_id long, gone binary")
+    return marks.repartition("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(_bitmap, "doc_id long, row long, gone binary")
 
 
 def gone_lines(blobs, n: int) -> np.ndarray:
@@ -153,6 +157,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_dedup_digest(spark: SparkSession, docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 for every row of docs."""
     scratch = Scratch(spark, "line-dedup")
-    maps = scratch.cut(keep_bitmaps(scratch, docs, min_docs).groupBy("doc_id").agg(F.collect_list("gone").alias("gone")), "bitmaps")
+    maps = scratch.cut(keep_bitmaps(scratch, docs, min_docs).groupBy("doc_id", "row").agg(F.collect_list("gone").alias("gone")), "bitmaps")
     # the same plan at every size: text is shuffled once, never beside a broadcast of the bitmaps
-    return docs.select("doc_id", "text").join(maps.hint("merge"), "doc_id", "left").mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    known = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(maps.hint("merge"), ["doc_id", "row"], "left")
+    return known.select("doc_id", "text", "gone").mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
