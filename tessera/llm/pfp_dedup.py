@@ -5,18 +5,20 @@ A byte goes when a LENGTH-byte string that covers it also starts in a document w
 Parsing: a rolling hash of every TRIGGER-byte string picks triggers; the trigger of a window of LENGTH bytes is the
 leftmost smallest hash in it, so equal windows have their trigger at the same place, in any text. Consecutive windows with one trigger
 are a phrase: its bytes overlap the next phrase's by LENGTH - 1, so each window lies in exactly one phrase of its text.
-Dictionary and parse: equal phrases are one dictionary entry, which keeps its smallest document; the parse is the
-sequence of (document, place, phrase). There is no suffix array of the dictionary or of the parse, and no order by content: phrases, and
-where a trigger has several, their windows of LENGTH bytes, are grouped by hash (winnowing with window minima). A phrase that also
-stands in a smaller document goes whole; first occurrences that share a trigger and the bytes on one side of it with another
-document's phrase are settled window by window. Each text is read three times; most of the corpus never gets beyond the phrase level.
+Dictionary and parse: equal phrases (120 bits of hashes) are one dictionary entry, which keeps its smallest document; the parse is the
+sequence of (document, place, phrase). A phrase that also stands in a smaller document goes whole. First occurrences that share a trigger and
+the bytes on one side of it with another document's phrase stay open: their bytes travel to the trigger's bucket, where a suffix array of the
+bucket's part of the dictionary, made by prefix doubling to LENGTH bytes, puts equal windows side by side. As a window
+never reaches beyond its phrase, the order of the parse after a phrase can't part equal windows: the suffix array of the parse comes down to the smallest document of each phrase, and isn't
+built. Windows are thus compared by their bytes. Each text is read three times; most of the corpus never gets beyond the phrase level.
 
 Rows travel as packed arrays by hash bucket, folded in the task first: of equal phrases in a task only those of the
-smallest document are sent, so a common passage costs one row a task.
-Phrases and windows have 64-bit hashes of random byte tables; trigger hashes only group.
+smallest document are sent, so a common passage costs one row a task. A trigger whose phrases are all different is held by one task.
 
-Null or empty text has no bytes. Null doc_id: not compared, nothing is removed. Rows that repeat a doc_id with the same text
-aren't smaller than each other and lose the same; with other texts they lose the places of all of them. Texts under LENGTH bytes stay.
+Null or empty text has no bytes. Null doc_id: not compared, nothing is removed. Rows that repeat a doc_id aren't smaller than each other; where their
+texts differ, a hash of the text tells their places apart, so each loses its own. Ties: of equal strings in one document all stay, or all go.
+Texts under LENGTH bytes stay; very long ones are parsed in overlapping pieces. An empty table gives an empty result. Only doc_id and text are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import _TABLE, mix, powers, ragged, slices, span_hashes, text_buffer
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, side
 
 LENGTH, TRIGGER = 50, 16
 #: Texts that share a window around a trigger share so many bytes on one side of it at least.
@@ -99,14 +101,18 @@ def _long(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def fold_first(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each entry: does its key also have a smaller document here?"""
-    if not len(key):
+def fold_first(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each entry: do its keys also have a smaller document here?"""
+    if not len(doc):
         return np.zeros(0, bool)
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    lead = d[np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))]
-    out = np.empty(len(key), bool)
+    order = np.lexsort((doc, *keys))
+    d, new = doc[order], np.zeros(len(doc), bool)
+    new[0] = True
+    for key in keys:
+        k = key[order]
+        new[1:] |= k[1:] != k[:-1]
+    lead = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
+    out = np.empty(len(doc), bool)
     out[order] = d > lead
     return out
 
@@ -174,7 +180,7 @@ HELD = 1 << 20
 
 
 class Outbox:
-    """Gathers (doc, first window, number) of a kind over all of a task's input, then deals them by document bucket.
+    """Gathers (doc, variant, first window, number) of a kind over all of a task's input, then deals them by document bucket.
 
     So a task sends each document bucket a few rows, however many hash buckets it has read.
     """
@@ -182,43 +188,45 @@ class Outbox:
     def __init__(self, buckets: int):
         self.buckets, self.held, self.size = buckets, {}, 0
 
-    def add(self, kind: int, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, kind: int, doc: np.ndarray, var: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(doc):
-            self.held.setdefault(kind, []).append((doc, first.astype(np.int32), n.astype(np.int32)))
+            self.held.setdefault(kind, []).append((doc, var, first.astype(np.int32), n.astype(np.int32)))
             self.size += len(doc)
             if self.size >= HELD:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         for kind, parts in self.held.items():
-            doc, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((first, doc))
-            doc, first, n = doc[order], first[order].astype(np.int64), n[order].astype(np.int64)
-            begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1]))))
-            doc, first, n = doc[begin], first[begin].astype(np.int32), np.add.reduceat(n, begin).astype(np.int32)
-            yield from _blobs(kind, _bucket_of(doc, self.buckets), (doc, first, n))
+            doc, var, first, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((first, var, doc))
+            doc, var, first, n = doc[order], var[order], first[order].astype(np.int64), n[order].astype(np.int64)
+            begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (var[1:] != var[:-1]) | (first[1:] != first[:-1] + n[:-1]))))
+            n = np.add.reduceat(n, begin).astype(np.int32)
+            yield from _blobs(kind, _bucket_of(doc[begin], self.buckets), (doc[begin], var[begin], first[begin].astype(np.int32), n))
         self.held, self.size = {}, 0
 
 
-def pack_phrases(doc: np.ndarray, fields: tuple[np.ndarray, ...]) -> bytes:
-    """Documents as 4 bytes from their smallest where those do, and the SENT bytes of each field."""
+def pack_phrases(doc: np.ndarray, var: np.ndarray, fields: tuple[np.ndarray, ...]) -> bytes:
+    """Documents as 4 bytes from their smallest where those do, variants where there are any, and the SENT bytes of each field."""
     base = int(doc.min())
-    wide = int(doc.max()) - base >= 1 << 32
-    out = [np.array([base, len(doc) << 1 | wide], np.int64).tobytes(), (doc - base).astype(np.int64 if wide else np.uint32).tobytes()]
+    wide, many = int(doc.max()) - base >= 1 << 32, bool(var.any())
+    out = [np.array([base, len(doc) << 2 | many << 1 | wide], np.int64).tobytes(), (doc - base).astype(np.int64 if wide else np.uint32).tobytes(), var.tobytes() if many else b""]
     for x, size in zip(fields, SENT, strict=True):
         out.append(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
     return b"".join(out)
 
 
 def unpack_phrases(blobs: list[bytes]) -> list[np.ndarray]:
-    """doc and the fields of blobs, as 64-bit arrays."""
+    """doc, variant and the fields of blobs, as 64-bit arrays."""
     parts = []
     for blob in blobs:
         base, n = np.frombuffer(blob, np.int64, 2).tolist()
-        wide, n, at = n & 1, n >> 1, 16
+        wide, many, n, at = n & 1, n & 2, n >> 2, 16
         doc = np.frombuffer(blob, np.int64 if wide else np.uint32, n, at)
         at += doc.nbytes
-        row = [doc.astype(np.int64) + base]
+        var = np.frombuffer(blob, np.int64, n, at) if many else np.zeros(n, np.int64)
+        at += 8 * n if many else 0
+        row = [doc.astype(np.int64) + base, var]
         for size in SENT:
             x = np.zeros((n, 8), np.uint8)
             x[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
@@ -228,7 +236,8 @@ def unpack_phrases(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-GONE = (np.int64, np.int32, np.int32)
+#: Document, variant, first window, number of windows.
+GONE = (np.int64, np.int64, np.int32, np.int32)
 
 
 def _boxed(batches, done, box: Outbox) -> Iterator[pa.RecordBatch]:
@@ -247,11 +256,11 @@ def _parse(buckets: int, by_doc: int):
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        k, p, doc, first, n, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
-        gone = fold_first(p, doc)
-        yield from box.add(1, doc[gone], first[gone], n[gone])
+        k, p, doc, var, first, n, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+        gone = fold_first(doc, p, k)
+        yield from box.add(1, doc[gone], var[gone], first[gone], n[gone])
         s = ~gone
-        yield from _blobs(0, _bucket_of(k[s], buckets), tuple(x[s] for x in (doc, k, p, first, n, left, right)), lambda doc, *x: pack_phrases(doc, x))
+        yield from _blobs(0, _bucket_of(k[s], buckets), tuple(x[s] for x in (doc, var, k, p, first, n, left, right)), lambda doc, var, *x: pack_phrases(doc, var, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -260,7 +269,7 @@ def _parse(buckets: int, by_doc: int):
             for batch in slices(whole, "text"):
                 raw, at = text_buffer(batch.column(1))
                 k, p, row, *rest = phrases(raw, at)
-                held.append((k, p, batch.column(0).to_numpy(zero_copy_only=False)[row], *rest))
+                held.append((k, p, batch.column(0).to_numpy(zero_copy_only=False)[row], batch.column(2).to_numpy(zero_copy_only=False)[row], *rest))
                 size += len(raw)
                 if size >= GATHER:
                     yield from flush(held)
@@ -279,35 +288,34 @@ def _dictionary(by_doc: int):
         if kind == 1:
             yield from box.add(1, *_unpack(blobs, GONE))
             return
-        doc, k, p, first, n, left, right = unpack_phrases(blobs)
-        whole = mix(mix(k) + p) + (left << np.uint64(16) | right)
-        gone = fold_first(whole, doc)
+        doc, var, k, p, first, n, left, right = unpack_phrases(blobs)
+        gone = fold_first(doc, p << np.uint64(16) | right, k << np.uint64(16) | left)
         first, n = first.astype(np.int32), n.astype(np.int32)
-        yield from box.add(1, doc[gone], first[gone], n[gone])
-        k, doc, first, n, left, right = (x[~gone] for x in (k, doc, first, n, left, right))
+        yield from box.add(1, doc[gone], var[gone], first[gone], n[gone])
+        k, doc, var, first, n, left, right = (x[~gone] for x in (k, doc, var, first, n, left, right))
         # a shared window needs an equal side as well as the trigger, in two documents at least
         open_ = in_two(mix(k) + left, doc) | in_two(mix(k) + (right | np.uint64(1 << 20)), doc)
-        yield from box.add(2, doc[open_], first[open_], n[open_])
+        yield from box.add(2, doc[open_], var[open_], first[open_], n[open_])
 
     box = Outbox(by_doc)
     return lambda batches: _boxed(batches, done, box)
 
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows by document -> (doc_id, runs of windows as packed int32 pairs); touching runs are merged."""
+    """Windows by document -> (doc_id, var, runs of windows as packed int32 pairs); touching runs are merged."""
 
     def done(_, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, first, n = _unpack(blobs, GONE)
-        order = np.lexsort((first, doc))
-        doc, first, n = doc[order], first[order].astype(np.int64), n[order].astype(np.int64)
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (first[1:] > first[:-1] + n[:-1])))
-        at = np.flatnonzero(new)
+        doc, var, first, n = _unpack(blobs, GONE)
+        order = np.lexsort((first, var, doc))
+        doc, var, first, n = doc[order], var[order], first[order].astype(np.int64), n[order].astype(np.int64)
+        other = (doc[1:] != doc[:-1]) | (var[1:] != var[:-1])
+        at = np.flatnonzero(np.concatenate(([True], other | (first[1:] > first[:-1] + n[:-1]))))
         last = np.maximum.reduceat(first + n, at)
         pairs = np.stack([first[at], last - first[at]], 1).astype(np.int32)
-        d = doc[at]
-        cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        d, v = doc[at], var[at]
+        cut = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (v[1:] != v[:-1]))))
         ends = np.concatenate((cut[1:], [len(d)]))
-        yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array([pairs[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], ["doc_id", "runs"])
+        yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(v[cut]), pa.array([pairs[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())], ["doc_id", "var", "runs"])
 
     return _grouped(batches, done)
 
@@ -317,59 +325,97 @@ def _runs(blob) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _windows(buckets: int, by_doc: int):
-    """(doc_id, packed text, open windows) -> windows by content (0: hash, doc, place), folded in the task."""
+#: Of each open phrase: trigger hash, document, variant, first window, number of windows, and its bytes.
+OPEN = (np.uint64, np.int64, np.int64, np.int32, np.uint8)
+
+
+def pack_open(k: np.ndarray, doc: np.ndarray, var: np.ndarray, first: np.ndarray, n: np.ndarray, start: np.ndarray, raw: np.ndarray) -> bytes:
+    body = raw[ragged(start, n.astype(np.int64) + LENGTH - 1)]
+    return b"".join([np.array([len(k)], np.int64).tobytes(), *(x.astype(t).tobytes() for x, t in zip((k, doc, var, first, n), OPEN, strict=True)), body.tobytes()])
+
+
+def unpack_open(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The fields of OPEN, and the bytes of all phrases one after the other."""
+    parts = []
+    for blob in blobs:
+        count, at, row = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
+        for t in OPEN:
+            row.append(np.frombuffer(blob, t, count, at))
+            at += row[-1].nbytes
+        parts.append((*row, np.frombuffer(blob, np.uint8, -1, at)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _open_phrases(buckets: int):
+    """(doc_id, var, packed text, open windows) -> the bytes of the open phrases, by trigger."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        h, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        gone = fold_first(h, doc)
-        yield from box.add(1, doc[gone], place[gone], np.ones(int(gone.sum()), np.int32))
-        yield from _blobs(0, _bucket_of(h[~gone], buckets), (h[~gone], doc[~gone], place[~gone]))
+        docs, vars_, firsts, texts = zip(*held, strict=True)
+        raw = np.concatenate(texts)
+        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        k, _, row, first, n, *_ = phrases(raw, at)
+        doc, var, base = (np.array(x, np.int64)[row] for x in (docs, vars_, firsts))
+        yield from _blobs(0, _bucket_of(k, buckets), (k, doc, var, first + base, n, at[row] + first), lambda *x: pack_open(*x, raw))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         held, size = [], 0
-        box.__init__(by_doc)
         for batch in batches:
-            for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, var, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = np.frombuffer(unpack(text), np.uint8)
-                first, n = _runs(runs)
-                place = ragged(first, n)
-                place = place[place + LENGTH <= len(raw)]
-                held.append((span_hashes(raw, place, place + LENGTH), np.full(len(place), doc, np.int64), place.astype(np.int32)))
-                size += len(place)
-                if size >= 1 << 20:
-                    yield from flush(held)
-                    held, size = [], 0
+                for first, n in zip(*(x.tolist() for x in _runs(runs)), strict=True):
+                    held.append((doc, var, first, raw[first : first + n + LENGTH - 1]))
+                    size += n + LENGTH
+                    if size >= 1 << 21:
+                        yield from flush(held)
+                        held, size = [], 0
         yield from flush(held)
-        yield from box.flush()
 
-    box = Outbox(by_doc)
     return run
 
 
+def window_ranks(data: np.ndarray) -> np.ndarray:
+    """Rank of the LENGTH bytes from each place (zeros beyond the end) in the order of bytes: a suffix array by prefix doubling.
+
+    Ranks of 8 bytes double to 16 and 32; two overlapping ones of 32 make LENGTH. Equal strings have equal ranks.
+    """
+    padded = np.concatenate((data, np.zeros(2 * LENGTH, np.uint8)))
+    word = np.zeros(len(data) + LENGTH, np.uint64)
+    for j in range(8):
+        word = word << np.uint64(8) | padded[j : j + len(word)]
+    rank, reach = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
+    while reach < LENGTH:
+        step = min(reach, LENGTH - reach)
+        pair = rank[:-step] * (len(rank) + 1) + rank[step:]
+        rank, reach = np.unique(pair, return_inverse=True)[1].astype(np.int64), reach + step
+    return rank[: len(data)]
+
+
 def _order_windows(by_doc: int):
+    """Open phrases by trigger -> windows that go (1), by document: equal windows are neighbours in the order of their bytes."""
+
     def done(kind: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if kind == 1:
-            doc, place, n = _unpack(blobs, GONE)
-        else:
-            h, doc, place = _unpack(blobs, (np.uint64, np.int64, np.int32))
-            gone = fold_first(h, doc)
-            doc, place = doc[gone], place[gone]
-            n = np.ones(len(doc), np.int32)
-        yield from box.add(1, doc, place, n)
+        _, doc, var, first, n, data = unpack_open(blobs)
+        n = n.astype(np.int64)
+        start = np.concatenate(([0], np.cumsum(n + LENGTH - 1)[:-1]))
+        place = ragged(start, n)
+        own = np.repeat(np.arange(len(n)), n)
+        gone = fold_first(doc[own], window_ranks(data)[place])
+        at = own[gone]
+        yield from box.add(1, doc[at], var[at], first[at] + (place[gone] - start[at]), np.ones(len(at), np.int32))
 
     box = Outbox(by_doc)
     return lambda batches: _boxed(batches, done, box)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text as zstandard bytes, which makes its shuffle smaller."""
+    """Text, the last column, as zstandard bytes, which makes its shuffle smaller."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary()), *batch.columns[2:]], ["doc_id", "text", *batch.schema.names[2:]])
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([pack(t or b"") for t in texts], pa.binary())], batch.schema.names)
 
 
 def kept_bytes(text: bytes, first: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes]:
@@ -403,17 +449,27 @@ def dealt(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
 
 
+def with_variants(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """doc_id, text, var: var is 0, or the hash of the text where the doc_id has rows with different texts."""
+    h = F.xxhash64("text")
+    found = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b OR a IS NULL AND b IS NOT NULL").select("doc_id", F.lit(True).alias("several"))
+    several = scratch.cut(found, "several")
+    if several.isEmpty():
+        return docs.select("doc_id", "text", F.lit(0).cast("long").alias("var"))
+    return docs.join(side(several), "doc_id", "left").select("doc_id", "text", F.when(F.col("several"), h).otherwise(0).alias("var"))
+
+
 def repeated_windows(spark: SparkSession, scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """(doc_id, runs) of windows that go; docs (doc_id, text) has no nulls."""
+    """(doc_id, var, runs) of windows that go; docs (doc_id, text, var) has no nulls."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     settled = scratch.cut(dealt(docs.mapInArrow(_parse(buckets, parts), _BLOB), parts).mapInArrow(_dictionary(parts), _BLOB), "dictionary")
     scratch.release()
-    by_document = lambda df: dealt(df, parts).mapInArrow(_per_document, "doc_id long, runs binary")
+    by_document = lambda df: dealt(df, parts).mapInArrow(_per_document, "doc_id long, var long, runs binary")
     open_ = scratch.cut(by_document(settled.where("kind = 2")), "open")
-    texts = docs.mapInArrow(_pack, "doc_id long, text binary")
-    windows = texts.join(open_.hint("merge"), "doc_id").mapInArrow(_windows(buckets, parts), _BLOB)
-    found = scratch.cut(dealt(windows, parts).mapInArrow(_order_windows(parts), _BLOB), "windows")
+    texts = docs.select("doc_id", "var", "text").mapInArrow(_pack, "doc_id long, var long, text binary")
+    opened = texts.join(open_.hint("merge"), ["doc_id", "var"]).mapInArrow(_open_phrases(buckets), _BLOB)
+    found = scratch.cut(dealt(opened, parts).mapInArrow(_order_windows(parts), _BLOB), "windows")
     scratch.release()
     return by_document(settled.where("kind = 1").union(found))
 
@@ -421,10 +477,10 @@ def repeated_windows(spark: SparkSession, scratch: Scratch, docs: DataFrame) ->
 def repeats_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     scratch = Scratch(spark, "repeats")
-    docs = docs.select("doc_id", "text")
+    docs = with_variants(scratch, docs.select("doc_id", "text"))
     found = repeated_windows(spark, scratch, docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
-    runs = scratch.cut(found.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "runs")
+    runs = scratch.cut(found.groupBy("doc_id", "var").agg(F.collect_list("runs").alias("runs")), "runs")  # a few rows a document
     scratch.release()
-    packed = docs.mapInArrow(_pack, "doc_id long, text binary")
-    out = packed.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs")
+    packed = docs.select("doc_id", "var", "text").mapInArrow(_pack, "doc_id long, var long, text binary")
+    out = packed.join(runs.hint("merge"), ["doc_id", "var"], "left").select("doc_id", "text", "runs")
     return out.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
