@@ -31,17 +31,18 @@ def base_spans(t):
 def check_pii(df, rows):
     from tessera.llm.pii import KINDS, personal_data_digest
 
-    got = {r.doc_id: r for r in personal_data_digest(df.sparkSession, df).collect()}
-    assert len(got) == len(rows)
+    found = personal_data_digest(df.sparkSession, df).collect()
+    want = Counter()
     for d, t in rows:
-        want, r = base_spans(t), got[d]
-        n = Counter(k for k, _, _ in want)
-        assert [r[f"n_{k}"] for k in KINDS] == [n[k] for k in KINDS], (d, t)
-        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
-        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), (d, t[:200])
-        spans = r.spans.split(",") if r.spans else []
-        assert set(said.split(",") if said else []) <= set(spans)
-    return got
+        spans = base_spans(t)
+        n = Counter(k for k, _, _ in spans)
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want[d, *(n[k] for k in KINDS), hashlib.sha256(said.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, *(r[f"n_{k}"] for k in KINDS), r.base_sha256) for r in found) == want
+    for r in found:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])) and len(spans) >= sum(r[f"n_{k}"] for k in KINDS)
+    return {r.doc_id: r for r in found}
 
 
 def test_pii_contract_rows(spark, clashing, rows, empty):
@@ -87,12 +88,12 @@ def test_quality_counts(spark, clashing, rows, empty):
     labels = spark.createDataFrame([(5, 1, 0), (None, 1, 0), (6, None, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     more = [(100 + i, t) for i, t in enumerate(("a b c a b c a b c", "a b c d\n\na b c d\n a b c d", "x " * 500, "# $% | <b> *", "a a a a a"))]
     df = clashing.select("doc_id", "text", "lang", "n_words").union(spark.createDataFrame([(d, t, "en", "") for d, t in more], "doc_id long, text string, lang string, n_words string"))
-    got = {r.doc_id: r for r in quality_rules(spark, df, labels).collect()}
+    want = Counter()
     for d, t in [(r[0], r[1]) for r in rows] + more:
-        want, r = counts(t), got[d]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, (d, t)
-        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
-        assert r.base_failed == failed and r.kept == (not failed)  # too few labels to certify a cutoff
+        c = counts(t)
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        want[d, *c, failed, not failed] += 1  # too few labels to certify a cutoff
+    assert Counter(tuple(r) for r in quality_rules(spark, df, labels).collect()) == want
     assert quality_rules(spark, empty, labels).count() == 0
 
 
@@ -105,15 +106,76 @@ def test_binomial_tail(spark):
         assert abs(got - want) < 1e-9
 
 
+def certified(rows, labels):
+    """Cutoffs of each language by the docstring's rules, in plain Python with whole-number binomials."""
+    import hashlib
+    from fractions import Fraction
+
+    from tessera.llm.quality_rules import ALPHA, DELTA, LEVELS, RULES
+
+    def values(t):
+        n, chars, symbols, dup, again = counts(t)
+        lines = sum(1 for x in (t or "").split("\n") if WORD.search(x))
+        return {"symbols": 1000 * symbols // max(n, 1), "repeats": 1000 * again // max(n, 1), "lines": 1000 * dup // max(lines, 1), "length": 100 * chars // max(n, 1)}, n < 50 or 100 * again > 50 * n
+
+    known = [(d, lang, *values(t)) for d, t, lang in rows]
+    good = [r for r in known if labels.get(r[0]) == 1 and not r[3]]
+    picks = {d: hashlib.md5(str(d).encode()).hexdigest()[0] < "4" for d, *_ in good}
+    index, tested = {}, {}
+    for lang in {r[1] for r in good if picks[r[0]]}:
+        part = [r for r in good if r[1] == lang and picks[r[0]]]
+        index[lang] = {rule: next((i for i, c in enumerate(grid) if sum(r[2][rule] >= c for r in part) <= ALPHA / 8 * len(part)), len(grid)) for rule, (_, grid) in RULES.items()}
+    cuts = lambda lang, k: {rule: grid[index[lang][rule] + k] for rule, (_, grid) in RULES.items() if index[lang][rule] + k < len(grid)}
+    bad = lambda v, cut: any(v[rule] >= c for rule, c in cut.items())
+    for lang in index:
+        part = [r for r in good if r[1] == lang and not picks[r[0]]]
+        if part:
+            tested[lang] = (len(part), [sum(bad(r[2], cuts(lang, k)) for r in part) for k in range(LEVELS)])
+    p = Fraction(str(ALPHA))
+    tail = lambda n, k: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    chosen = {}
+    for lang, (n, rejected) in tested.items():
+        for k, x in enumerate(rejected):
+            if x <= ALPHA * n and tail(n, x) <= Fraction(str(DELTA)) / (len(tested) * LEVELS):
+                chosen[lang] = cuts(lang, k)
+                break
+    return {(d, not failed and not bad(v, chosen.get(lang, {}))) for d, lang, v, failed in known}, chosen
+
+
 def test_cutoffs_control_risk(spark):
-    from tessera.llm.quality_rules import quality_rules
+    """Enough labels in two strata, one of them null, too few in a third: against plain Python and against the SQL."""
+    import duckdb
+
+    from tessera.llm.quality_rules import ORACLE, quality_rules
 
     rng = random.Random(9)
-    text = lambda junk: " ".join(rng.choice("abcdefgh") * 2 + str(rng.randrange(999)) + ("%%%" if junk else "") for _ in range(60))
-    rows = [(i, text(i % 5 == 0), "en") for i in range(2500)]
-    labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(2500)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.kept for r in quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
-    assert all(got[i] == (i % 5 != 0) for i in range(2500))
+
+    def text(junk, lang):
+        w = [rng.choice("abcdefgh") * 2 + str(rng.randrange(999)) for _ in range(60)]
+        for i in range(60):
+            if junk == 1 or (lang is None and rng.random() < 0.1):  # symbols are usual in the null stratum
+                w[i] += "%%%"
+            elif junk == 2:
+                w[i] *= 3
+        return " ".join(w[:20]) + ("\n" + " ".join(w[20:26])) * (6 if junk == 3 else 1) + "\n" + " ".join(w[26:])
+
+    rows, labels = [], {}
+    for i in range(4200):
+        lang = "en" if i % 2 else None if i % 20 else "de"
+        junk = 0 if i % 5 or i % 20 == 0 else 1 + i // 5 % 3
+        rows.append((i, text(junk, lang), lang))
+        labels[i] = int(junk == 0)
+    want, chosen = certified(rows, labels)
+    assert set(chosen) == {"en", None} and len(chosen["en"]) == 4 and chosen["en"] != chosen[None]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    table = spark.createDataFrame([(d, q, 0) for d, q in labels.items()], "doc_id long, quality int, toxic int")
+    got = quality_rules(spark, documents, table).collect()
+    assert {(r.doc_id, r.kept) for r in got} == want
+    assert sum(not k for _, k in want) > 500
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    con.register("labels", table.toPandas())
+    assert Counter(con.sql(ORACLE).fetchall()) == Counter(tuple(r) for r in got)
 
 
 def test_pii_leaves_prose_alone(spark):
