@@ -9,8 +9,11 @@ blocks fly again in fewer blocks, level by level, until a source's rest fits one
 the document constraint, and a last unit is rounded with its own probability.
 
 Null or empty text has size 0 (its inclusion still counts as a document; it takes 0 words). Null source is a source of its own,
-ordered last. Rows that repeat are units of their own. Random numbers come from a
-hash of source, level and block, so reruns agree.
+ordered last. Rows that are equal in doc_id, source and size are one unit with a multiplicity: its whole expected copies are sure,
+the rest is one draw; so a doc_id that many rows repeat, or null, is no hot unit. Ties in a block go by size and unit name. Random numbers come
+from a hash of source, level and block, so reruns agree. Very long texts count their words as a whole. An empty table gives an empty result. Only doc_id, source and text are read, so
+other columns may have any names. Sources are ranked and their targets found on the executors; a table of one row a source is broadcast
+only while it is small.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import slices, text_buffer, word_bounds
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, side
 
 #: Weights by rank of the source, repeating.
 CYCLE = (1, 2, 3)
@@ -46,30 +49,40 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
 
 
-def fill_targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
-    """Shares of sum(sizes) by weight; what a capped source can't use goes to the rest by weight."""
-    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > cap * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows -> with the number of their task and their place in it."""
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], ["source", "source_size", "part", "place"])
+        at += n
+
+
+def source_targets(scratch: Scratch, sizes: DataFrame, cap: float = CAP) -> DataFrame:
+    """source, source_size, target: shares of all sizes by weight; what a capped source can't use goes to the rest by weight."""
+    spark = scratch.spark
+    per = scratch.cut(sizes.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("source_size")), "sources")
+    order = F.col("source").asc_nulls_last()
+    placed = scratch.cut(per.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).mapInArrow(_place, "source string, source_size long, part int, place long"), "placed")
+    starts, at = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):  # one row a task
+        starts.append((r["part"], at))
+        at += r["count"]
+    rank = F.col("place") + F.col("start")
+    weight = F.element_at(F.array(*map(F.lit, CYCLE)), (rank % len(CYCLE) + 1).cast("int"))
+    weighted = scratch.cut(placed.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select("source", "source_size", weight.alias("weight")), "weights")
+    whole = weighted.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
+    unit, before = 0.0, None
+    while whole["w"]:
+        full = weighted.where(F.lit(unit) * F.col("weight") > F.lit(cap) * F.col("source_size")).agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first() if unit else {"n": 0, "w": 0}
+        n, w = full["n"] or 0, full["w"] or 0
+        if before == w or w == whole["w"]:
             break
-        for i in full:
-            out[i] = cap * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in full]
-    return out
-
-
-def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target: one row a source; the driver holds one number for each source."""
-    per = [(r["source"], int(r["n"] or 0)) for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    per.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8")))
-    targets = fill_targets([n for _, n in per], [CYCLE[i % len(CYCLE)] for i in range(len(per))])
-    rows = [(s, n, float(t)) for (s, n), t in zip(per, targets, strict=True)]
-    return sizes.sparkSession.createDataFrame(rows, "source string, source_size long, target double")
+        before, unit = w, (whole["n"] - cap * n) / (whole["w"] - w)  # grows, and so do the capped sources, until none is added
+    share = F.lit(unit) * F.col("weight")
+    return scratch.cut(weighted.select("source", "source_size", F.least(share, F.lit(cap) * F.col("source_size")).alias("target")), "targets")
 
 
 def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
@@ -117,7 +130,7 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: b
 
 
 def _block(level: int, land: bool):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "size", "unit"], kind="stable", na_position="last").reset_index(drop=True)
         seed = np.frombuffer(f"{key[0]}\x00{level}\x00{key[1]}\x00{len(rows)}".encode(), np.uint8).astype(np.uint32)
         rows["prob"] = flight(rows["prob"].to_numpy(), rows["size"].to_numpy(), np.random.default_rng(seed), land)
@@ -128,40 +141,36 @@ def _block(level: int, land: bool):
 
 def _fly(df: DataFrame, n: DataFrame, level: int, land: bool) -> DataFrame:
     """One level: n has the number of blocks of each source."""
-    keyed = df.join(F.broadcast(n), df["source"].eqNullSafe(n["s"])).withColumn("block", F.pmod(F.xxhash64("unit", F.lit(level)), F.col("blocks")))
+    keyed = df.join(side(n), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64("unit", F.lit(level)), F.col("blocks")))
     return keyed.select("unit", "doc_id", "source", "size", "prob", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("k"), "block").groupBy("k", "block").applyInPandas(_block(level, land), "unit string, doc_id long, source string, size long, prob double")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs.
-
-    The broadcast tables have one row for each source.
-    """
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
     scratch = Scratch(spark, "mixing")
     sizes = scratch.cut(word_sizes(docs), "sizes")
-    targets = source_targets(sizes)
-    t = targets.withColumnRenamed("source", "s")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(0.0)
-    whole = sizes.join(F.broadcast(t), sizes["source"].eqNullSafe(t["s"])).drop("s").withColumn("r", ratio).withColumn("floor", F.floor(F.col("r") + 1e-12).cast("long")).withColumn("prob", F.greatest(F.lit(0.0), F.col("r") - F.col("floor")))
-    # equal rows are interchangeable: they share a unit name and, below, what it drew
+    targets = source_targets(scratch, sizes).withColumnRenamed("source", "s")
+    rows = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    whole = rows.join(side(targets), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    r = F.when(F.col("source_size") > 0, F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(0.0)
+    whole = whole.withColumn("r", r).withColumn("floor", F.floor(F.col("r") + 1e-12).cast("long")).withColumn("left", F.col("rows") * F.greatest(F.lit(0.0), F.col("r") - F.col("floor")))
+    whole = whole.withColumn("sure", F.floor(F.col("left") + 1e-12).cast("long")).withColumn("prob", F.greatest(F.lit(0.0), F.col("left") - F.col("sure")))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
-    units = scratch.cut(whole.withColumn("unit", name).select("unit", "doc_id", "source", "size", "source_size", "target", "floor", "prob"), "units")
+    units = scratch.cut(whole.withColumn("unit", name).select("unit", "doc_id", "source", "size", "rows", "source_size", "target", "floor", "sure", "prob"), "units")
     scratch.drop(sizes)
     now, level, taken = units.select("unit", "doc_id", "source", "size", "prob"), 0, []
     while True:
-        counts = now.groupBy("source").agg(F.count("*").alias("n")).collect()  # one row a source
-        last = all(r["n"] <= block for r in counts)
-        blocks = spark.createDataFrame([(r["source"], -(-r["n"] // block)) for r in counts], "s string, blocks long")
-        flown = scratch.cut(_fly(now, blocks, level, last), f"level{level}")
-        taken.append(flown.where("prob >= 1"))
+        counts = scratch.cut(now.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
+        last = (counts.agg(F.max("blocks")).first()[0] or 0) <= 1
+        flown = scratch.cut(_fly(now, counts, level, last), f"level{level}")
+        taken.append(flown.where("prob >= 1").select("unit", F.lit(1).alias("drawn")))
         if last:
             break
         now, level = flown.where("prob > 0 AND prob < 1"), level + 1
-    extra = taken[0]
+    drawn = taken[0]
     for x in taken[1:]:
-        extra = extra.union(x)
-    # rows that are equal in all columns share what they drew
-    extra = extra.groupBy("unit").agg(F.count("*").alias("extra"))
-    ranked = units.withColumn("i", F.row_number().over(Window.partitionBy("unit").orderBy("doc_id")))
-    out = ranked.join(extra, "unit", "left").withColumn("copies", F.col("floor") + F.when(F.col("i") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0))
+        drawn = drawn.union(x)
+    # a unit of several rows gives its extra copies to the first of them; equal rows are interchangeable
+    each = units.join(drawn, "unit", "left").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    out = each.withColumn("copies", F.col("floor") + F.when(F.col("i") <= F.col("sure") + F.coalesce("drawn", F.lit(0)), 1).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
