@@ -6,11 +6,13 @@ vector of signs; a row's context vector is the sum of its neighbours' index vect
 documents. Tasks add up whole numbers, so the sum is exact in any order and its size is fixed: VOCABULARY x WIDTH.
 A document's features are the mean and the standard deviation of its tokens' unit context vectors.
 A two-layer network is fitted in numpy to labelled rows that are not held out, on a sample of at most SAMPLE
-rows (the smallest hashes of doc_id); a temperature fitted on a fifth of them calibrates its probabilities.
+rows (the smallest hashes of doc_id and features); a temperature fitted on a fifth of them calibrates its probabilities.
 
 Null or empty text has features of 0 and is scored. Null doc_id: not held out, never a label. Labels that are null
 are left out; the lowest counts where a document has several. Without labels of both classes every score is the share of
-label 1 (0.5 without labels). Labels, lang, source and doc_id are never inputs of a score.
+label 1 (0.5 without labels). Labels, lang, source and doc_id are never inputs of a score. Rows that repeat are scored each and
+learned from once; a doc_id that repeats with other texts has its label for each. Ties of the sample's hashes go by doc_id. Very long
+texts count as a whole. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import SPACE, mix, slices, span_hashes, text_buffer
-from tessera.llm.shared import Scratch
+from tessera.llm.shared import Scratch, add_vectors, vector_rows
 
 VOCABULARY, WIDTH, SIGNS, REACH = 1 << 14, 32, 4, 2
 #: Labelled rows that the network is fitted to at most.
 SAMPLE = 20_000
 THRESHOLD = 0.7
-BLOCKS = 16
+BLOCKS, SALTS = 16, 8
 
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[97:123] = 1
@@ -77,30 +79,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for to, of in ((a, b), (b, a)):
                     for s in range(SIGNS):
                         total += np.bincount(to * WIDTH + place[of, s], sign[of, s], VOCABULARY * WIDTH)
-    rows = total.astype(np.int64).reshape(BLOCKS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "sums"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(blob, np.int64)
-            sums[block] = sums[block] + got if block in sums else got
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "sums"])
+    yield vector_rows(total, BLOCKS)
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors, VOCABULARY x WIDTH: a fixed size, whatever the corpus."""
     parts = docs.select("text").mapInArrow(_contexts, "block int, sums binary")
-    # tasks' sums meet in two steps, so that no task reads all of them
-    for salt in (32, 1):
-        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salt))).repartition(BLOCKS * salt, "block", "salt").select("block", "sums").mapInArrow(_add, "block int, sums binary")
-    rows = sorted((r["block"], bytes(r["sums"])) for r in parts.collect())
-    out = np.zeros((BLOCKS, VOCABULARY * WIDTH // BLOCKS), np.int64)
-    for block, blob in rows:
-        out[block] += np.frombuffer(blob, np.int64)
+    out = add_vectors(parts, VOCABULARY * WIDTH, BLOCKS, SALTS)
     c = out.reshape(VOCABULARY, WIDTH).astype(np.float64)
     return (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -190,7 +175,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, samp
     made = scratch.cut(docs.mapInArrow(_features(vectors), "doc_id long, x binary"), "features")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held)
-    labelled = scratch.cut(made.join(one.hint("merge"), "doc_id").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))), "labelled")
+    labelled = scratch.cut(made.join(one.hint("merge"), "doc_id").dropDuplicates(["doc_id", "x"]).withColumn("h", F.pmod(F.xxhash64("doc_id", "x"), F.lit(1 << 30))), "labelled")
     # a hash range that holds about the sample, so that no task sends the driver more than its share of it
     top = int((1 << 30) * min(1.0, sample / max(1, labelled.count())))
     rows = labelled.where(F.col("h") <= top).select("h", "doc_id", "x", "quality").toPandas().sort_values(["h", "doc_id", "x"], kind="stable").head(sample)

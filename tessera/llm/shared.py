@@ -63,6 +63,41 @@ class Scratch:
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows up to which a written table is broadcast; beyond, it is joined by merge.
+BROADCAST_ROWS = 1 << 17
+
+
+def side(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table as the small side of a join: with a broadcast hint only if it has at most so many rows."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            got = np.frombuffer(blob, np.int64)
+            sums[block] = sums[block] + got if block in sums else got
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "sums"])
+
+
+def vector_rows(total: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """A task's vector of whole numbers, cut in blocks, as rows for add_vectors."""
+    rows = np.array_split(total.astype(np.int64), blocks)
+    return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "sums"])
+
+
+def add_vectors(parts: DataFrame, size: int, blocks: int, salts: int) -> np.ndarray:
+    """Sum of the tasks' vectors of fixed size, added on the executors in two steps, so that no task reads all of them."""
+    for salt in (salts, 1):
+        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salt))).repartition(blocks * salt, "block", "salt").select("block", "sums").mapInArrow(_add, "block int, sums binary")
+    out = np.array_split(np.zeros(size, np.int64), blocks)
+    for r in parts.collect():  # one row a block
+        out[r["block"]] = np.frombuffer(bytes(r["sums"]), np.int64)
+    return np.concatenate(out)
+
+
 #: Edges that one task contracts at once.
 CONTRACT = 1 << 21
 

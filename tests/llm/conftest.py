@@ -25,6 +25,12 @@ def make_docs():
     rows.append((41, "z" * 40000, "en", "c", 1))
     rows.append((42, rows[40][1], "en", "c", 1))
     rows.append((43, "One Two three one TWO three", "es", None, 1))
+    # repeated doc_ids with equal and with other texts, and rows without a doc_id
+    rows += [rows[20], rows[20], rows[5]]
+    rows.append((16, "\n".join([say(70), say(9), "  Common LINE here \t", say(11)]), "fr", "hot", 1))
+    rows.append((17, rows[30][1] + "\n" + say(20), "fr", "hot", 1))
+    rows.append((3, rows[25][1], "de", "a", 1))
+    rows += [(None, rows[22][1], "en", "a", 1), (None, None, "en", "a", None), (None, rows[22][1], "en", "a", 1)]
     return rows
 
 

@@ -36,6 +36,16 @@ def test_decontamination(spark, empty):
     got = contaminated(spark, df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert all(r.score > 0.99 for r in got if r.doc_id % 8 == 4)
+    # rows that repeat an item or a document change nothing but the number of copies; clashing columns don't matter
+    odd = df.union(df.where("doc_id < 50")).selectExpr("*", "text AS item", "1 AS item_id", "2 AS score", "3 AS words", "text AS found")
+    again = contaminated(spark, odd, bench.union(bench).selectExpr("*", "item_id AS doc_id", "text AS item")).collect()
+    assert sorted((r.doc_id, r.item_id or -1, r.score, r.end_word) for r in again) == sorted((r.doc_id, r.item_id or -1, r.score, r.end_word) for r in got)
+    # the end of a very long text counts; items without white space fill blocks by their words
+    from tessera.llm.decontamination import blocks
+
+    long = spark.createDataFrame([(1, " ".join(say(rng, 300000)) + " " + items[3][1])], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in contaminated(spark, long, bench).collect()] == [(1, 3)]
+    assert len(list(blocks(spark.createDataFrame([(i, ",".join(["ab"] * 50)) for i in range(6)], "item_id long, text string"), 110))) == 3
     assert contaminated(spark, empty, bench).count() == 0
     assert contaminated(spark, df, bench.limit(0)).count() == 0
 

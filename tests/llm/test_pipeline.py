@@ -42,7 +42,7 @@ def test_stages(spark, tmp_path):
             kept = {d for d in kept if counts(texts[d])[0] >= 50 and 100 * counts(texts[d])[4] <= 50 * counts(texts[d])[0]}
             assert len(kept) < 195
         elif name == "n-gram Jaccard join":
-            kept = {d for d, (_, c) in brute([(d, texts[d]) for d in kept], 5, 80).items() if c == d}
+            kept = {d for d, _, c in brute([(d, texts[d]) for d in kept], 5, 80) if c == d}
         elif name == "benchmark decontamination":
             kept = {d for d in kept if not any(i in texts[d] for _, i in items)}
         elif name == "mixing sources":
@@ -62,3 +62,19 @@ def test_stages(spark, tmp_path):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
         start += r.n_tokens
     assert P.run(spark, str(tmp_path)).count() == len(ids)
+
+
+def test_stages_on_odd_rows(spark, tmp_path, rows, clashing, empty):
+    """Repeated and null ids, very long texts, clashing extra columns, and empty tables."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(5, 1, 0), (None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, rows[15][1]), (0, rows[15][1]), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, start in (("odd", clashing), ("none", empty)):
+        now = start
+        for k, (_, stage) in enumerate(P.STAGES):
+            stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{k}")
+            made = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == 4 or made.columns == start.columns
+            now = made
+        assert (now.count() > 0) == (name == "odd")
