@@ -29,7 +29,7 @@ def base_spans(t):
 
 
 def check_pii(df, rows):
-    from tessera.llm.pii import KINDS, personal_data_digest
+    from tessera.llm.pii import EVERY, KINDS, personal_data_digest
 
     found = personal_data_digest(df.sparkSession, df).collect()
     want = Counter()
@@ -41,7 +41,7 @@ def check_pii(df, rows):
     assert Counter((r.doc_id, *(r[f"n_{k}"] for k in KINDS), r.base_sha256) for r in found) == want
     for r in found:
         spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
-        assert spans == sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1])) and len(spans) >= sum(r[f"n_{k}"] for k in KINDS)
+        assert spans == sorted(spans, key=lambda x: (EVERY.index(x[0]), x[1])) and len(spans) == r.n_spans and len(spans) >= sum(r[f"n_{k}"] for k in KINDS)
     return {r.doc_id: r for r in found}
 
 
@@ -178,6 +178,23 @@ def test_cutoffs_control_risk(spark):
     assert Counter(con.sql(ORACLE).fetchall()) == Counter(tuple(r) for r in got)
 
 
+def test_pii_finds_secrets(spark):
+    rng = random.Random(6)
+    say = lambda: " ".join(rng.choice(["river", "stone", "green", "token", "password", "secret"]) for _ in range(12))
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'{say()}\ntoken = "{key(40)}" {say()}') for i in range(40)] + [(100 + i, f"{say()} commit {key(40)} {say()}") for i in range(40)]
+    got = check_pii(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    for i in range(40):
+        at = rows[i][1].index('"') + 1
+        assert got[i].spans == f"secret:{at}:{at + 40}" and not got[100 + i].spans
+    # loose forms have no limits of length
+    from tessera.llm.pii import spans
+
+    long = "jane " * 3 + "x" * 300 + " [at] " + " [dot] ".join(["ab"] * 12 + ["com"])
+    (found,) = spans(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().found
+    assert (found.kind, found.s, found.e, found.base) == ("email", 15, len(long), False)
+
+
 def test_pii_leaves_prose_alone(spark):
     rng = random.Random(5)
     words = ["look", "at", "the", "dot", "door.Then", "ran", "at", "noon.", "over", "12", "1994", "call", "3.5"]
