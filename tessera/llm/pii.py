@@ -7,7 +7,7 @@ a plus sign, cards with other separators, defanged addresses, spelled-out mail a
 word such as token or password.
 Labelers vote 1, 0 or -1 on each candidate: the strict regex, a gazetteer (top-level domains, first digits of card
 issuers, reserved numbers, prefixes of keys), context words before the span, and the characters around it.
-Expectation-maximisation estimates, for each kind, each labeler's reliability and the share of true spans among the looser ones, from the counts of
+Expectation-maximisation estimates, for each kind, each labeler's reliability (how often it says yes to true and to false spans) and the share of true spans among the looser ones, from the counts of
 vote patterns; base spans count as true there.
 For each kind a logistic model is then fitted to the posteriors and decides on the candidates. Besides the votes it sees the span's length, digit
 groups, separators, share of digits, the words and signs before it, and brackets.
@@ -127,18 +127,19 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """For each kind: share of true spans among the looser ones and reliability of each labeler, and weights of the span classifier."""
+    """For each kind: share of true spans among the looser ones with the labelers' rates of yes for true and for false ones, and weights of the span classifier."""
     patterns = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.votes", "f.x").agg(F.count("*").cast("double").alias("n"))
     one = patterns.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("votes", "x", "n"))).alias("p"))  # bounded: votes and levels of features
-    logit = "ln(m[0] / (1 - m[0])) + aggregate(sequence(0, 3), 0D, (s, j) -> s + r.votes[j] * ln(m[j + 1] / (1 - m[j + 1])))"
+    # m: share, then how often each labeler says yes to true spans and to false ones, when it votes
+    logit = "ln(m[0] / (1 - m[0])) + aggregate(sequence(1, 4), 0D, (s, j) -> s + CASE r.votes[j - 1] WHEN 1 THEN ln(m[j] / m[j + 4]) WHEN -1 THEN ln((1 - m[j]) / (1 - m[j + 4])) ELSE 0D END)"
     chance = f"if(r.votes[0] = 1, 1D, 1 / (1 + exp(-({logit}))))"  # base spans anchor the labelers
     post = f"transform(p, r -> named_struct('v', r.votes, 'n', r.n, 'q', {chance}))"
-    clip = lambda v, low: f"least(0.99D, greatest({low}D, {v}))"
-    share = clip("aggregate(z, 0.5D, (s, r) -> s + if(r.v[0] = 1, 0D, r.n * r.q)) / aggregate(z, 1D, (s, r) -> s + if(r.v[0] = 1, 0D, r.n))", 0.01)
-    good = "aggregate(z, 1D, (s, r) -> s + r.n * if(r.v[j] = 1, r.q, if(r.v[j] = -1, 1 - r.q, 0D)))"
-    told = "aggregate(z, 2D, (s, r) -> s + if(r.v[j] = 0, 0D, r.n))"
-    step = f"transform(array({post}), z -> concat(array({share}), transform(sequence(0, 3), j -> {clip(f'{good} / {told}', 0.55)})))[0]"
-    em = one.selectExpr("kind", "p", f"aggregate(sequence(1, {EM_ROUNDS}), array(0.5D, 0.9D, 0.7D, 0.7D, 0.7D), (m, i) -> {step}) AS m").selectExpr("kind", "p", "m", f"transform(p, r -> {chance}) AS q")
+    clip = lambda v: f"least(0.99D, greatest(0.01D, {v}))"
+    share = clip("aggregate(z, 0.5D, (s, r) -> s + if(r.v[0] = 1, 0D, r.n * r.q)) / aggregate(z, 1D, (s, r) -> s + if(r.v[0] = 1, 0D, r.n))")
+    rate = lambda q, yes: f"transform(sequence(0, 3), j -> {clip(f'aggregate(z, {yes}D, (s, r) -> s + if(r.v[j] = 1, r.n * {q}, 0D)) / aggregate(z, 2D, (s, r) -> s + if(r.v[j] = 0, 0D, r.n * {q}))')})"
+    step = f"transform(array({post}), z -> concat(array({share}), {rate('r.q', 1.6)}, {rate('(1 - r.q)', 0.6)}))[0]"
+    first = "array(0.5D, 0.8D, 0.8D, 0.8D, 0.8D, 0.3D, 0.3D, 0.3D, 0.3D)"
+    em = one.selectExpr("kind", "p", f"aggregate(sequence(1, {EM_ROUNDS}), {first}, (m, i) -> {step}) AS m").selectExpr("kind", "p", "m", f"transform(p, r -> {chance}) AS q")
     total = "aggregate(p, 0D, (s, r) -> s + r.n)"
     error = f"(q[k] - 1 / (1 + exp(-aggregate(sequence(0, {N_FEATURES - 1}), 0D, (s, j) -> s + w[j] * p[k].x[j])))) * p[k].n / t"
     gradient = f"transform(array(transform(sequence(0, size(p) - 1), k -> {error})), g -> transform(sequence(0, {N_FEATURES - 1}), j -> 0.9998D * w[j] + {RATE}D * aggregate(sequence(0, size(p) - 1), 0D, (s, k) -> s + g[k] * p[k].x[j])))[0]"
