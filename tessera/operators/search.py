@@ -206,6 +206,11 @@ def repaired(labels: np.ndarray, largest_share: float = 0.4) -> np.ndarray:
         x = canonical(x)
 
 
+def grouping_labels(g: Graph, groups: int, largest_share: float = 0.4) -> np.ndarray:
+    """Strongest-edge groups, repaired to the share."""
+    return repaired(strongest_edge_groups(g, groups, max(1, math.floor(largest_share * g.n))), largest_share)
+
+
 def random_labels(n: int, rng: np.random.Generator, clusters: int | None = None) -> np.ndarray:
     return canonical(rng.integers(0, clusters or max(2, math.ceil(2 * math.sqrt(n))), n))
 
@@ -240,7 +245,7 @@ def seeds(g: Graph, base: np.ndarray, seed: int, shares=(0.05, 0.1, 0.2), copies
     out = [("leiden", repaired(base))]
     out += [(f"perturbed_{s}_{k}", repaired(perturbed(g, base, s, rng))) for s in shares for k in range(copies)]
     k = int(base.max()) + 1 if len(base) else 1
-    out += [(f"grouping_{c}", repaired(strongest_edge_groups(g, c, max(2, math.floor(0.4 * g.n))))) for c in dict.fromkeys(max(2, c) for c in (k - 2, k, k + 2, math.ceil(2 * math.sqrt(g.n))))]
+    out += [(f"grouping_{c}", grouping_labels(g, c)) for c in dict.fromkeys(max(2, c) for c in (k - 2, k, k + 2, math.ceil(2 * math.sqrt(g.n))))]
     seen: dict[tuple, str] = {}
     return [(name, x) for name, x in out if seen.setdefault(tuple(x.tolist()), name) == name]
 

@@ -139,10 +139,12 @@ def largest_mojo(columns: np.ndarray) -> int:
 
 
 def mojo_fm(table: pd.DataFrame) -> pd.DataFrame:
-    n = table.pivot_table(index="l", columns="r", values="n", fill_value=0, aggfunc="sum").to_numpy()
-    worst = largest_mojo(n.sum(0))
+    """Without a mapped class 0; where every partition is as good as the reference, 100 for no distance and 0 else."""
+    n = table.pivot_table(index="l", columns="r", values="n", fill_value=0, aggfunc="sum").to_numpy() if len(table) else np.zeros((0, 0))
+    worst = largest_mojo(n.sum(0)) if n.size else 0
     d = mojo_distance(n)
-    return pd.DataFrame({"mojo": [d], "mojofm": [min(100.0, max(0.0, 100.0 * (1 - d / worst) if worst else 100.0))]})
+    share = 0.0 if not n.size else (100.0 if d == 0 else 0.0) if worst <= 0 else min(100.0, max(0.0, 100.0 * (1 - d / worst)))
+    return pd.DataFrame({"mojo": [d], "mojofm": [share]})
 
 
 def mojo(left: DataFrame, reference: DataFrame) -> DataFrame:

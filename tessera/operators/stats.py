@@ -201,17 +201,21 @@ def random_baseline(spark, labels: np.ndarray, edges: int, repetitions: int = 10
 
 
 def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean by Poisson resampling: one pass, partial sums for each resample."""
+    """Percentile interval of the mean by Poisson resampling: one pass, partial sums for each resample.
+
+    Equal values fold into one row with their number c first: their weights add up to a Poisson draw of mean c.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = np.zeros(resamples), np.zeros(resamples)
         for t in batches:
-            for row, v in zip(t["_row"], t[value], strict=True):
-                k = np.random.default_rng([seed, int(row)]).poisson(1.0, resamples)
+            for h, v, c in zip(t["_h"], t["_v"], t["_c"], strict=True):
+                k = np.random.default_rng([seed, int(h) & (2**64 - 1)]).poisson(float(c), resamples)
                 total += k * v
                 weight += k
         yield pd.DataFrame({"resample": np.arange(resamples), "total": total, "weight": weight})
 
-    parts = df.where(F.col(value).isNotNull()).select(value, F.abs(F.xxhash64(*df.columns)).alias("_row")).mapInPandas(run, "resample long, total double, weight double")
+    folded = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_h", F.xxhash64("_v"))
+    parts = folded.mapInPandas(run, "resample long, total double, weight double")
     means = parts.groupBy("resample").agg((F.sum("total") / F.greatest(F.sum("weight"), F.lit(1e-9))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.median("mean").alias("middle"), F.percentile("mean", F.lit(0.975)).alias("high"))

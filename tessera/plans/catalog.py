@@ -858,14 +858,31 @@ def txt01_split_identifier(s, d):
     return A.table(s, d, "part").select("p_partkey", F.array_join(Z.split_identifier(name), " ").alias("parts"))
 
 
-@query()
+def _parts_sql(v):
+    v = f"regexp_replace(regexp_replace({v}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
+    return f"list_filter(string_split_regex(lower(regexp_replace({v}, '[_.\\-]+', ' ', 'g')), '\\s+'), lambda x: x <> '')"
+
+
+def _clean_sql(parts, accessors=True):
+    """SQL of clean_identifier over a list of parts."""
+    words = ", ".join(f"'{w}'" for w in (*Z.KEYWORDS, *Z.STOPWORDS))
+    rest = f"CASE WHEN {parts}[1] IN ('get', 'set', 'is') THEN {parts}[2:] ELSE {parts} END" if accessors else parts
+    keep = f"list_filter({rest}, lambda x: x NOT IN ({words}) AND length(x) >= 2 AND regexp_full_match(x, '[a-z][a-z0-9]*') AND NOT regexp_full_match(x, '{Z.SYNTHETIC}'))"
+    return f"CASE WHEN {parts}[1] IN ({', '.join(repr(g) for g in Z.GENERIC)}) THEN [] ELSE {keep} END"
+
+
+@query(f"SELECT p_partkey, array_to_string({_clean_sql('parts')}, ' ') AS tokens FROM (SELECT p_partkey, {_parts_sql(chr(39) + 'get_' + chr(39) + ' || p_name')} AS parts FROM part)")
 def txt02_clean_identifier(s, d):
     return A.table(s, d, "part").select("p_partkey", F.array_join(Z.clean_identifier(F.concat(F.lit("get_"), "p_name")), " ").alias("tokens"))
 
 
-@query()
+#: Values of many kinds made from the events.
+LITERAL = "CASE event_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'see http://a.b/' || event_id WHEN 3 THEN 'urn:x:' || user_id WHEN 4 THEN '/var/' || event_type WHEN 5 THEN '2024-01-0' || event_id % 9 WHEN 6 THEN 'deadbeef0123456789' WHEN 7 THEN 'warning' WHEN 8 THEN '%d: {}' WHEN 9 THEN 'the of' WHEN 10 THEN props ELSE 'open ' || event_type END"
+
+
+@query("SELECT event_id, CASE WHEN s = '' THEN 'empty' WHEN length(s) < 2 OR length(s) > 80 THEN 'length' " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for n, p in Z.LITERALS) + f" WHEN len({_clean_sql('parts', False)}) = 0 THEN 'no_meaningful_tokens' ELSE 'accepted' END AS reason FROM (SELECT event_id, s, {_parts_sql('s')} AS parts FROM (SELECT event_id, trim({LITERAL}) AS s FROM events))")
 def txt03_literal_class(s, d):
-    return A.table(s, d, "events").select("event_id", Z.literal_class(F.col("props")).alias("reason"))
+    return A.table(s, d, "events").select("event_id", Z.literal_class(F.expr(LITERAL)).alias("reason"))
 
 
 @query(A.sql("SELECT class_id, CAST(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS tokens, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) > 256 AS truncated FROM texts", "texts"))
@@ -881,9 +898,9 @@ def txt05_class_tokens(s, d):
     return Z.class_tokens(A.texts(s, d).select("class_id", F.lit("m").alias("method_name"), F.lit("s").alias("method_signature"), F.split("text", " ").alias("tokens")))
 
 
-@query(A.sql("SELECT class_id, text AS declaration FROM texts", "texts"))
+@query(A.sql("SELECT class_id, replace(text, chr(13), '') || chr(10) AS declaration FROM texts", "texts"))
 def txt06_declaration(s, d):
-    t = A.texts(s, d)
+    t = A.texts(s, d).withColumn("text", F.concat(F.regexp_replace("text", "\r", ""), F.lit("\n")))
     return t.select("class_id", Z.declaration_of(Z.compose(F.col("text"), F.lit("body"))).alias("declaration"))
 
 

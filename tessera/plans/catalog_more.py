@@ -259,7 +259,7 @@ def clu03_strongest_edges(s, d):
     params = s.createDataFrame([(4,), (8,), (12,)], "groups long")
 
     def run(ids, g, p):
-        return pd.DataFrame({"groups": int(p["groups"]), "class_id": ids, "cluster_id": X.strongest_edge_groups(g, int(p["groups"]), max(2, int(0.4 * g.n))).astype("int32")})
+        return pd.DataFrame({"groups": int(p["groups"]), "class_id": ids, "cluster_id": X.grouping_labels(g, int(p["groups"])).astype("int32")})
 
     return X.per_run(A.nodes(s, d), raw(s, d), "raw_weight", params, ["groups"], run, "groups long, class_id string, cluster_id int")
 

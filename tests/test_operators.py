@@ -260,13 +260,75 @@ def test_text_rules(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = {r.n: r.t for r in df.select("n", Z.clean_identifier(F.col("n")).alias("t")).collect()}
     assert got["getHTTPServerName"] == ["http", "server", "name"]
-    for n in names:
-        assert got[n] == Z.words_of(n), n
-    lits = {"http://x.y": "url", "ab": "length", " ": "empty", "/usr/bin": "path", "0123456789abcdef00": "hash", "12.5": "numeric_or_timestamp", "%%: {12}": "format_only", "warning": "boilerplate", "open the file": "accepted", "of the": "no_meaningful_tokens"}
+    assert [got[n] for n in names[1:]] == [["string"], ["value"], [], [], ["parse", "xml", "doc2"], ["foo", "bar", "baz"], [], []]
+    lits = {"http://x.y": "url", "b": "length", " \t": "empty", "x" * 81: "length", "ab": "accepted", "urn:a": "namespace_uri", "/usr/bin": "path", "0123456789abcdef00": "hash", "12.5": "numeric_or_timestamp", "%%: {12}": "format_only", "warning": "boilerplate", "open the file": "accepted", "of the": "no_meaningful_tokens"}
     df = spark.createDataFrame([(k,) for k in lits], "v string")
     assert {r.v: r.c for r in df.select("v", Z.literal_class(F.col("v")).alias("c")).collect()} == lits
-    tokens = Z.body_tokens('virtualinvoke r0.<demo.Order: void addItem(int)>("unit price"); return r1')
-    assert tokens[:2] == ["add", "item"] and tokens[-2:] == ["unit", "price"] and {"invoke", "return"} <= set(tokens)
+
+
+def test_method_bodies(spark):
+    say = lambda name, body, concrete=True, synthetic=False: ("c", name, f"<com.example.Sample: void {name}()>", concrete, synthetic, body)
+
+    def tokens(*methods):
+        df = spark.createDataFrame(list(methods), "class_id string, method_name string, method_signature string, concrete boolean, synthetic boolean, body_text string")
+        return Z.method_tokens(df).orderBy("method_name").collect()
+
+    def one(name, body):
+        (row,) = tokens(say(name, body))
+        return list(row.tokens)
+
+    call = "r0 = virtualinvoke r1.<com.shop.payment.PaymentService: java.lang.String authorize(java.lang.String)>(r2); r3 = (java.lang.String) r0; r4 = new com.shop.payment.PaymentService;"
+    # name and called methods, then operations (new and return are keywords or their words are), then the rest
+    assert one("authorizePayment", call) == ["authorize", "payment", "invoke", "create"]
+    field = "r0 = r1.<com.shop.Order: java.lang.String paymentStatus>; if r0 == null goto label1; throw new java.io.IOException; label1: return;"
+    assert one("validateOrder", field) == ["validate", "order", "branch", "jump", "create", "payment", "status", "io", "exception"]
+    assert one("getCustomer", "$r0 = virtualinvoke $r1.<x.Y: void setValue(java.lang.String)>($r2);") == ["customer", "value", "invoke"]
+    assert one("toString", "total = unitPrice + Tax") == ["string", "total", "unit", "price"]
+    said = 'r0 = "validate cart"; r1 = "https://example.com"; r2 = "/Users/local/file"; r3 = "550e8400-e29b-41d4-a716-446655440000"; r4 = "2024-01-02"; r5 = "debug"; r6 = "AQIDBAUGBwgJCgsMDQ4PEA=="; r7 = "a &amp; big\\nsale";'
+    assert one("parseCart", said) == ["parse", "cart", "validate", "big", "sale"]
+    assert one("<init>", "r0 = new java.lang.StringBuilder;") == ["create"]
+    assert one("<clinit>", "r0 = staticinvoke <x.Y: void initialize()>()") == ["initialize", "invoke"]
+    assert one("toString", "<example.C: short type>\n$i1 = (int) $s0\ntableswitch($i1) { case 1: goto return 1; }") == ["string", "jump", "type", "s0"]
+    assert tokens(say("a", "x = y", concrete=False), say("b", "x = y", synthetic=True)) == [] and one("run", None) == []
+    twice = [say("zetaAction", "r0 = virtualinvoke r1.<x.Y: void saveOrder()>()" * 10), say("alphaAction", "r0 = virtualinvoke r1.<x.Y: void saveOrder()>()"), say("betaAction", "save(order)")]
+    df = spark.createDataFrame(twice, "class_id string, method_name string, method_signature string, concrete boolean, synthetic boolean, body_text string")
+    assert Z.class_tokens(Z.method_tokens(df)).first().text.split() == ["alpha", "action", "save", "order", "invoke", "beta", "action", "save", "order", "zeta", "invoke"]
+
+
+def test_sections(spark):
+    from pyspark.sql import functions as F
+
+    declaration = "public class Sample {\n    void validate();\n}\n"
+    df = spark.createDataFrame([(declaration, "validate cart"), (declaration, ""), (declaration, None)], "d string, b string")
+    rows = df.select(Z.compose(F.col("d"), F.col("b")).alias("t")).withColumn("d", Z.declaration_of(F.col("t"))).collect()
+    assert [r.t for r in rows] == [f"[DECLARATION]\n{declaration}[METHOD_BODY]\n{b}\n" for b in ("validate cart", "<EMPTY>", "<EMPTY>")]
+    assert all(r.d == declaration for r in rows)
+    for bad in ("x", "x\r\n", "[METHOD_BODY]\n"):
+        with pytest.raises(Exception, match="line feed"):
+            spark.createDataFrame([(bad,)], "d string").select(Z.compose(F.col("d"), F.lit("b"))).collect()
+
+
+def test_mojo_of_nothing():
+    import pandas as pd
+
+    from tessera.operators.similarity import mojo_fm
+
+    assert mojo_fm(pd.DataFrame({"l": [], "r": [], "n": []})).mojofm[0] == 0.0
+    assert mojo_fm(pd.DataFrame({"l": ["a"], "r": ["x"], "n": [1]})).mojofm[0] == 100.0
+
+
+def test_groups_are_repaired():
+    g = X.Graph(5, np.array([0, 1, 2, 3]), np.array([1, 2, 3, 4]), np.array([5.0, 4.0, 3.0, 2.0]))
+    for groups in (1, 2, 3):
+        size = np.bincount(X.grouping_labels(g, groups))
+        assert size.max() <= 2 and len(size) >= 2
+
+
+def test_bootstrap_of_equal_rows(spark):
+    """Equal rows are drawn apart: the interval of a mean of 400 coin flips is about 2 x 1.96 x 0.025 wide."""
+    df = spark.createDataFrame([(float(i % 2),) for i in range(400)], "v double")
+    low, high = T.bootstrap_mean(df, "v", 4000).select("low", "high").first()
+    assert 0.07 < high - low < 0.13 and abs((low + high) / 2 - 0.5) < 0.02
 
 
 def test_random_edges():
