@@ -5,11 +5,12 @@ An edge is the pair (smaller id, larger id) in binary string order; nodes withou
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_folder
+
 PAIR = ["source", "target"]
 
 
@@ -179,7 +180,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -321,13 +321,39 @@ def nsga2(g: Graph, start: list[np.ndarray], seed: int, population: int = 100, g
     return np.array(xs)[front], f[front]
 
 
-def nsga2_runs(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame, population: int = 100, generations: int = 100) -> DataFrame:
-    """params (seed long) -> the front of each run, named in order of objectives and labels."""
+#: Edges of a semantic graph that go to the runs at most; each run holds its graph anyway.
+SEMANTIC_EDGES = 1 << 22
+
+
+def nsga2_runs(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame, population: int = 100, generations: int = 100, semantic: DataFrame | None = None) -> DataFrame:
+    """params (seed long) -> the front of each run, named in order of objectives and labels; with semantic (class_id_a, class_id_b, weight) four objectives."""
+    shared = None
+    if semantic is not None:
+        if semantic.count() > SEMANTIC_EDGES:
+            raise ValueError(f"a semantic graph of more than {SEMANTIC_EDGES} edges")
+        shared = nodes.sparkSession.sparkContext.broadcast(semantic.select("class_id_a", "class_id_b", "weight").toPandas())
 
     def run(ids, g, p) -> pd.DataFrame:
-        seed = int(p["seed"])
-        xs, f = nsga2(g, [x for _, x in seeds(g, leiden(g, seed=seed), seed)], seed, population, generations)
+        seed, meaning = int(p["seed"]), None
+        if shared is not None:
+            at = {c: i for i, c in enumerate(ids)}
+            e = shared.value
+            meaning = Graph(g.n, e["class_id_a"].map(at).to_numpy(), e["class_id_b"].map(at).to_numpy(), e["weight"].to_numpy())
+        xs, f = nsga2(g, [x for _, x in seeds(g, leiden(g, seed=seed), seed)], seed, population, generations, meaning)
         order = sorted(range(len(xs)), key=lambda i: (tuple(f[i]), tuple(xs[i])))
-        return pd.DataFrame({"seed": seed, "solution_id": [f"seed{seed}_solution{k:03d}" for k in range(len(order))], "coupling": f[order, 0], "cohesion": -f[order, 1], "imbalance": f[order, 2], "label_vector": [xs[i].astype(np.int32).tolist() for i in order]})
+        out = {"seed": seed, "solution_id": [f"seed{seed}_solution{k:03d}" for k in range(len(order))], "coupling": f[order, 0], "cohesion": -f[order, 1], "imbalance": f[order, 2]}
+        return pd.DataFrame(out | ({} if meaning is None else {"f_semantic": f[order, 3]}) | {"label_vector": [xs[i].astype(np.int32).tolist() for i in order]})
+
+    extra = "" if semantic is None else "f_semantic double, "
+    return per_run(nodes, edges, weight, params, ["seed"], run, f"seed long, solution_id string, coupling double, cohesion double, imbalance double, {extra}label_vector array<int>")
+
+
+def pending_runs(params: DataFrame, finished: DataFrame, keys: tuple[str, ...] = ("seed",)) -> DataFrame:
+    """Runs that a resumed loop still has to do."""
+    return params.join(finished.select(*keys).distinct(), list(keys), "left_anti")
+
 
-    return per_run(nodes, edges, weight, params, ["seed"], run, "seed long, solution_id string, coupling double, cohesion double, imbalance double, label_vector array<int>")
+def run_differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """rows of both, and rows that stand in one of two runs only: 0 for a run that repeats itself."""
+    one = first.exceptAll(second).unionAll(second.exceptAll(first)).agg(F.count("*").alias("differences"))
+    return first.unionAll(second).agg(F.count("*").alias("rows")).crossJoin(F.broadcast(one))  # one row each

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import lzma
 import os
@@ -105,19 +106,18 @@ def yaml_mapping(path: str) -> dict:
     return out
 
 
-def xz_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An xz-compressed CSV; Spark has no codec for it, so each file is one task's stream."""
+def xz_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """xz-compressed CSVs, read by Spark from any file system; Spark has no codec for xz, so each file is one task's bytes (under 2 GB packed)."""
     columns = [c.strip().split()[0] for c in schema.split(",")]
-    paths = [path] if isinstance(path, str) else list(path)
 
     def run(batches):
         for t in batches:
-            for p in t["path"]:
-                with lzma.open(p, "rt") as f:
-                    yield from pd.read_csv(f, usecols=columns, dtype=str, chunksize=50_000)
+            for content in t["content"]:
+                with lzma.open(io.BytesIO(content), "rt") as f:
+                    for part in pd.read_csv(f, usecols=columns, dtype=str, chunksize=50_000):
+                        yield part[columns]
 
-    text = ", ".join(f"{c} string" for c in columns)
-    raw = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInPandas(lambda b: (t[columns] for t in run(b)), text)
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{c} string" for c in columns))
     return raw.selectExpr(*(f"CAST({c.strip().split()[0]} AS {c.strip().split()[1]}) AS {c.strip().split()[0]}" for c in schema.split(",")))
 
 

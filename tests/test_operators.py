@@ -337,3 +337,61 @@ def test_random_edges():
     assert (e == T.random_edges(9, 20, 3)).all()
     full = T.random_edges(6, 15, 0)
     assert {tuple(x) for x in full} == set(itertools.combinations(range(6), 2))
+
+
+def test_confirmatory_family(spark):
+    from tessera.operators import studies as U
+
+    rng = np.random.default_rng(5)
+    rows = [(f"s{k}", float(a), float(a + rng.normal(k / 2, 1))) for k in range(3) for a in rng.normal(size=12)]
+    df = spark.createDataFrame(rows, "subject string, left double, right double")
+    back = df.selectExpr("subject", "right AS left", "left AS right")
+    got = U.confirmatory_family({"up": (df, False), "down": (back, True)}).collect()
+    assert len(got) == 6 and len({(r.subject, r.metric) for r in got}) == 6
+    order = sorted(got, key=lambda r: (r.p_value, r.subject, r.metric))
+    top = 0.0
+    for i, r in enumerate(order):
+        top = max(top, min(1.0, (6 - i) * r.p_value))
+        assert abs(r.holm - top) < 1e-12 and r.significant == (top <= 0.05)
+    by = {(r.subject, r.metric): r for r in got}
+    for k in range(3):  # the same pairs the other way round
+        a, b = by[f"s{k}", "up"], by[f"s{k}", "down"]
+        assert (a.better, a.worse, a.p_value, a.rank_biserial) == (b.better, b.worse, b.p_value, -b.rank_biserial)
+
+
+def test_four_objectives_and_reruns(spark):
+    nodes = spark.createDataFrame([(f"c{i:02d}",) for i in range(12)], "class_id string")
+    edges = spark.createDataFrame([(f"c{i:02d}", f"c{j:02d}", 1.0 + (i + j) % 3) for i in range(12) for j in range(i + 1, 12) if (i % 4 == j % 4) or j == i + 1], "source string, target string, w double")
+    semantic = edges.where("w > 1").selectExpr("source AS class_id_a", "target AS class_id_b", "w AS weight")
+    params = spark.createDataFrame([(0,), (1,)], "seed long")
+    run = lambda: X.nsga2_runs(nodes, edges, "w", params, 12, 6, semantic)
+    front = run().collect()
+    assert X.run_differences(run(), run()).first().differences == 0
+    sem = [(int(r.class_id_a[1:]), int(r.class_id_b[1:]), r.weight) for r in semantic.collect()]
+    total = sum(w for *_, w in sem)
+    for r in front:
+        assert abs(r.f_semantic - (1 - sum(w for a, b, w in sem if r.label_vector[a] == r.label_vector[b]) / total)) < 1e-9
+        better = [q for q in front if q.seed == r.seed and all(x <= y for x, y in zip((q.coupling, -q.cohesion, q.imbalance, q.f_semantic), (r.coupling, -r.cohesion, r.imbalance, r.f_semantic), strict=True)) and q.label_vector != r.label_vector]
+        assert not any((q.coupling, q.cohesion, q.imbalance, q.f_semantic) != (r.coupling, r.cohesion, r.imbalance, r.f_semantic) for q in better)
+    assert sorted(r.seed for r in X.pending_runs(params, spark.createDataFrame([(1,)], "seed long")).collect()) == [0]
+
+
+def test_study_checks(spark):
+    from tessera.operators import studies as U
+    from tessera.operators.validate import ValidationError
+
+    assert U.expected_weights({}) == U.ROW_WEIGHTS and U.expected_weights({"expected_extracted_evidence_weights": {"call": 5}})["call"] == 5.0
+    for bad in ({"calls": 1}, {"call": -1}, {"call": True}, {"call": "2"}, {"call": float("nan")}, [1]):
+        with pytest.raises(ValidationError):
+            U.expected_weights({"expected_extracted_evidence_weights": bad})
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", None), (None, "x"), ("a", "y")], "representation_id string, experiment_id string")
+    assert sorted(r.fault for r in U.identity_faults(rows, "a", "x").collect()) == ["experiment", "representation", "representation"]
+    bounds = spark.createDataFrame([(0.0, 1.0, -3.0, 0.0, 0.0, 2.0), (0.0, 2.0, -4.0, 1.0, 0.0, 0.0)], "coupling_low double, coupling_high double, cohesion_low double, cohesion_high double, imbalance_low double, imbalance_high double")
+    faults = U.bounds_faults(bounds, spark.createDataFrame([(3.0,)], "raw_weight double")).collect()
+    assert not any(faults[0]) and all(faults[1])
+    front = spark.createDataFrame([("r", "a", 1.0, 5.0, 7.0), ("r", "b", 2.0, 6.0, 7.0)], "run string, solution_id string, x double, y double, saved_hypervolume double")
+    assert tuple(U.front_check(front, "x", "y", (10.0, 10.0), ("run",)).first()) == ("r", 2, 1, False)
+    f = spark.createDataFrame([("r", "a", 0.5, 1.0, 1.0, 0.2, True)], "run string, solution_id string, weighted_modularity double, coupling double, imbalance double, f_semantic double, feasible boolean")
+    lost = f.withColumnRenamed("solution_id", "original_solution_id").selectExpr("*", "'p' AS solution_id").drop("weighted_modularity")
+    with pytest.raises(Exception, match="unmapped"):
+        U.candidate_pool(f, f, lost, f, f, ("run",)).collect()
