@@ -107,34 +107,36 @@ def dominates(a: str, b: str, objectives: Sequence[str], tolerance: float = 0.0)
 def local_skyline(f: np.ndarray) -> np.ndarray:
     """Nondominated rows of a matrix; equal rows all stay."""
     u, back = np.unique(f, axis=0, return_inverse=True)  # in order of the first objective, so a dominator stands before
-    keep = np.zeros(len(u), bool)
-    front = np.empty((0, f.shape[1]))
+    keep, front, n = np.zeros(len(u), bool), np.empty((64, f.shape[1])), 0
     for i, x in enumerate(u):
-        if not ((front <= x).all(1) & (front < x).any(1)).any():
+        if not ((front[:n] <= x).all(1) & (front[:n] < x).any(1)).any():
             keep[i] = True
-            front = np.vstack([front, x[None]])
+            if n == len(front):
+                front = np.concatenate((front, np.empty_like(front)))
+            front[n] = x
+            n += 1
     return keep[back.reshape(-1)]
 
 
-def nondominated(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...], pre: bool = True) -> DataFrame:
+def nondominated(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
     """Rows that no other row of the same run dominates; duplicates all stay.
 
-    Each input partition first drops what its own rows dominate, so that the join by run sees local fronts only.
+    Each task first drops what its own rows dominate, batch by batch, holding its local fronts only; so the join by run sees local fronts.
     """
-    names = list(objectives)
-    if pre:
-        columns = rows.columns
-
-        def prune(batches):
-            held = [b for b in batches if len(b)]
-            if held:
-                t = pd.concat(held, ignore_index=True)
-                mask = np.zeros(len(t), bool)
-                for _, i in t.groupby(list(keys), dropna=False, sort=False).indices.items():
-                    mask[i] = local_skyline(t.iloc[i][names].to_numpy(float))
-                yield t[mask][columns]
-
-        rows = rows.mapInPandas(prune, rows.schema)
+    names, columns = list(objectives), rows.columns
+
+    def prune(batches):
+        held = None
+        for batch in batches:
+            t = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            mask = np.zeros(len(t), bool)
+            for _, i in t.groupby(list(keys), dropna=False, sort=False).indices.items():
+                mask[i] = local_skyline(t.iloc[i][names].to_numpy(float))
+            held = t[mask][columns]
+        if held is not None and len(held):
+            yield held
+
+    rows = rows.mapInPandas(prune, rows.schema)
     a, b = rows.alias("b"), rows.select(*keys, *names).distinct().alias("a")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     on = dominates("a", "b", names)
@@ -146,7 +148,7 @@ def nondominated(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ..
 def feasible_front(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
     """The front among feasible rows of a run; among all rows of runs without any."""
     some = rows.withColumn("_any", F.max("feasible").over(Window.partitionBy(*keys)))
-    return nondominated(some.where("feasible OR NOT _any").drop("_any"), objectives, keys, pre=False)
+    return nondominated(some.where("feasible OR NOT _any").drop("_any"), objectives, keys)
 
 
 def numbered(rows: DataFrame, objectives: Sequence[str], labels: str = "label_vector") -> DataFrame:
@@ -158,7 +160,7 @@ def numbered(rows: DataFrame, objectives: Sequence[str], labels: str = "label_ve
 
 def projected(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
     """Front of fewer objectives; of equal objective vectors the smallest solution_id stays."""
-    front = nondominated(rows, objectives, keys, pre=False)
+    front = nondominated(rows, objectives, keys)
     w = Window.partitionBy(*keys, *objectives).orderBy("solution_id")
     return front.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
