@@ -8,7 +8,8 @@ blocks stand a sparse index (last key, offset, length of each block), a Bloom fi
 and a fixed footer. A lookup reads footer, filter and index, bisects the index and reads one block.
 
 Rows that repeat a doc_id are entries of their own, in text order. Null doc_id sorts first and has an empty key.
-Null text encodes as the end id alone.
+Null or empty text encodes as the end id alone. Ties: equal rows are equal entries, one after the other. Very long texts are encoded as a
+whole. An empty table gives no file and an empty result. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ sorted, their trie is filled level by level, and the forward score of a node is
 tokens that end there. Terminal nodes hold the number of tokens. Ties go to fewer tokens.
 The trie is local to a task's batch, so nothing is shuffled and memory has a bound.
 
-Null or empty text: no pre-tokens, 0 tokens. Every byte is a token, so every text has a segmentation.
+Null or empty text: no pre-tokens, 0 tokens. Null doc_id and rows that repeat are counted like any other. Very long texts are cut into words as a
+whole. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any names. Every byte is a token, so every text has a segmentation.
 Levels beyond LONG bytes, which only a few words reach, go on word by word with the same rule.
 """
 

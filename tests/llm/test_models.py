@@ -88,3 +88,47 @@ def test_quality_classifier(spark, clashing, rows, empty):
     assert {r.doc_id: r.score for r in quality_scores(spark, df, labels).collect()} == {r.doc_id: r.score for r in out}
     assert quality_scores(spark, empty, labels).count() == 0
     assert {r.score for r in quality_scores(spark, df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_features_against_brute_force(spark):
+    """Context vectors and pooled features of op 9, token by token in plain Python."""
+    from tessera.llm import quality_classifier as Q
+    from tessera.llm.kernels import text_buffer
+
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["ab", "Cd", "XYZ", "12", "é", "--", "a1b"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + ["", "one"]
+
+    def kind(c):
+        return 0 if c in " \t\n\x0b\x0c\r" else 1 if c.islower() or ord(c) > 127 else 2 if "A" <= c <= "Z" else 3 if c.isdigit() else 4
+
+    def rows_of(text):
+        runs, at = [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and kind(text[end]) == kind(text[at]):
+                end += 1
+            if kind(text[at]):
+                runs.append(text[at:end])
+            at = end
+        return [int(Q.tokens(*text_buffer(pa.array([r])))[0][0]) for r in runs]
+
+    place, sign = Q.index_vectors()
+    context = np.zeros((Q.VOCABULARY, Q.WIDTH))
+    docs = [rows_of(t) for t in texts]
+    for d in docs:
+        for i, a in enumerate(d):
+            for j in range(max(0, i - Q.REACH), min(len(d), i + Q.REACH + 1)):
+                if i != j:
+                    for k in range(Q.SIGNS):
+                        context[a, place[d[j], k]] += sign[d[j], k]
+    unit = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = Q.context_vectors(df)
+    assert np.abs(got - unit).max() < 1e-6
+    shared = spark.sparkContext.broadcast(got)
+    for r in df.select("doc_id", "text").mapInArrow(Q._features(shared), "doc_id long, x binary").collect():
+        d = unit[docs[r.doc_id]]
+        want = np.concatenate([d.mean(0), d.std(0)]) if len(d) else np.zeros(2 * Q.WIDTH)
+        assert np.abs(np.frombuffer(r.x, np.float32) - want).max() < 1e-3, r.doc_id
