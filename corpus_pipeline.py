@@ -1,7 +1,12 @@
 """A corpus pipeline over documents: quality rules, n-gram join, decontamination, mixing, token shards.
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, and returns a DataFrame that is written
-as Parquet and read again. All but the last return the columns of documents; the last returns the shards' rows.
+as Parquet and read again. All but the last return the columns of documents, and further ones of whatever name; the last returns the shards' rows.
+
+Null or empty texts fail the quality rules, and so do rows without a doc_id go. Rows that repeat a doc_id go or stay together: where one of them
+passes the quality rules, the others pass as well; the near-copy stage looks at the smallest set of them, the decontamination at all of them,
+and the mix takes each as often as the most taken. Ties among near copies: the smallest doc_id stays. Very long texts count as a whole in every stage.
+An empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
