@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import fronts as P
+from tessera.operators import partition as M
 from tessera.operators import reports as R
 from tessera.operators import search as X
 from tessera.operators import selection as S
@@ -13,7 +14,7 @@ from tessera.operators import stats as T
 from tessera.operators import studies as U
 from tessera.operators import validate as V
 from tessera.plans import adapters as A
-from tessera.plans.catalog import ALL, CONT, NMI, OBJ, PAIRS, PLACED, RAW, ROW, SEM, VEC, _profile_sql, query, raw, rounded, semantic, ssa
+from tessera.plans.catalog import ALL, CONT, DEG, LAB, NMI, OBJ, PAIRS, PART, PLACED, RAW, ROW, SEM, VEC, _profile_sql, query, raw, rounded, semantic
 from tessera.plans.catalog_more import SOL
 from tessera.sources import tables as I
 from tessera.sources.shared import scratch_path
@@ -211,3 +212,23 @@ def snk03_xz_labels(s, d):
     path = scratch_path(s, "labels") + ".csv.xz"
     I.write_xz_csv(A.candidates(s, d).select("solution_id", "class_id", "cluster_id"), _local(path))
     return I.xz_csv(s, path, "solution_id string, class_id string, cluster_id bigint")
+
+
+@query(A.sql("SELECT (SELECT cluster_id FROM part_ ORDER BY contribution DESC, cluster_id DESC LIMIT 1) AS highest, (SELECT cluster_id FROM part_ ORDER BY contribution, cluster_id LIMIT 1) AS lowest, (SELECT round(sum(contribution), 6) FROM part_) AS weighted_modularity", *LAB, deg=DEG, part_=PART))
+def met17_extremes(s, d):
+    return rounded(M.modularity_extremes(raw(s, d), A.labels(s, d), "raw_weight"))
+
+
+@query("SELECT event_type, CASE WHEN low > 0 OR high < 0 THEN printf('difference %.3f stands out of the noise', mean) ELSE printf('difference %.3f is within the noise', mean) END AS verdict FROM (SELECT event_type, avg(value) AS mean, avg(value) - 2 * stddev_samp(value) AS low, avg(value) + 2 * stddev_samp(value) AS high FROM events GROUP BY 1)")
+def stat16_verdict(s, d):
+    return T.two_sigma(A.table(s, d, "events"), "value", ("event_type",)).select("event_type", R.verdict(F.col("mean"), F.col("low"), F.col("high")).alias("verdict"))
+
+
+@query("SELECT 'names' AS name, 1::BIGINT AS files, true AS hashed, sum(length(s_name) + 1)::BIGINT AS bytes FROM supplier UNION ALL SELECT 'keys', 1, true, sum(length(CAST(s_suppkey AS VARCHAR)) + 1)::BIGINT FROM supplier")
+def hsh05_inventory(s, d):
+    """Two text tables of one file each, hashed where they lie."""
+    folder, t = scratch_path(s, "inventory"), A.table(s, d, "supplier")
+    for name, column in (("names", "s_name"), ("keys", "s_suppkey")):
+        t.select(F.col(column).cast("string")).coalesce(1).write.text(f"{folder}/{name}")
+    found = I.file_inventory(s, folder).where("path LIKE '%.txt'").withColumn("name", F.regexp_extract("path", "/(names|keys)/[^/]*$", 1))
+    return found.groupBy("name").agg(F.count("*").alias("files"), F.bool_and(F.length("sha256") == 64).alias("hashed"), F.sum("bytes").alias("bytes"))

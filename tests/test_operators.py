@@ -395,3 +395,21 @@ def test_study_checks(spark):
     lost = f.withColumnRenamed("solution_id", "original_solution_id").selectExpr("*", "'p' AS solution_id").drop("weighted_modularity")
     with pytest.raises(Exception, match="unmapped"):
         U.candidate_pool(f, f, lost, f, f, ("run",)).collect()
+
+
+def test_provenance_helpers(spark, tmp_path):
+    import hashlib
+
+    from tessera.operators.validate import ValidationError
+    from tessera.sources import tables as I
+
+    assert I.contract_digest({"b": 1, "a": [2]}, ("a",)) == hashlib.sha256(b'{"a":[2],"b":1}').hexdigest()
+    with pytest.raises(ValidationError, match="missing fields: c"):
+        I.contract_digest({"a": 1}, ("a", "c"))
+    assert I.same_manifest({"head": 1, "x": {"branch": "a", "y": 2}}, {"head": 2, "x": {"branch": "b", "y": 2}})
+    assert not I.same_manifest({"x": 1}, {"x": 2})
+    text = I.dot_graph([("b", "c", 2.5), ("a", "b", 1)], {"b": 'say "b"', "a": "A\\"})
+    assert text == 'graph g {\n  "a" [label="A\\\\"];\n  "b" [label="say \\"b\\""];\n  "a" -- "b" [weight=1];\n  "b" -- "c" [weight=2.5];\n}\n'
+    (tmp_path / "x.txt").write_bytes(b"abc")
+    (row,) = I.file_inventory(spark, f"file://{tmp_path}").collect()
+    assert (row.bytes, row.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
