@@ -152,3 +152,14 @@ def test_bands_of_a_large_component(spark, monkeypatch):
         monkeypatch.setattr(signature_join, "SPREAD", 3)
         monkeypatch.setattr(signature_join, "BLOCK_GRAMS", 1500)
         assert run(spark, df, n=n, percent=percent) == brute(rows, n, percent)
+
+
+def test_more_edges_than_a_task_contracts(spark, monkeypatch):
+    from tessera.llm import shared, signature_join
+
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for module in (shared, signature_join):
+        monkeypatch.setattr(module, "CONTRACT", 40)
+    monkeypatch.setattr(signature_join, "GATHER", 300)
+    assert run(spark, df) == brute(rows)
