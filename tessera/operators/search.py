@@ -144,6 +144,10 @@ def _graph_of(rows: pd.DataFrame, ids: np.ndarray) -> Graph:
     return Graph(len(ids), np.searchsorted(ids, e["source"].to_numpy(str)), np.searchsorted(ids, e["target"].to_numpy(str)), e["weight"].to_numpy(float))
 
 
+#: Partitions that the runs of a query are dealt over at most.
+RUN_PARTITIONS = 4000
+
+
 def per_run(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame, key: list[str], run: Callable, schema: str) -> DataFrame:
     """run(ids, graph, parameters) -> pandas, for each row of params; the graph rows go to every run of a subject."""
     n = nodes.select(F.col("class_id").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(0.0).alias("weight"))
@@ -155,7 +159,10 @@ def per_run(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame,
 
     # parameters are a small table of the caller; the graph repeats once a run, which is the work itself
     again = params.select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
-    return params.groupBy(*key).cogroup(again.crossJoin(rows).groupBy(*(f"_{k}" for k in key))).applyInPandas(one, schema)
+    # a run takes long and its rows are few: a fixed number of partitions keeps AQE from putting the runs into one task
+    parts = min(4 * max(1, params.count()), RUN_PARTITIONS)
+    left = params.repartition(parts, *key).groupBy(*key)
+    return left.cogroup(again.crossJoin(rows).repartition(parts, *(f"_{k}" for k in key)).groupBy(*(f"_{k}" for k in key))).applyInPandas(one, schema)
 
 
 def leiden_runs(nodes: DataFrame, edges: DataFrame, weight: str, params: DataFrame) -> DataFrame:
