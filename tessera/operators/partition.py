@@ -143,6 +143,17 @@ def vector_rows(vectors: DataFrame, column: str = "label_vector") -> DataFrame:
     return vectors.select(*rest, F.posexplode(column).alias("place", "cluster_id"))
 
 
+def cluster_by_class(nodes: DataFrame, vectors: DataFrame, column: str = "label_vector") -> DataFrame:
+    """Label vectors (arrays, or their JSON) as rows of class_id and cluster_id: places stand for classes in order of class_id. A vector of another length is an error."""
+    rest = [c for c in vectors.columns if c != column]
+    v = F.from_json(column, "array<int>") if dict(vectors.dtypes)[column] == "string" else F.col(column)
+    ids = nodes.agg(F.array_sort(F.collect_list("class_id")).alias("_ids"))  # one row, as long as a vector
+    both = vectors.withColumn("_v", v).crossJoin(F.broadcast(ids))
+    whole = F.when(F.size("_v") == F.size("_ids"), F.arrays_zip(F.col("_ids").alias("class_id"), F.col("_v").alias("cluster_id")))
+    rows = both.select(*rest, F.explode(F.coalesce(whole, F.raise_error(F.lit("a label vector needs one label for each class")).cast("array<struct<class_id:string,cluster_id:int>>"))).alias("_r"))
+    return rows.select(*rest, F.col("_r")["class_id"].alias("class_id"), F.col("_r")["cluster_id"].alias("cluster_id"))
+
+
 def partition_key(labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Canonical label vector in order of class_id. A vector is as long as a solution has classes."""
     v = labels.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("class_id", "cluster_id"))), lambda s: s["cluster_id"]).alias("v"))

@@ -278,9 +278,8 @@ def crowding(f: np.ndarray) -> np.ndarray:
     return out
 
 
-def nsga2(g: Graph, start: list[np.ndarray], seed: int, population: int = 100, generations: int = 100, semantic: Graph | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Label vectors of the last population's front, and their objectives. Equal vectors are kept once."""
-    rng = np.random.default_rng(SEED_BASE + seed)
+def start_population(g: Graph, start: list[np.ndarray], rng: np.random.Generator, population: int) -> list[np.ndarray]:
+    """The given vectors first, then random ones, all repaired and each once."""
     pool: dict[bytes, np.ndarray] = {}
 
     def add(x: np.ndarray) -> None:
@@ -293,7 +292,30 @@ def nsga2(g: Graph, start: list[np.ndarray], seed: int, population: int = 100, g
     while len(pool) < population and tries < 20 * population:
         add(random_labels(g.n, rng))
         tries += 1
-    xs = list(pool.values())
+    return list(pool.values())
+
+
+def crossed(a: np.ndarray, b: np.ndarray, rng: np.random.Generator, chance: float = 0.9) -> np.ndarray:
+    """Uniform crossover: with the chance, each label of a is b's in half of the places."""
+    a = a.copy()
+    if rng.random() < chance:
+        mask = rng.random(len(a)) < 0.5
+        a[mask] = b[mask]
+    return a
+
+
+def mutated(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Each place goes, with a chance of 1 in n, to any cluster or to a new one."""
+    x = x.copy()
+    change = rng.random(len(x)) < min(0.5, 1 / max(1, len(x)))
+    x[change] = rng.integers(0, int(x.max(initial=0)) + 2, int(change.sum()))
+    return x
+
+
+def nsga2(g: Graph, start: list[np.ndarray], seed: int, population: int = 100, generations: int = 100, semantic: Graph | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Label vectors of the last population's front, and their objectives. Equal vectors are kept once."""
+    rng = np.random.default_rng(SEED_BASE + seed)
+    xs = start_population(g, start, rng, population)
     f = np.array([objectives(g, x, semantic) for x in xs])
     for _ in range(generations):
         rank, far = ranks_of(f), np.zeros(len(f))
@@ -304,13 +326,8 @@ def nsga2(g: Graph, start: list[np.ndarray], seed: int, population: int = 100, g
         known = len(pool)
         tries = 0
         while len(pool) < known + population and tries < 4 * population:
-            a, b = xs[pick()].copy(), xs[pick()]
-            if rng.random() < 0.9:
-                mask = rng.random(g.n) < 0.5
-                a[mask] = b[mask]
-            change = rng.random(g.n) < min(0.5, 1 / g.n)
-            a[change] = rng.integers(0, int(a.max()) + 2, int(change.sum()))
-            add(a)
+            x = repaired(mutated(crossed(xs[pick()], xs[pick()], rng), rng))
+            pool.setdefault(x.tobytes(), x)
             tries += 1
         fresh = list(pool.values())[known:]
         if fresh:

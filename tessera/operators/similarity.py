@@ -138,6 +138,12 @@ def largest_mojo(columns: np.ndarray) -> int:
     return int(columns.sum()) - int(groups)
 
 
+def mojo_bound(sizes: Column) -> Column:
+    """largest_mojo as a column function of an array of cluster sizes."""
+    groups = F.aggregate(F.array_sort(sizes), F.lit(0).cast("long"), lambda m, x: F.when(x > m, m + 1).otherwise(m))
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda m, x: m + x) - groups
+
+
 def mojo_fm(table: pd.DataFrame) -> pd.DataFrame:
     """Without a mapped class 0; where every partition is as good as the reference, 100 for no distance and 0 else."""
     n = table.pivot_table(index="l", columns="r", values="n", fill_value=0, aggfunc="sum").to_numpy() if len(table) else np.zeros((0, 0))

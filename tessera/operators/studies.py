@@ -155,3 +155,10 @@ def profile_sensitivity(selected: DataFrame, value: Column) -> DataFrame:
     """Median, quartiles and their range of a value for each profile, over runs."""
     q = lambda p: F.percentile(value, F.lit(p))
     return selected.groupBy("profile_id").agg(F.count("*").alias("n"), F.median(value).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr"))
+
+
+def seed_similarity(left: DataFrame, right: DataFrame, seed: str = "seed") -> tuple[DataFrame, DataFrame]:
+    """ARI and arithmetic NMI of two partitions a seed, and their mean and median over the seeds."""
+    rows = C.similarity(left, right, (seed,)).select(seed, "ari", "nmi_arithmetic")
+    parts = (f(m).alias(f"{n}_{m}") for m in ("ari", "nmi_arithmetic") for n, f in (("mean", F.avg), ("median", F.median)))
+    return rows, rows.agg(F.count("*").alias("seeds"), *parts)

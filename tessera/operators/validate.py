@@ -85,6 +85,12 @@ def text_hash_faults(inputs: DataFrame) -> DataFrame:
     return inputs.agg(F.count("*").alias("rows"), F.countDistinct("class_id").alias("ids"), F.count_if(F.sha2("semantic_text", 256) != F.col("input_hash")).alias("wrong_hash"))
 
 
+def inventory_faults(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """path and fault (missing, extra, changed) of an inventory of files (path, sha256) against the expected one."""
+    j = found.select("path", F.col("sha256").alias("_f")).join(expected.select("path", F.col("sha256").alias("_e")), "path", "full")
+    return j.select("path", F.when(F.col("_f").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("_f") != F.col("_e"), "changed").alias("fault")).where("fault IS NOT NULL")
+
+
 def require(faults: DataFrame, message: str) -> None:
     """Raise when a table of offenders has rows; the message shows at most ten."""
     rows = faults.limit(10).collect()

@@ -947,12 +947,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from tessera.plans import catalog_more, catalog_studies  # noqa: F401  register further queries
+    from tessera.plans import catalog_more, catalog_steps, catalog_studies  # noqa: F401  register further queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.plans import catalog_more, catalog_studies  # noqa: F401
+    from tessera.plans import catalog_more, catalog_steps, catalog_studies  # noqa: F401
 
     return dict(_SQL)

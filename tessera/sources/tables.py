@@ -14,8 +14,10 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.operators import validate as V
 
@@ -24,10 +26,12 @@ DEPENDENCIES = "source string, target string, dependency_type string, weight str
 FLOWS = "source string, target string, flow_type string, weight string, evidence_method string, evidence_statement string"
 
 
-def read_columns(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV's required columns in schema order; other columns are ignored, missing ones are an error."""
+def read_columns(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A CSV's required columns in schema order; other columns are ignored, missing ones are an error. Quotes in values are doubled.
+
+    lines: values may hold line feeds; such a file can't be split between tasks."""
     want = [c.strip().split()[0] for c in schema.split(",")]
-    df = spark.read.csv(path, header=True)
+    df = spark.read.csv(path, header=True, escape='"', multiLine=lines)
     missing = [c for c in want if c not in df.columns]
     if missing:
         raise V.ValidationError(f"{path}: missing columns {', '.join(missing)}")
@@ -86,15 +90,43 @@ def reference_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def semantic_edges(spark: SparkSession, path: str) -> DataFrame:
     """Three columns; the others are never parsed."""
-    return spark.read.csv(path, header=True).select("class_id_a", "class_id_b", F.col("weight").cast("double").alias("weight"))
+    return spark.read.csv(path, header=True, escape='"').select("class_id_a", "class_id_b", F.col("weight").cast("double").alias("weight"))
+
+
+def _input_file(path: str):
+    """A random-access file of any file system that Arrow knows."""
+    system, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+    return system.open_input_file(at)
+
+
+def embeddings(spark: SparkSession, path: str, rows: int, dimension: int, block: int = 1 << 16) -> DataFrame:
+    """A .npy matrix of float32 (no pickles): row, embedding. The driver reads the header; tasks read blocks of rows."""
+    with _input_file(path) as f:
+        version = np.lib.format.read_magic(f)
+        shape, by_column, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        start = f.tell()
+    if shape != (rows, dimension) or kind != np.dtype("<f4") or by_column:
+        raise V.ValidationError(f"{path}: shape {shape} of {kind}")
+
+    def run(batches):
+        for t in batches:
+            for k in t["id"]:
+                count = min(block, rows - k * block)
+                with _input_file(path) as f:
+                    f.seek(start + 4 * dimension * k * block)
+                    m = np.frombuffer(f.read(4 * dimension * count), "<f4").reshape(count, dimension)
+                yield pd.DataFrame({"row": np.arange(k * block, k * block + count), "embedding": list(m)})
+
+    blocks = -(-rows // block)
+    return spark.range(0, blocks, 1, max(1, blocks)).mapInPandas(run, "row long, embedding array<float>")
 
 
-def embeddings(spark: SparkSession, path: str, rows: int, dimension: int) -> DataFrame:
-    """A .npy matrix of float32 (no pickles): row, embedding."""
-    m = np.load(path, allow_pickle=False)
-    if m.shape != (rows, dimension) or m.dtype != np.float32:
-        raise V.ValidationError(f"{path}: shape {m.shape} of {m.dtype}")
-    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "row long, embedding array<float>")
+def write_npy(vectors: DataFrame, path: str, order: str, rows: int, dimension: int) -> None:
+    """embedding as a .npy matrix of float32 in order of a column, streamed through the driver."""
+    with open(path, "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f4", "fortran_order": False, "shape": (rows, dimension)})
+        for r in vectors.orderBy(order).select("embedding").toLocalIterator():
+            f.write(np.asarray(r[0], "<f4").tobytes())
 
 
 def yaml_mapping(path: str) -> dict:
@@ -106,6 +138,35 @@ def yaml_mapping(path: str) -> dict:
     return out
 
 
+def extraction_arguments(config: dict, subject: str) -> list[str]:
+    """Command line of an extractor for one subject: paths below project_root unless absolute, packages joined by commas, classpath by the path separator."""
+
+    def text(key: str) -> str:
+        value = config.get(key)
+        if not isinstance(value, str) or not value.strip():
+            raise V.ValidationError(f"{key} must be a text")
+        return value.strip()
+
+    def texts(key: str, needed: bool) -> list[str]:
+        value = config.get(key) or []
+        if not isinstance(value, list) or not all(isinstance(x, str) and x.strip() for x in value) or (needed and not value):
+            raise V.ValidationError(f"{key} must be a list of texts")
+        return [x.strip() for x in value]
+
+    if text("subject") != subject:
+        raise V.ValidationError(f"the configuration of {config['subject']} isn't that of {subject}")
+    root = Path(text("project_root"))
+    options = {
+        "--subject": subject,
+        "--classes-dir": str(root / text("classes_dir")),
+        "--classpath": os.pathsep.join(str(root / x) for x in texts("classpath_entries", True)),
+        "--app-packages": ",".join(texts("app_packages", True)),
+        "--exclude-packages": ",".join(texts("exclude_packages", False)),
+        "--out-dir": text("extracted_output_path"),
+    }
+    return [part for option, value in options.items() if value for part in (option, value)]
+
+
 def xz_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """xz-compressed CSVs, read by Spark from any file system; Spark has no codec for xz, so each file is one task's bytes (under 2 GB packed)."""
     columns = [c.strip().split()[0] for c in schema.split(",")]
@@ -123,7 +184,7 @@ def xz_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by: Iterable[str] = ()) -> None:
     w = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
-    w.csv(path, header=True) if kind == "csv" else w.option("compression", "zstd").parquet(path)
+    w.csv(path, header=True, escape='"') if kind == "csv" else w.option("compression", "zstd").parquet(path)
 
 
 def write_xz_csv(df: DataFrame, path: str) -> None:
@@ -161,6 +222,16 @@ def lossless(value: float, digits: int = 17) -> str:
     return format(value, f".{digits}g")
 
 
+def lossless_text(digits: int = 17):
+    """lossless as a function of a double column."""
+
+    @F.pandas_udf(StringType())
+    def run(value: pd.Series) -> pd.Series:
+        return value.map(lambda x: None if pd.isna(x) else lossless(x, digits))
+
+    return run
+
+
 def markdown_table(df: DataFrame) -> str:
     """A report table; for results that are reports already."""
     head = [f"| {' | '.join(df.columns)} |", f"|{'|'.join('---' for _ in df.columns)}|"]

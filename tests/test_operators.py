@@ -413,3 +413,29 @@ def test_provenance_helpers(spark, tmp_path):
     (tmp_path / "x.txt").write_bytes(b"abc")
     (row,) = I.file_inventory(spark, f"file://{tmp_path}").collect()
     assert (row.bytes, row.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_quotes_and_npy(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('b,a\n"x, ""y""",1\n"two\nlines",2\n')
+    rows = S.read_columns(spark, str(tmp_path / "t.csv"), "a string, b string", lines=True).collect()
+    assert sorted(tuple(r) for r in rows) == [("1", 'x, "y"'), ("2", "two\nlines")]
+    m = np.arange(35, dtype=np.float32).reshape(7, 5)
+    np.save(tmp_path / "m.npy", m)
+    got = S.embeddings(spark, str(tmp_path / "m.npy"), 7, 5, block=3).orderBy("row").collect()
+    assert [r["row"] for r in got] == list(range(7)) and [r["embedding"] for r in got] == m.tolist()
+    with pytest.raises(V.ValidationError):
+        S.embeddings(spark, str(tmp_path / "m.npy"), 8, 5)
+
+
+def test_extraction_arguments():
+    config = {"subject": "s", "project_root": "/p", "classes_dir": "c", "extracted_output_path": "o", "app_packages": ["a", "b"], "classpath_entries": ["x.jar"], "exclude_packages": ["a.t"]}
+    assert S.extraction_arguments(config, "s") == ["--subject", "s", "--classes-dir", "/p/c", "--classpath", "/p/x.jar", "--app-packages", "a,b", "--exclude-packages", "a.t", "--out-dir", "o"]
+    for bad in ({"subject": "t"}, {"app_packages": []}, {"classes_dir": " "}, {"classpath_entries": "x.jar"}):
+        with pytest.raises(V.ValidationError):
+            S.extraction_arguments(config | bad, "s")
+
+
+def test_label_vector_of_another_length(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "class_id string")
+    with pytest.raises(Exception, match="one label for each class"):
+        M.cluster_by_class(nodes, spark.createDataFrame([("[0]",)], "label_vector string")).collect()
