@@ -4,10 +4,10 @@ Words are runs of letters and digits, A-Z lowered. A first pass counts the bench
 the executors. A benchmark n-gram is rare when its words, taken as independent at those counts, would make it fewer than RARE times a million
 positions; copies of an item of more than 12 words can't make its seeds common that way.
 A second pass looks up the corpus' n-grams among the items'; seeds on about the same diagonal of a document and an item give one passage.
-Passages with a rare seed, or with SHARE of the item's seeds and WHOLE of them at least, are aligned with their item in the same task
+Passages with a rare seed, with SHARE of the item's seeds and WHOLE of them at least, or with all its different seeds, are aligned with their item in the same task
 (match 2, mismatch -1, gap -1), so edited and paraphrased copies score too; other passages are never written.
 A document and item are reported when the best alignment has SHARE of the item's full score, and at least MIN_SCORE or, for shorter items,
-that full score; or when it has RUN, whatever the item's length. Items of fewer than WHOLE seeds whose copies make a large share of all words aren't found.
+that full score; or when it has RUN, whatever the item's length. So exact copies of an item are found however common its words are.
 
 The benchmark goes to the tasks in blocks of at most BLOCK_WORDS words, as counted here, and items (or one item), two corpus passes a block.
 Null or empty texts have no words. Items with fewer than n words match nothing. Null doc_id or item_id: a match is
@@ -66,6 +66,8 @@ class Index:
         self.grams, self.begin = np.unique(code[order], return_index=True)
         self.count = np.diff(np.concatenate((self.begin, [len(order)])))
         self.item, self.place = item[order], place[order]
+        kinds = np.unique(np.stack((self.item, np.repeat(np.arange(len(self.grams)), self.count))), axis=1)
+        self.kinds = np.bincount(kinds[0].astype(np.int64), minlength=len(items))
 
     def codes(self, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-gram code at each position, and where all its words are known and of one text."""
@@ -165,7 +167,7 @@ def _found(shared, rare_shared, share: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, rare = shared.value, rare_shared.value
         length = np.array([len(w) for w in index.items])
-        needed = np.maximum(WHOLE, share * np.maximum(0, length - GRAM + 1))
+        needed = np.minimum(index.kinds, np.maximum(WHOLE, share * np.maximum(0, length - GRAM + 1)))
         held, size = {}, 0
         for whole in batches:
             for batch in slices(whole, "text"):
