@@ -89,6 +89,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import simhash_components
+
+    return simhash_components(spark, _documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT row_id, doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS line,
@@ -106,7 +112,7 @@ FROM marked GROUP BY row_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op7_prefix_free_repeats, op8_personal_data, op9_quality_classifier, op10_line_dedup, op11_importance_resampling)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op7_prefix_free_repeats, op8_personal_data, op9_quality_classifier, op10_line_dedup, op11_importance_resampling, op12_simhash_anchors)}
 
 
 def oracle_sql() -> dict[str, str]:
