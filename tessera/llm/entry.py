@@ -95,6 +95,12 @@ def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark, _documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.collocations import collocations
+
+    return collocations(spark, _documents(spark, sf_dir))
+
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT row_id, doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS line,
@@ -112,10 +118,11 @@ FROM marked GROUP BY row_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op7_prefix_free_repeats, op8_personal_data, op9_quality_classifier, op10_line_dedup, op11_importance_resampling, op12_simhash_anchors)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_source_mixing, op3_trie_token_counts, op4_benchmark_decontamination, op5_risk_controlled_rules, op6_sstable_token_ids, op7_prefix_free_repeats, op8_personal_data, op9_quality_classifier, op10_line_dedup, op11_importance_resampling, op12_simhash_anchors, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.llm.collocations import ORACLE as op13
     from tessera.llm.quality_rules import ORACLE
 
-    return {"op5_risk_controlled_rules": ORACLE, "op10_line_dedup": OP10_SQL}
+    return {"op5_risk_controlled_rules": ORACLE, "op10_line_dedup": OP10_SQL, "op13_phrase_collocations": op13}
