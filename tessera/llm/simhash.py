@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.kernels import mix, ragged, slices
-from tessera.llm.shared import CONTRACT, Scratch, components, pack_edges, smallest_labels
+from tessera.llm.shared import Scratch, components, pack_edges, smallest_labels
 
 WORDS, BITS, SEED = 3, 3, 42
 #: Fingerprints that a task gathers before it writes them to the anchors' buckets.
 GATHER = 1 << 16
 #: Fingerprints at an anchor up to which they are compared in their bucket's task; beyond, in blocks.
 AT_ONCE, BLOCK = 1 << 15, 1 << 14
-#: Pairs compared by one array step.
-PAIRS = 1 << 21
+#: Pairs compared by one array step, and links that a task holds before it contracts them.
+PAIRS, HELD = 1 << 19, 1 << 18
 
 HALF = 31
 #: Position j of a half counts as j + 1: the xor of the positions of a word's bits is 0 for code words, else the bit to its home anchor.
@@ -152,22 +152,20 @@ class Links:
     """Gathers links and gives them out as packed stars."""
 
     def __init__(self):
-        self.held, self.size = [], 0
+        self.held, self.size, self.full = [], 0, False
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         if len(x):
             self.held.append((x.view(np.int64), y.view(np.int64)))
             self.size += len(x)
-            if self.size >= CONTRACT:
+            if self.size >= HELD:
                 self.held = [self._stars()]
                 self.size = len(self.held[0][0])
-                if 2 * self.size >= CONTRACT:  # a forest that doesn't shrink is given out
-                    self.full = True
-
-    full = False
+                self.full = 2 * self.size >= HELD  # a forest that doesn't shrink is given out
 
     def _stars(self) -> tuple[np.ndarray, np.ndarray]:
-        return smallest_labels(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+        node, low = smallest_labels(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+        return node[node != low], low[node != low]
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.held:

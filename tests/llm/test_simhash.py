@@ -90,14 +90,15 @@ def clusters():
     return out
 
 
-@pytest.mark.parametrize(("at_once", "block", "pairs", "gather"), [(1 << 15, 1 << 14, 1 << 21, 1 << 16), (20, 7, 50, 30), (400, 100, 1000, 100)])
-def test_linked_fingerprints(spark, monkeypatch, at_once, block, pairs, gather):
+@pytest.mark.parametrize(("at_once", "block", "pairs", "gather", "held"), [(1 << 15, 1 << 14, 1 << 19, 1 << 16, 1 << 18), (20, 7, 50, 30, 10), (400, 100, 1000, 100, 50)])
+def test_linked_fingerprints(spark, monkeypatch, at_once, block, pairs, gather, held):
     from tessera.llm.shared import Scratch
 
     monkeypatch.setattr(simhash, "AT_ONCE", at_once)
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "PAIRS", pairs)
     monkeypatch.setattr(simhash, "GATHER", gather)
+    monkeypatch.setattr(simhash, "HELD", held)
     prints = sorted(set(clusters()))
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
