@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import PAIR, canonical_pairs, ends, labelled
+from tessera.operators.ordinals import with_ordinal
 
 
 def safe_ratio(top: Column, bottom: Column, empty: Column | float = 0.0) -> Column:
@@ -167,13 +168,12 @@ def partition_hash(keys: DataFrame) -> DataFrame:
 def signature_names(labels: DataFrame) -> DataFrame:
     """Clusters named C1, C2, ... in order of their sorted members."""
     c = labels.groupBy("cluster_id").agg(F.array_sort(F.collect_list("class_id")).alias("members"))
-    # one row a cluster
-    return c.select("cluster_id", F.concat(F.lit("C"), F.row_number().over(Window.orderBy("members"))).alias("cluster_name"), F.size("members").alias("size"))
+    return with_ordinal(c, [F.col("members")], "number", 1).select("cluster_id", F.concat(F.lit("C"), "number").alias("cluster_name"), F.size("members").alias("size"))
 
 
 def cluster_segments(labels: DataFrame) -> DataFrame:
     c = labels.groupBy("cluster_id").agg(F.count("*").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("class_id")), "\n"), 256).alias("signature"))
-    return c.withColumn("segment", F.row_number().over(Window.orderBy(F.desc("size"), "signature")).cast("long"))
+    return with_ordinal(c, [F.desc("size"), F.col("signature")], "segment", 1)
 
 
 def split_oversized(labels: DataFrame, largest: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordinals import with_carry
+
 TOLERANCE = 1e-12
 BUDGETS = (0.0, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15)
 
@@ -139,13 +141,12 @@ def nearest_match(left: DataFrame, right: DataFrame, scope: str, value: str = "i
         near = b.withColumn("_c", F.explode(F.array(F.col("right_count") - 1, F.col("right_count"), F.col("right_count") + 1)))
         j = a.join(near, F.col("left_count") == F.col("_c"), "left").drop("_c")
     elif scope == "pooled":
-        # only the nearest distinct value on either side can win: both come from one sorted pass over the union
+        # only the nearest distinct value on either side can win: both are carried along the union, range by range
         one = b.withColumn("_k", F.row_number().over(Window.partitionBy("right_value").orderBy("right_key", "right_id"))).where("_k = 1").select(F.struct("right_value", "right_key", "right_id", "right_count").alias("r"), F.col("right_value").alias("v"))
         both = one.withColumn("l", F.lit(None).cast("struct<left_key:bigint,left_value:double,left_count:bigint>")).unionByName(
             a.select(F.lit(None).cast(one.schema["r"].dataType).alias("r"), F.col("left_value").alias("v"), F.struct(F.col("left_key").cast("long").alias("left_key"), "left_value", F.col("left_count").cast("long").alias("left_count")).alias("l"))
         )
-        up, down = Window.orderBy("v", F.col("r").isNull()), Window.orderBy(F.desc("v"), F.col("r").isNull())
-        seen = both.withColumns({"below": F.last("r", ignorenulls=True).over(up), "above": F.last("r", ignorenulls=True).over(down)}).where("l IS NOT NULL")
+        seen = with_carry(both, [F.col("v"), F.col("r").isNull()], "r", "below", "above").where("l IS NOT NULL")
         j = seen.select("l.*", F.explode(F.array("below", "above")).alias("r")).select("left_key", "left_value", "left_count", "r.*")
     else:
         raise ValueError(scope)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import community as Y
 from tessera.operators import fronts as P
 from tessera.operators import graph as G
 from tessera.operators import partition as M
@@ -933,7 +934,7 @@ def viz03_edge_widths(s, d):
 @query()
 def clu01_leiden(s, d):
     params = s.createDataFrame([(1.0, 42), (1.0, 1), (0.8, 42), (1.2, 42)], "resolution double, seed long")
-    return X.leiden_runs(A.nodes(s, d), raw(s, d), "raw_weight", params)
+    return Y.leiden_runs(A.nodes(s, d), raw(s, d), "raw_weight", params)
 
 
 @query()
@@ -947,12 +948,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from tessera.plans import catalog_more, catalog_steps, catalog_studies  # noqa: F401  register further queries
+    from tessera.plans import catalog_large, catalog_more, catalog_steps, catalog_studies  # noqa: F401  register further queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.plans import catalog_more, catalog_steps, catalog_studies  # noqa: F401
+    from tessera.plans import catalog_large, catalog_more, catalog_steps, catalog_studies  # noqa: F401
 
     return dict(_SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Intermediate tables as Parquet in the shared folder: the lineage ends there, and lost executors cost a read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, scratch_path(spark, name), 0
+
+    def cut(self, df: DataFrame, name: str = "part") -> DataFrame:
+        """Write df and read it back."""
+        self.count += 1
+        path = f"{self.root}/{self.count:04d}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._table_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for df in tables:
+            at = jvm.org.apache.hadoop.fs.Path(df._table_path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
