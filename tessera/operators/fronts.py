@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.partition import safe_ratio
+from tessera.operators.skyline import local_skyline, skyline  # noqa: F401
 
 TOLERANCE = 1e-12
 
@@ -104,45 +105,9 @@ def dominates(a: str, b: str, objectives: Sequence[str], tolerance: float = 0.0)
     return out & some
 
 
-def local_skyline(f: np.ndarray) -> np.ndarray:
-    """Nondominated rows of a matrix; equal rows all stay."""
-    u, back = np.unique(f, axis=0, return_inverse=True)  # in order of the first objective, so a dominator stands before
-    keep, front, n = np.zeros(len(u), bool), np.empty((64, f.shape[1])), 0
-    for i, x in enumerate(u):
-        if not ((front[:n] <= x).all(1) & (front[:n] < x).any(1)).any():
-            keep[i] = True
-            if n == len(front):
-                front = np.concatenate((front, np.empty_like(front)))
-            front[n] = x
-            n += 1
-    return keep[back.reshape(-1)]
-
-
 def nondominated(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
-    """Rows that no other row of the same run dominates; duplicates all stay.
-
-    Each task first drops what its own rows dominate, batch by batch, holding its local fronts only; so the join by run sees local fronts.
-    """
-    names, columns = list(objectives), rows.columns
-
-    def prune(batches):
-        held = None
-        for batch in batches:
-            t = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            mask = np.zeros(len(t), bool)
-            for _, i in t.groupby(list(keys), dropna=False, sort=False).indices.items():
-                mask[i] = local_skyline(t.iloc[i][names].to_numpy(float))
-            held = t[mask][columns]
-        if held is not None and len(held):
-            yield held
-
-    rows = rows.mapInPandas(prune, rows.schema)
-    a, b = rows.alias("b"), rows.select(*keys, *names).distinct().alias("a")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    on = dominates("a", "b", names)
-    for s in same:
-        on = s & on
-    return a.join(b, on, "left_anti")
+    """Rows that no other row of the same run dominates; duplicates all stay."""
+    return skyline(rows, objectives, keys)
 
 
 def feasible_front(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
