@@ -64,3 +64,30 @@ def with_carry(rows: DataFrame, order: Sequence[Column], value: str, below: str,
     side = rows.sparkSession.createDataFrame([(k, *v) for k, v in carried.items()], f"_range int, _below {kind}, _above {kind}").coalesce(1)
     joined = own.join(F.broadcast(side), "_range")
     return joined.withColumns({below: F.coalesce(below, "_below"), above: F.coalesce(above, "_above")}).drop("_range", "_at", "_below", "_above")
+
+
+def with_prefix_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of `value` over the rows of the same keys that stand before them in the order.
+
+    Sums add up within ranges; a range takes what the keys' rows in earlier ranges sum to, of which there is a row a key and range.
+    """
+    keys = list(keys)
+    tables = Tables(rows.sparkSession, "prefix")
+    placed = tables.cut(_ranged(rows, [*(F.col(k) for k in keys), *order]), "ranges")
+    within = Window.partitionBy("_range", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    own = placed.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    totals = tables.cut(placed.groupBy("_range", *keys).agg(F.sum(value).alias("_total")), "totals")
+    # a group's rows here are the ranges that it reaches into
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1) if keys else None
+    if keys:
+        before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
+        before = before.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_before")
+        on = F.col("_range") == F.col("_r")
+        for i, k in enumerate(keys):
+            on = on & own[k].eqNullSafe(F.col(f"_k{i}"))
+        joined = own.join(before, on).drop("_r", *(f"_k{i}" for i in range(len(keys))))
+    else:
+        sums = sorted((r["_range"], r["_total"]) for r in totals.collect())  # a row a range
+        before = rows.sparkSession.createDataFrame([(k, b) for (k, _), b in zip(sums, accumulate((t for _, t in sums), initial=0), strict=False)], "_range int, _before long").coalesce(1)
+        joined = own.join(F.broadcast(before), "_range")
+    return joined.withColumn(name, F.col("_within") + F.col("_before")).drop("_range", "_at", "_within", "_before")

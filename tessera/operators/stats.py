@@ -11,18 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessera.operators.order_stats import average_ranks, element_at, matched, quantiles, ranked_values
+
 
 def describe(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean, median, sample deviation and quartiles with linear interpolation."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), q(0.25).alias("q1"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr"), F.min(value).alias("min"), F.max(value).alias("max"))
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    places = quantiles(df, value, {"median": 0.5, "q1": 0.25, "q3": 0.75}, by)
+    return matched(sums, places, by, "left").select(*by, "n", "mean", "median", "std", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "min", "max")
 
 
 def quantile_higher(df: DataFrame, value: str, p: float, by: tuple[str, ...] = ()) -> DataFrame:
     """The element at ceil(p (n - 1)) in ascending order."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_i") == F.ceil(p * (F.col("_n") - 1))).select(*by, F.col(value).alias("quantile"))
+    return element_at(df, value, p, by)
 
 
 def average_rank(order: Column | str, by: tuple[str, ...] = ()) -> Column:
@@ -35,10 +36,11 @@ def average_rank(order: Column | str, by: tuple[str, ...] = ()) -> Column:
 def signed_ranks(pairs: DataFrame, by: tuple[str, ...], close: float = 0.0) -> DataFrame:
     """n, sums of positive and negative ranks of non-zero differences, tie term; close: differences up to it count as zero."""
     d = pairs.withColumn("_d", F.col("right") - F.col("left")).where(F.col("_d").isNotNull() & (F.abs("_d") > close)).withColumn("_a", F.abs("_d"))
-    r = d.withColumns({"_r": average_rank("_a", by), "_t": F.count("*").over(Window.partitionBy(*by, "_a"))})
-    found = r.groupBy(*by).agg(F.count("*").alias("nonzero"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("_t") * F.col("_t") - 1.0).alias("ties"))
+    r = average_ranks(ranked_values(d, "_a", by, F.count_if(F.col("_d") > 0).alias("_up")))
+    t = F.col("_n").cast("double")
+    found = r.groupBy(*by).agg(F.sum("_n").alias("nonzero"), F.sum(F.col("_up") * F.col("_rank")).alias("w_plus"), F.sum((F.col("_n") - F.col("_up")) * F.col("_rank")).alias("w_minus"), F.sum(t * (t * t - 1.0)).alias("ties"))
     every = pairs.groupBy(*by).agg(F.count_if(F.col("left").isNotNull() & F.col("right").isNotNull()).alias("pairs"))
-    keep = every.join(found, list(by), "left") if by else every.crossJoin(found)
+    keep = matched(every, found, by, "left")
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
     return keep.select(*by, "pairs", zero("nonzero", 0), zero("w_plus", 0.0), zero("w_minus", 0.0), zero("ties", 0.0))
 
@@ -110,8 +112,11 @@ def conditional_summary(df: DataFrame, value: str, condition: Column, by: tuple[
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...]) -> DataFrame:
     """rho with the reason where it is null."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = both.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
-    s = r.groupBy(*by).agg(F.count("*").alias("n"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("c"))
+    pairs = both.groupBy(*by, x, y).agg(F.count("*").alias("_m"))
+    places = lambda c, name: average_ranks(ranked_values(both, c, by)).select(*by, c, (F.col("_rank") - (F.col("_total") + 1) / 2.0).alias(name))  # noqa: E731  from the mean rank
+    r = matched(matched(pairs, places(x, "_x"), [*by, x]), places(y, "_y"), [*by, y])
+    mean = lambda e: F.sum(F.col("_m") * e) / F.sum("_m")
+    s = r.groupBy(*by).agg(F.sum("_m").alias("n"), mean(F.col("_x") * F.col("_x")).alias("vx"), mean(F.col("_y") * F.col("_y")).alias("vy"), mean(F.col("_x") * F.col("_y")).alias("c"))
     flat = (F.col("vx") == 0) | (F.col("vy") == 0)
     return s.select(*by, "n", F.when((F.col("n") >= 2) & ~flat, F.col("c") / F.sqrt(F.when(flat, 1.0).otherwise(F.col("vx") * F.col("vy")))).alias("rho"), F.when(F.col("n") < 2, "too_few").when(flat, "constant").alias("reason"))
 
