@@ -1,12 +1,12 @@
 """Phrase collocations: candidates by sketch upper bounds, exact counts by Aho-Corasick automata shard by shard.
 
-1. Texts are lower-cased, cut into pieces and words, and written as shards: a shard is some MB of one language, its pieces
+1. Texts are lower-cased, cut into pieces and words, and written as shards: a shard is a MB or so of one language, its pieces
    one a line with a blank around each word. Each shard sends the counts of its words, and for its pairs and triples of words the cells (bucket and
    40 bits of a 64-bit hash) with their counts. Cells are summed over all shards; as equal phrases share a cell, a
    cell's sum is an upper bound of the count of each of its phrases. Every shard gets back which of its own cells reach the minimum.
 2. A shard's candidates are the pairs and triples of such cells, and runs of 4 and 5 words all of whose triples are. They
    compile, with the blanks as delimiters around them, into automata of a bounded number of patterns. A scan of the shard counts all matches, overlapping ones
-   too. Counts are summed over all shards; phrases under the minimum go.
+   too. Counts are summed in the task, then over all shards; phrases under the minimum go.
 3. Parts of a candidate are at least as frequent as it is, so their counts are among those of step 2 or of the words. Each candidate is joined with the
    parts of its cuts; its lowest cut is its score. Candidates inside a longer one of the same count go. The first of each language
    are picked in two steps, so that no task holds a language.
@@ -18,11 +18,13 @@ phrase in byte order; ties of cuts go to the first. A very long text makes a sha
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ from tessera.llm.shared import Scratch
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: A longer candidate with this percentage of a candidate's count takes its place.
 INSIDE = 100
-#: Bytes of a shard, and patterns of an automaton.
-SHARD, PATTERNS = 1 << 22, 1 << 17
+#: Bytes of a shard, patterns of an automaton, and phrases that a task sums before it sends them.
+SHARD, PATTERNS, HELD = 1 << 20, 1 << 15, 1 << 17
 
 #: Pieces end at `[.,;:!?\x0A-\x0D]`, words at `[\x20\x09]`.
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + bytes(range(65, 91)), b"\n" * 9 + b" " + bytes(range(97, 123)))
@@ -50,14 +52,14 @@ def normal(text: bytes) -> bytes:
 
 
 def _normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (shard, lang, body): the texts of a language in a task, some MB at a time."""
+    """(lang, text) -> (shard, lang, body): the texts of a language in a task, SHARD bytes at a time, compressed."""
     from uuid import uuid4
 
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
 
     def out(lang: str) -> pa.RecordBatch:
-        body = b"".join(held.pop(lang))
+        body = zstandard.ZstdCompressor(3).compress(b"".join(held.pop(lang)))  # a row well under half a megabyte
         size.pop(lang)
         return pa.RecordBatch.from_arrays([pa.array([uuid4().hex]), pa.array([lang]), pa.array([body], pa.binary())], ["shard", "lang", "body"])
 
@@ -72,7 +74,7 @@ def _normalized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size[lang] >= SHARD:
                     yield out(lang)
             # many languages in one task: the largest go first
-            while sum(size.values()) >= 4 * SHARD:
+            while sum(size.values()) >= 8 * SHARD:
                 yield out(max(size, key=size.get))
     for lang in list(held):
         yield out(lang)
@@ -126,31 +128,49 @@ def unpack_cells(blob: bytes, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     return cell.view(np.uint64).reshape(-1) | np.uint64(bucket), (count.view(np.int64) if wide else count).astype(np.int64)
 
 
-_SENT = "bucket int, shard string, blob binary, lang string, word string, n long"
+def each_shard(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows one at a time, as their values are large, with the body as it was."""
+    at = batch.schema.get_field_index("body")
+    for i in range(batch.num_rows):
+        yield tuple(zstandard.ZstdDecompressor().decompress(c[i].as_py()) if k == at else c[i].as_py() for k, c in enumerate(batch.columns))
+
+
+_COUNTS = "bucket int, lang string, phrases array<string>, counts array<long>"
+_SENT = "bucket int, shard string, blob binary, lang string, phrases array<string>, counts array<long>, total long"
+_SENT_TYPES = [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
+
+
+def _sent(size: int, **columns) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _SENT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, _SENT_TYPES, strict=True)], names)
+
+
+def by_bucket(b: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and where each bucket starts in it (one more at the end)."""
+    order = np.argsort(b, kind="stable")
+    return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
 def _sketch(buckets: int):
-    """Shards -> cells of pairs and triples by bucket, and counts of words."""
+    """Shards -> cells of pairs and triples by bucket, counts of words by bucket, and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, lang, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for shard, lang, body in each_shard(batch):
                 g = Grams(body, lang)
-                _, first, n = np.unique(g.words, return_index=True, return_counts=True)
-                words = [w[1:-1] for w in g.spell(first, 1)]
-                size = len(words)
-                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int32()), pa.nulls(size, pa.string()), pa.nulls(size, pa.binary()), pa.array([lang] * size), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["bucket", "shard", "blob", "lang", "word", "n"])
-                h = cells(np.concatenate([g.hashes(g.valid(k), k) for k in (2, 3)]), buckets)
-                cell, n = np.unique(h, return_counts=True)
-                b = (cell & np.uint64(0xFFFFFF)).astype(np.int32)
-                order = np.argsort(b, kind="stable")
-                cell, n, b = cell[order], n[order], b[order]
-                if not len(b):
-                    continue
-                edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                blobs = [pack_cells(cell[x:y], n[x:y]) for x, y in zip(edge, np.append(edge[1:], len(b)), strict=True)]
-                size = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(b[edge]), pa.array([shard] * size), pa.array(blobs, pa.binary()), pa.nulls(size, pa.string()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())], ["bucket", "shard", "blob", "lang", "word", "n"])
+                yield _sent(1, lang=[lang], total=[len(g.words)])
+                word, first, n = np.unique(g.words, return_index=True, return_counts=True)
+                order, at = by_bucket(word % np.uint64(buckets), buckets)
+                words, counts = [w[1:-1] for w in g.spell(first[order], 1)], n[order].tolist()
+                cell, n = np.unique(cells(np.concatenate([g.hashes(g.valid(k), k) for k in (2, 3)]), buckets), return_counts=True)
+                order, of = by_bucket(cell & np.uint64(0xFFFFFF), buckets)
+                cell, n = cell[order], n[order]
+                some = np.flatnonzero((np.diff(at) > 0) | (np.diff(of) > 0)).tolist()  # a row a bucket, with its words and its cells
+                yield _sent(
+                    len(some), bucket=some, shard=[shard] * len(some), lang=[lang] * len(some),
+                    blob=[pack_cells(cell[of[i] : of[i + 1]], n[of[i] : of[i + 1]]) if of[i] < of[i + 1] else None for i in some],
+                    phrases=[words[at[i] : at[i + 1]] for i in some], counts=[counts[at[i] : at[i + 1]] for i in some],
+                )
 
     return run
 
@@ -227,19 +247,61 @@ def matches(body: str, patterns: list[str], most: int) -> Iterator[tuple[list[st
         yield part, np.bincount(found, minlength=len(part))
 
 
+def _counts(bucket: list, lang: list, phrases: list, counts: list) -> pa.RecordBatch:
+    cols = [pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(phrases, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "lang", "phrases", "counts"])
+
+
 def _scan(buckets: int, longest: int):
-    """(lang, body, blobs of cells) -> (lang, phrase, words, n): exact counts of the shard's candidates."""
+    """(lang, body, blobs of cells) -> exact counts of the shards' candidates, summed in the task, a row a language and bucket."""
+
+    def flush(sums: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+        for lang, found in sums.items():
+            by: dict[int, tuple[list, list]] = {}
+            for phrase, n in found.items():
+                phrases, counts = by.setdefault(zlib.crc32(phrase.encode()) % buckets, ([], []))
+                phrases.append(phrase)
+                counts.append(n)
+            yield _counts(list(by), [lang] * len(by), [p for p, _ in by.values()], [n for _, n in by.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, dict[str, int]] = {}
         for batch in batches:
-            for lang, body, blobs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for lang, body, blobs in each_shard(batch):
                 passed = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]))
-                found = candidates(Grams(body, lang), passed, buckets, longest)
-                for part, n in matches(body.decode(), found, PATTERNS):
-                    some = np.flatnonzero(n).tolist()
-                    phrases = [part[j][1:-1] for j in some]
-                    cols = [pa.array([lang] * len(some)), pa.array(phrases, pa.string()), pa.array([p.count(" ") + 1 for p in phrases], pa.int32()), pa.array(n[some], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "words", "n"])
+                mine = sums.setdefault(lang, {})
+                for part, n in matches(body.decode(), candidates(Grams(body, lang), passed, buckets, longest), PATTERNS):
+                    for p, k in zip(part, n.tolist(), strict=True):
+                        p = p[1:-1]
+                        mine[p] = mine.get(p, 0) + k
+                if sum(map(len, sums.values())) >= HELD:
+                    yield from flush(sums)
+                    sums = {}
+        yield from flush(sums)
+
+    return run
+
+
+def _sum(least: int):
+    """Counts, sorted by bucket and language -> (lang, phrase, words, n) of at least so many."""
+
+    def out(lang: str, sums: dict[str, int]) -> pa.RecordBatch:
+        found = [(p, n) for p, n in sums.items() if n >= least]
+        cols = [pa.array([lang] * len(found), pa.string()), pa.array([p for p, _ in found], pa.string()), pa.array([p.count(" ") + 1 for p, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "words", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+        for batch in batches:
+            for bucket, lang, phrases, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if now != (bucket, lang):
+                    if sums:
+                        yield out(now[1], sums)
+                    now, sums = (bucket, lang), {}
+                for p, n in zip(phrases, counts, strict=True):
+                    sums[p] = sums.get(p, 0) + n
+        if sums:
+            yield out(now[1], sums)
 
     return run
 
@@ -247,17 +309,20 @@ def _scan(buckets: int, longest: int):
 def phrase_counts(spark: SparkSession, scratch: Scratch, docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases of 2 words and more with at least so many occurrences (lang, phrase, words, n); words with as many (lang, word, n); words of each language (lang, n)."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts  # a bucket at a time is in a task's memory
     shards = scratch.cut(docs.select("lang", "text").mapInArrow(_normalized, "shard string, lang string, body binary"), "shards")
-    sent = scratch.cut(shards.mapInArrow(_sketch(parts), _SENT), "cells")
-    words = scratch.cut(sent.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    sent = scratch.cut(shards.mapInArrow(_sketch(buckets), _SENT), "cells")
+    summed = lambda counts: counts.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_sum(least), "lang string, phrase string, words int, n long")
+    words = scratch.cut(summed(sent.where("phrases IS NOT NULL").select("bucket", "lang", "phrases", "counts")).select("lang", F.col("phrase").alias("word"), "n"), "words")
+    totals = scratch.cut(sent.where("total IS NOT NULL").groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     passed = scratch.cut(sent.where("blob IS NOT NULL").select("bucket", "shard", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_passed(least), "shard string, blob binary"), "passed")
     scratch.drop(sent)
     # what a shard gets back are cells of its own text, so a row's list is no longer than that
     back = passed.groupBy("shard").agg(F.collect_list("blob").alias("blobs"))
-    counted = shards.join(back.hint("merge"), "shard").select("lang", "body", "blobs").mapInArrow(_scan(parts, longest), "lang string, phrase string, words int, n long")
-    phrases = scratch.cut(counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+    counted = shards.join(back.hint("merge"), "shard").select("lang", "body", "blobs").mapInArrow(_scan(buckets, longest), _COUNTS)
+    phrases = scratch.cut(summed(counted), "phrases")
     scratch.drop(shards, passed)
-    return phrases, words.where(F.col("n") >= least), scratch.cut(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    return phrases, words, totals
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS, top: int = TOP, inside: int = INSIDE) -> DataFrame:

@@ -60,10 +60,11 @@ def got(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize(("shard", "patterns", "least", "top"), [(1 << 22, 1 << 17, 5, 2000), (300, 7, 4, 30), (1, 1 << 17, 12, 3)])
+@pytest.mark.parametrize(("shard", "patterns", "least", "top"), [(1 << 20, 1 << 15, 5, 2000), (300, 7, 4, 30), (1, 1 << 15, 12, 3)])
 def test_collocations(spark, monkeypatch, shard, patterns, least, top):
     monkeypatch.setattr(collocations, "SHARD", shard)
     monkeypatch.setattr(collocations, "PATTERNS", patterns)
+    monkeypatch.setattr(collocations, "HELD", 1 << 18 if patterns > 10 else 20)
     rows = prose()
     want = sorted(brute(rows, least, top))
     assert len(want) > 10
