@@ -5,13 +5,13 @@ as Parquet and read again. All but the last return the columns of documents, and
 
 Null or empty texts fail the quality rules, and so do rows without a doc_id go. Rows that repeat a doc_id go or stay together: where one of them
 passes the quality rules, the others pass as well; the near-copy stage looks at the smallest set of them, the decontamination at all of them,
-and the mix takes each as often as the most taken. Ties among near copies: the smallest doc_id stays. Very long texts count as a whole in every stage.
+and the mix deals what it takes over them. Ties among near copies: the smallest doc_id stays. Very long texts count as a whole in every stage.
 An empty table passes all stages and gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.decontamination import contaminated
@@ -44,10 +44,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: a document as often as the mix takes it (0 to 3 times)."""
-    copies = mix_sources(spark, docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies.hint("merge"), "doc_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    """The mixed corpus: a document as often as the mix takes it (0 to 3 times).
+
+    Rows of one doc_id, source and size share what the mix takes of them: each as often, and one time more for the first in order of their texts.
+    """
+    names = docs.columns
+    units = mix_sources(spark, docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).where("_all > 0")
+    units = Scratch(spark, "mixed").cut(units, "units")
+    sized = docs.withColumn("_words", F.expr(r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)").cast("long"))
+
+    def taken(which: str) -> DataFrame:
+        side = units.where(which).hint("merge")
+        return sized.join(side, (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+
+    place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
+    alone = taken("_rows = 1").withColumn("_times", F.col("_all"))
+    several = taken("_rows > 1").withColumn("_place", place).withColumn("_times", F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_place") <= F.col("_all") % F.col("_rows"), 1).otherwise(0))
+    both = alone.select(*names, "_times").union(several.select(*names, "_times")).where("_times > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(names)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
