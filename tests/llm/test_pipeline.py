@@ -78,3 +78,28 @@ def test_stages_on_odd_rows(spark, tmp_path, rows, clashing, empty):
             assert k == 4 or made.columns == start.columns
             now = made
         assert (now.count() > 0) == (name == "odd")
+
+
+def test_mix_of_repeated_rows(spark, docs):
+    """Rows that repeat a doc_id, with equal or other texts, are taken as often as the mix says, and no source lies above what it takes."""
+    import re
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tessera.llm.mixing import mix_sources
+
+    more = spark.createDataFrame([(900, " ".join(["x"] * 40), "en", "a", 1)] * 7 + [(901, f"y{i} " * 25, "en", None, 1) for i in range(5)], docs.schema)
+    every = docs.union(more)
+    got = corpus_pipeline.mix(spark, every, "").collect()
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    want = {(r.doc_id, r.source, r["size"]): r.copies for r in mix_sources(spark, every).where("doc_id IS NOT NULL").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies")).where("copies > 0").collect()}
+    found = {}
+    for r in got:
+        key = (r.doc_id, r.source, size(r.text))
+        found[key] = found.get(key, 0) + 1
+    assert found == want
+    each = {}
+    for r in got:
+        if r.doc_id == 901:
+            each[r.text] = each.get(r.text, 0) + 1
+    assert not each or max(each.values()) - min([each.get(f"y{i} " * 25, 0) for i in range(5)]) <= 1
