@@ -5,6 +5,8 @@ Two NMIs exist on purpose: nmi_geometric divides by the geometric mean of the en
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,12 +47,66 @@ def similarity(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ()) ->
     return out.select(*keys, F.col("total").alias("n"), "ari", nmi(F.sqrt(F.col("hl") * F.col("hr"))).alias("nmi_geometric"), nmi((F.col("hl") + F.col("hr")) / 2).alias("nmi_arithmetic"))
 
 
+#: Rows (a class of a partition) of a block of classes.
+BLOCK_ROWS = 1 << 18
+
+
+def _cross_counts(schema_of: tuple[str, ...]):
+    """Rows (block, key, class_id, cluster_id), sorted by block -> (i, j, l, r, n): shared classes of cluster pairs of partitions i < j within the block."""
+
+    def block(t: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        place, classes = pd.factorize(t["class_id"])
+        runs = sorted(t["key"].unique())
+        label, names = np.full((len(runs), len(classes)), -1, np.int64), []
+        for row, run in zip(label, runs, strict=True):
+            mine = np.flatnonzero((t["key"] == run).to_numpy())
+            if len(np.unique(place[mine])) < len(mine):
+                raise ValueError(f"a class stands twice in partition {run}")
+            code, found = pd.factorize(t["cluster_id"].iloc[mine], use_na_sentinel=False)
+            row[place[mine]] = code
+            names.append(np.asarray(found, object))
+        for i in range(len(runs) - 1):
+            out = []
+            for j in range(i + 1, len(runs)):
+                both = (label[i] >= 0) & (label[j] >= 0)
+                cell, n = np.unique(label[i][both] * len(names[j]) + label[j][both], return_counts=True)
+                out.append(pd.DataFrame({"i": runs[i], "j": runs[j], "l": names[i][cell // len(names[j])], "r": names[j][cell % len(names[j])], "n": n}))
+            yield pd.concat(out, ignore_index=True)[list(schema_of)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            t = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(t):
+                continue
+            last = t["block"].iloc[-1]
+            whole, held = t[t["block"] != last], t[t["block"] == last]
+            for _, part in whole.groupby("block", sort=False):
+                yield from block(part)
+        if held is not None and len(held):
+            yield from block(held)
+
+    return run
+
+
+def cross_counts(labels: DataFrame, by: str) -> DataFrame:
+    """(i, j, l, r, n) of every pair of partitions i < j of the key column.
+
+    The labels are dealt once into blocks of classes, with all partitions of a class in one; a block counts the cells of every pair, and the blocks'
+    cells are added up. So the labels cross a shuffle once, however many pairs there are. A class counts once in a partition; twice is an error.
+    """
+    kind = dict(labels.dtypes)
+    rows = labels.where(F.col("class_id").isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("key"), "class_id", "cluster_id")
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int")).repartition("block").sortWithinPartitions("block")
+    out = ("i", "j", "l", "r", "n")
+    schema = f"i {kind[by]}, j {kind[by]}, l {kind['cluster_id']}, r {kind['cluster_id']}, n long"
+    return dealt.mapInPandas(_cross_counts(out), schema).groupBy("i", "j", "l", "r").agg(F.sum("n").alias("n"))
+
+
 def all_pairs(labels: DataFrame, by: str) -> DataFrame:
-    """Similarity of every pair of partitions i < j of one key column; one join on class_id."""
-    a = labels.select("class_id", F.col(by).alias("i"), F.col("cluster_id").alias("l"))
-    b = labels.select("class_id", F.col(by).alias("j"), F.col("cluster_id").alias("r"))
-    both = a.join(b, "class_id").where("i < j")
-    n = both.groupBy("i", "j", "l", "r").agg(F.count("*").alias("n"))
+    """Similarity of every pair of partitions i < j of one key column."""
+    n = cross_counts(labels, by)
     w = lambda c: Window.partitionBy("i", "j", c)
     return _from_counts(n.withColumns({"a": F.sum("n").over(w("l")), "b": F.sum("n").over(w("r"))}), ("i", "j"))
 
