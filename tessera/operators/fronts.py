@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.order_stats import matched
 from tessera.operators.partition import safe_ratio
 from tessera.operators.skyline import local_skyline, skyline  # noqa: F401
+from tessera.sources.shared import Tables
 
 TOLERANCE = 1e-12
 
@@ -130,8 +133,45 @@ def projected(rows: DataFrame, objectives: Sequence[str], keys: tuple[str, ...])
     return front.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+class Staircase:
+    """Nondominated (x, y) in order of x, and the area that they dominate up to the reference."""
+
+    def __init__(self, x: float, y: float):
+        self.x, self.y, self.xs, self.ys, self.area = x, y, [], [], 0.0
+
+    def add(self, x: float, y: float) -> None:
+        i = bisect_left(self.xs, x)
+        if i and self.ys[i - 1] <= y:
+            return
+        if i < len(self.xs) and self.xs[i] == x and self.ys[i] <= y:
+            return
+        j = i
+        while j < len(self.xs) and self.ys[j] >= y:
+            j += 1
+        # strips from x to the first step that stays, over the heights that they had
+        left, top = x, self.ys[i - 1] if i else self.y
+        for k in range(i, j):
+            self.area += (self.xs[k] - left) * (top - y)
+            left, top = self.xs[k], self.ys[k]
+        self.area += ((self.xs[j] if j < len(self.xs) else self.x) - left) * (top - y)
+        self.xs[i:j], self.ys[i:j] = [x], [y]
+
+
+def swept_volume(points: np.ndarray, reference: Sequence[float], below: np.ndarray | None = None, end: float | None = None) -> float:
+    """Volume between the smallest z of the points and `end` that they, and points (x, y) below, dominate: a sweep along z."""
+    stairs, volume = Staircase(*reference[:2]), 0.0
+    for x, y in below.tolist() if below is not None else ():
+        stairs.add(x, y)
+    p = points[np.argsort(points[:, 2], kind="stable")]
+    tops = np.append(p[1:, 2], reference[2] if end is None else end)
+    for (x, y, z), top in zip(p.tolist(), tops.tolist(), strict=True):
+        stairs.add(x, y)
+        volume += (top - z) * stairs.area
+    return volume
+
+
 def hypervolume(points: np.ndarray, reference: Sequence[float]) -> float:
-    """Dominated volume to the reference point, by slicing the last objective."""
+    """Dominated volume to the reference point: closed up to two objectives, a sweep for three, slices of the last one beyond."""
     p = np.asarray(points, float).reshape(-1, len(reference))
     ref = np.asarray(reference, float)
     p = p[(p < ref).all(1)]
@@ -144,14 +184,22 @@ def hypervolume(points: np.ndarray, reference: Sequence[float]) -> float:
         low = np.minimum.accumulate(p[:, 1])
         right = np.append(p[1:, 0], ref[0])
         return float(((right - p[:, 0]) * (ref[1] - low)).sum())
+    if len(ref) == 3:
+        return swept_volume(p, ref.tolist())
     p = p[np.argsort(p[:, -1], kind="stable")]
     tops = np.append(p[1:, -1], ref[-1])
     return float(sum((t - p[i, -1]) * hypervolume(p[: i + 1, :-1], ref[:-1]) for i, t in enumerate(tops) if t > p[i, -1]))
 
 
+#: Points of a slice, and slices of a run at most.
+SLICE_POINTS, SLICES = 1 << 12, 64
+
+
 def hypervolumes(front: DataFrame, objectives: Sequence[str], reference: Sequence[float], key: str) -> DataFrame:
-    """One value a run: fronts are bounded by the population, so a run is one task."""
+    """One value a run. With three objectives a run is dealt to tasks by slices of the third; else a run, whose front is as large as a population, is one task."""
     names = list(objectives)
+    if len(names) == 3:
+        return sliced_volumes(front, names, reference, key)
 
     def run(k, t: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({key: [k[0]], "hypervolume": [hypervolume(t[names].to_numpy(float), reference)]})
@@ -160,6 +208,45 @@ def hypervolumes(front: DataFrame, objectives: Sequence[str], reference: Sequenc
     return front.groupBy(key).applyInPandas(run, f"{key} {kind}, hypervolume double")
 
 
+def sliced_volumes(front: DataFrame, names: Sequence[str], reference: Sequence[float], key: str) -> DataFrame:
+    """Volumes of three objectives: each slice of z sweeps its own points over the staircases of the slices before.
+
+    A slice ends where the next one begins, so the slices' volumes add up. A slice sends the staircase of its points, not the points. A run
+    without points inside the reference has volume 0.
+    """
+    tables, ref = Tables(front.sparkSession, "volumes"), [float(r) for r in reference]
+    x, y, z = (F.col(c).cast("double") for c in names)
+    inside = (x < ref[0]) & (y < ref[1]) & (z < ref[2])
+    points = tables.cut(front.where(inside).select(F.col(key).alias("key"), x.alias("x"), y.alias("y"), z.alias("z")).distinct(), "points")
+    cuts = points.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("z", [k / SLICES for k in range(1, SLICES)], 10_000).alias("at"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(SLICES) / F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / SLICE_POINTS)))))).cast("int")
+    cuts = cuts.select("key", F.filter("at", lambda _, i: (i + 1) % step == 0).alias("at"))
+    placed = tables.cut(matched(points, cuts, ["key"]).select("key", "x", "y", "z", F.expr("size(filter(at, c -> c <= z))").alias("slice")), "slices")
+    starts = placed.groupBy("key", "slice").agg(F.min("z").alias("z"))
+    ends = tables.cut(starts.withColumn("end", F.coalesce(F.lead("z").over(Window.partitionBy("key").orderBy("slice")), F.lit(ref[2]))).drop("z"), "ends")  # a row a slice
+
+    def stairs(k, t: pd.DataFrame) -> pd.DataFrame:
+        s = Staircase(*ref[:2])
+        for a, b in t[["x", "y"]].sort_values(["x", "y"]).to_numpy(float).tolist():
+            s.add(a, b)
+        return pd.DataFrame({"key": [k[0]] * len(s.xs), "slice": k[1], "x": s.xs, "y": s.ys})
+
+    kind = points.schema["key"].dataType.simpleString()
+    below = placed.groupBy("key", "slice").applyInPandas(stairs, f"key {kind}, slice int, x double, y double")
+    later = ends.select(F.col("key").alias("_key"), F.col("slice").alias("later"))
+    sent = below.join(later, F.col("key").eqNullSafe(F.col("_key")) & (F.col("later") > F.col("slice"))).select("key", F.col("later").alias("slice"), "x", "y", F.lit(None).cast("double").alias("z"))
+    every = matched(placed.select("key", "slice", "x", "y", "z").union(sent), ends, ["key", "slice"])
+
+    def sweep(k, t: pd.DataFrame) -> pd.DataFrame:
+        own = t["z"].notna().to_numpy()
+        p = t[["x", "y", "z"]].to_numpy(float)
+        return pd.DataFrame({"key": [k[0]], "part": [swept_volume(p[own], ref, p[~own][:, :2], float(t["end"].iloc[0]))]})
+
+    parts = every.groupBy("key", "slice").applyInPandas(sweep, f"key {kind}, part double").groupBy("key").agg(F.sum("part").alias("volume"))
+    runs = front.select(F.col(key).alias("key")).distinct()
+    return matched(runs, parts, ["key"], "left").select(F.col("key").alias(key), F.coalesce("volume", F.lit(0.0)).alias("hypervolume"))
+
+
 def hypervolume_2d(front: DataFrame, x: str, y: str, reference: tuple[float, float], keys: tuple[str, ...]) -> DataFrame:
     """Two objectives in window functions."""
     inside = front.where((F.col(x) < reference[0]) & (F.col(y) < reference[1])).select(*keys, x, y).distinct()

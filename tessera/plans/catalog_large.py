@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import community as Y
+from tessera.operators import fronts as P
 from tessera.plans import adapters as A
-from tessera.plans.catalog import query
+from tessera.plans.catalog import query, rounded
 
 
 def brand_stars(s, d):
@@ -24,3 +25,24 @@ def clu01_planted(s, d):
     nodes, edges = brand_stars(s, d)
     params = s.createDataFrame([(1.0, 42)], "resolution double, seed long")
     return Y.leiden_runs(nodes, edges, "weight", params).select("class_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+WHOLE, CORNER = ("coupling", "cohesion", "f_semantic"), (60, 110, 80)
+#: Volume of whole-number objectives: for each unit square of the first two, the height above the lowest third one that reaches it.
+_CELLS = f"""
+SELECT run, sum(height)::DOUBLE AS hypervolume FROM (
+  SELECT f.run, i, j, {CORNER[2]} - min(f_semantic) AS height FROM front f, range(0, {CORNER[0]}) a(i), range(0, {CORNER[1]}) b(j)
+  WHERE coupling <= i AND cohesion <= j AND f_semantic < {CORNER[2]} GROUP BY ALL
+) GROUP BY 1
+"""
+
+
+@query(A.sql(_CELLS, "front"))
+def hv01_whole_numbers(s, d):
+    return rounded(P.hypervolumes(A.front(s, d), WHOLE, CORNER, "run"))
+
+
+@query(A.sql(_CELLS, "front"))
+def hv01_front_only(s, d):
+    """The volume of a run's front is that of all its rows."""
+    return rounded(P.hypervolumes(P.nondominated(A.front(s, d).select("run", *WHOLE), WHOLE, ("run",)), WHOLE, CORNER, "run"))
