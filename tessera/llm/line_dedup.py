@@ -3,9 +3,9 @@
 Lines are keyed by the line stripped of `[\\x20\\x09-\\x0D]` and with A-Z lowered. The 128-bit hash
 of a key with its document and position is range-partitioned on all three and sorted, so
 even one very common line spreads over many tasks. Each task streams its sorted rows once: runs that
-end inside the task are decided there; the first and the last run of a task go to
-a boundary table of at most two rows a task, which settles runs that cross tasks.
-What comes back is a zlib bitmap a document (bit = 1: keep), never text.
+end inside an Arrow batch are decided there; the first and the last run of a batch go to
+a boundary table of at most two rows a batch, which settles runs that cross batches and tasks.
+What comes back is a zlib bitmap a document (bit = 1: the line goes), never text.
 
 Null or empty text is one empty line. Null doc_id: its lines neither count nor go.
 Rows that repeat a doc_id count as one document for the threshold. A row is known by its doc_id and the hash of its text,
