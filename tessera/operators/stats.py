@@ -189,18 +189,42 @@ def random_edges(classes: int, edges: int, repetition: int, base: int = 0) -> np
     return np.stack([a, b], 1)
 
 
+def hypergeometric_cdf(total: int, good: int, draws: int) -> tuple[int, np.ndarray]:
+    """(first k, P(X <= k) from there on) of the good ones among draws without replacement, for counts of any size.
+
+    Values further from the mode than 15 standard deviations and 100 are left out; they have less than 1e-40 of the mass, far below the step of a double near 1.
+    """
+    low, high = max(0, draws - (total - good)), min(draws, good)
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    p = good / total
+    reach = math.ceil(15 * math.sqrt(draws * p * (1 - p) * (total - draws) / max(1, total - 1))) + 100
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high).astype(float)
+    # log of P(k + 1) / P(k)
+    steps = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(float(total - good - draws) + k + 1)
+    at = np.concatenate(([0.0], np.cumsum(steps)))
+    mass = np.exp(at - at[mode - low])
+    return low, np.cumsum(mass) / mass.sum()
+
+
 def random_baseline(spark, labels: np.ndarray, edges: int, repetitions: int = 1000, base: int = 0) -> DataFrame:
-    """Share of edges within one label over random graphs: one row a repetition."""
-    shared = spark.sparkContext.broadcast(np.asarray(labels))  # the labels of one subject
+    """Share of edges within one label over random graphs: one row a repetition.
+
+    Of all pairs of classes, a uniform G(n, m) graph (`random_edges`) draws m without replacement, so its edges within a label are hypergeometric. A
+    repetition draws that number by its distribution function, and no edge: memory and time don't grow with the edges of all graphs.
+    """
+    n, sizes = len(labels), np.unique(np.asarray(labels), return_counts=True)[1]
+    total, good = n * (n - 1) // 2, int((sizes * (sizes - 1) // 2).sum())
+    if edges > total:
+        raise ValueError(f"{edges} edges of {total} pairs")
+    low, cdf = hypergeometric_cdf(total, good, edges) if edges else (0, np.ones(1))
+    shared = spark.sparkContext.broadcast(cdf)  # a number for each likely count: 30 standard deviations of it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = shared.value
         for t in batches:
-            share = []
-            for r in t["id"]:
-                e = random_edges(len(v), edges, int(r), base)
-                share.append(float((v[e[:, 0]] == v[e[:, 1]]).mean()) if len(e) else None)
-            yield pd.DataFrame({"repetition": t["id"], "mapped_ratio": share})
+            u = np.array([np.random.default_rng(base + int(r)).random() for r in t["id"]])
+            inside = low + np.minimum(np.searchsorted(shared.value, u, side="right"), len(shared.value) - 1)
+            yield pd.DataFrame({"repetition": t["id"], "mapped_ratio": inside / edges if edges else None})
 
     return spark.range(repetitions).mapInPandas(run, "repetition long, mapped_ratio double")
 
