@@ -131,23 +131,29 @@ def threshold_sensitivity(front: DataFrame, keys: tuple[str, ...], column: str,
 def nearest_match(left: DataFrame, right: DataFrame, scope: str, value: str = "imbalance", key: str = "seed") -> DataFrame:
     """For each left row the right row of nearest value, in the same seed, pooled, or with a cluster count within 1.
 
-    The pooled scope finds the neighbours in the union sorted by value, so no row meets all others.
+    The pooled and the count scope find the neighbours in the union sorted by value (in the count scope, by count and value, where a right row stands in for each
+    count that it matches), so no row meets all others.
     """
     a = left.select(F.col(key).alias("left_key"), F.col(value).alias("left_value"), F.col("cluster_count").alias("left_count"))
     b = right.select(F.col(key).alias("right_key"), F.col("solution_id").alias("right_id"), F.col(value).alias("right_value"), F.col("cluster_count").alias("right_count"))
     if scope == "same":
         j = a.join(b, F.col("left_key") == F.col("right_key"), "left")
-    elif scope == "count":
-        near = b.withColumn("_c", F.explode(F.array(F.col("right_count") - 1, F.col("right_count"), F.col("right_count") + 1)))
-        j = a.join(near, F.col("left_count") == F.col("_c"), "left").drop("_c")
-    elif scope == "pooled":
+    elif scope in ("pooled", "count"):
         # only the nearest distinct value on either side can win: both are carried along the union, range by range
-        one = b.withColumn("_k", F.row_number().over(Window.partitionBy("right_value").orderBy("right_key", "right_id"))).where("_k = 1").select(F.struct("right_value", "right_key", "right_id", "right_count").alias("r"), F.col("right_value").alias("v"))
-        both = one.withColumn("l", F.lit(None).cast("struct<left_key:bigint,left_value:double,left_count:bigint>")).unionByName(
-            a.select(F.lit(None).cast(one.schema["r"].dataType).alias("r"), F.col("left_value").alias("v"), F.struct(F.col("left_key").cast("long").alias("left_key"), "left_value", F.col("left_count").cast("long").alias("left_count")).alias("l"))
-        )
-        seen = with_carry(both, [F.col("v"), F.col("r").isNull()], "r", "below", "above").where("l IS NOT NULL")
-        j = seen.select("l.*", F.explode(F.array("below", "above")).alias("r")).select("left_key", "left_value", "left_count", "r.*")
+        counts = F.array(F.col("right_count") - 1, F.col("right_count"), F.col("right_count") + 1)
+        near = b.withColumn("_c", F.explode(counts) if scope == "count" else F.lit(0))
+        wanted = a.withColumn("_c", F.col("left_count") if scope == "count" else F.lit(0))
+        first = near.groupBy("_c", "right_value").agg(F.min(F.struct("right_key", "right_id", "right_count")).alias("m"))
+        one = first.select("_c", F.struct("right_value", "m.right_key", "m.right_id", "m.right_count", F.col("_c").alias("right_c")).alias("r"), F.col("right_value").alias("v"))
+        mine = wanted.where("left_value IS NOT NULL").select("_c", F.lit(None).cast(one.schema["r"].dataType).alias("r"), F.col("left_value").alias("v"), F.struct(*a.columns).alias("l"))
+        both = one.withColumn("l", F.lit(None).cast(mine.schema["l"].dataType)).unionByName(mine)
+        seen = with_carry(both, [F.col("_c"), F.col("v"), F.col("r").isNull()], "r", "below", "above").where("l IS NOT NULL")
+        # what was carried in from another count is no neighbour
+        own = lambda side: F.when(F.col(side)["right_c"] == F.col("_c"), F.col(side))
+        j = seen.select("l.*", F.explode(F.array(own("below"), own("above"))).alias("r")).select(*a.columns, "r.*").drop("right_c")
+        # no value is equally far from all: the first right row is taken
+        any_ = near.groupBy("_c").agg(F.min(F.struct("right_key", "right_id", "right_value", "right_count")).alias("m"))
+        j = j.unionByName(wanted.where("left_value IS NULL").join(any_, "_c", "left").select(*a.columns, "m.*"))
     else:
         raise ValueError(scope)
     gap = F.abs(F.col("left_value") - F.col("right_value"))

@@ -1,5 +1,6 @@
 """Ordinals, carries and nearest values over ranges, against plain Python; no plan has one task for all rows."""
 
+import math
 import random
 
 import pytest
@@ -63,6 +64,27 @@ def test_nearest_pooled(spark):
     assert len(none) == len(left) and not any(r.match_found for r in none)
 
 
+def test_nearest_count_meets_few_rows(spark):
+    """5,000 x 5,000 rows of three counts: a join by count makes 20 million pairs."""
+    rng = random.Random(8)
+    value = lambda: rng.choice([None, 0.5, *(rng.random() for _ in range(20))])
+    left = [(i, value(), rng.choice([3, 3, 3, 4, 9, None])) for i in range(5000)]
+    right = [(i % 900, f"s{i}", value(), rng.choice([2, 3, 4, 5, None])) for i in range(5000)]
+    a = spark.createDataFrame(left, "seed long, imbalance double, cluster_count long")
+    b = spark.createDataFrame(right, "seed long, solution_id string, imbalance double, cluster_count long")
+    got = S.nearest_match(a, b, "count")
+    text = plan(got)
+    assert "SinglePartition" not in text and "left_count" not in "".join(x for x in text.splitlines() if "Join" in x)
+    far = lambda v, w: math.inf if v is None or w is None else abs(v - w)
+    fits = {c: [r for r in right if c is not None and r[3] is not None and abs(c - r[3]) <= 1] for c in (3, 4, 9, None)}
+    rows = {r.left_key: r for r in got.collect()}
+    assert len(rows) == len(left)
+    for k, v, c in left[:1500]:
+        best = min(((far(v, w), s, i) for s, i, w, _ in fits[c]), default=(math.inf, None, None))
+        assert (math.inf if rows[k].gap is None else rows[k].gap, rows[k].right_key, rows[k].right_id) == best
+        assert rows[k].match_found == (best[2] is not None)
+
+
 def test_names_and_segments(spark):
     rng = random.Random(6)
     labels = spark.createDataFrame([(f"n{i:03d}", rng.randrange(40)) for i in range(300)], "class_id string, cluster_id long")
