@@ -52,6 +52,6 @@ def test_same_graph_and_groups(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["evo01_start_population", "evo11_groupings", "evo12_distinct_seeds"])
+@pytest.mark.parametrize("name", ["evo01_start_population", "evo05_run", "evo11_groupings", "evo12_distinct_seeds"])
 def test_no_edge_is_sent_to_a_run(spark, name):
     assert "CoGroup" not in catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
