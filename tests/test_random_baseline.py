@@ -45,3 +45,15 @@ def test_edges_none_all_or_too_many(spark):
     assert [r.mapped_ratio for r in T.random_baseline(spark, labels, 3, 2).collect()] == [1 / 3, 1 / 3]
     with pytest.raises(ValueError, match="4 edges of 3 pairs"):
         T.random_baseline(spark, labels, 4)
+
+
+def test_query_of_60000_classes(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.plans import catalog
+
+    pq.write_table(pa.table({"s_suppkey": range(60_000), "s_name": ["s"] * 60_000, "s_nationkey": [k % 25 for k in range(60_000)]}), tmp_path / "supplier.parquet")
+    monkeypatch.setattr(catalog, "semantic", lambda s, d: s.range(30_000_000))
+    shares = [r.mapped_ratio for r in catalog.queries()["stat24_random_baseline"](spark, str(tmp_path)).collect()]
+    assert len(shares) == 1000 and 0.039 < min(shares) < max(shares) < 0.041
