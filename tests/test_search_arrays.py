@@ -57,3 +57,11 @@ def test_search_holds_neighbours_and_weights_only(tmp_path):
     """evo05_run: 8 bytes at each end of an edge, and little besides."""
     g, m = dense(tmp_path, 1500)
     assert peak(lambda: X.nsga2(g, [], 3, 6, 2)) < 28 * m
+
+
+def test_seeds_read_no_weights(tmp_path):
+    """evo01_start_population: seeds and the population of them need neighbours, and edges as a stream."""
+    g, m = dense(tmp_path)
+    rng = np.random.default_rng(0)
+    used = peak(lambda: X.start_population(g, [x for _, x in X.seeds(g, X.random_labels(g.n, rng), 0)], rng, 20))
+    assert "_weights" not in vars(g) and used < 40 * m
