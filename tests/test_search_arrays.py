@@ -65,3 +65,12 @@ def test_seeds_read_no_weights(tmp_path):
     rng = np.random.default_rng(0)
     used = peak(lambda: X.start_population(g, [x for _, x in X.seeds(g, X.random_labels(g.n, rng), 0)], rng, 20))
     assert "_weights" not in vars(g) and used < 40 * m
+
+
+def test_perturbed_copies_hold_four_bytes_an_end(tmp_path):
+    """evo12_distinct_seeds."""
+    g, m = dense(tmp_path)
+    x = X.random_labels(g.n, np.random.default_rng(1))
+    got = [X.perturbed(g, x, 0.2, np.random.default_rng(k)) for k in range(3)]
+    assert all(len(y) == g.n for y in got) and "_weights" not in vars(g)
+    assert g._arrays[0].nbytes == 8 * m
