@@ -3,11 +3,25 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark import TaskContext
 
 from tessera.operators import search as X
+from tessera.plans import catalog
+from tessera.sources.shared import Tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def tables_cut(monkeypatch):
+    """Names of the tables that a query writes."""
+    names, cut = [], Tables.cut
+    monkeypatch.setattr(Tables, "cut", lambda self, df, name="part": names.append(name) or cut(self, df, name))
+    return names
 
 
 def stored(folder, n, s, t, w):
@@ -74,3 +88,9 @@ def test_perturbed_copies_hold_four_bytes_an_end(tmp_path):
     got = [X.perturbed(g, x, 0.2, np.random.default_rng(k)) for k in range(3)]
     assert all(len(y) == g.n for y in got) and "_weights" not in vars(g)
     assert g._arrays[0].nbytes == 8 * m
+
+
+def test_sweep_writes_no_stream_by_weight(spark, tables_cut):
+    """clu04_sweep."""
+    catalog.queries()["clu04_sweep"](spark, SF)
+    assert "by-ends" in tables_cut and "by-weight" not in tables_cut
