@@ -94,3 +94,15 @@ def test_sweep_writes_no_stream_by_weight(spark, tables_cut):
     """clu04_sweep."""
     catalog.queries()["clu04_sweep"](spark, SF)
     assert "by-ends" in tables_cut and "by-weight" not in tables_cut
+
+
+def test_a_task_for_each_run(spark):
+    """clu05_seed_stability: no task has two runs while others have none."""
+    nodes = spark.createDataFrame([("a",), ("b",)], "class_id string")
+    edges = spark.createDataFrame([("a", "b", 1.0)], "source string, target string, w double")
+
+    def run(ids, g, p):
+        return pd.DataFrame({"seed": [int(p["seed"])], "task": [TaskContext.get().partitionId()]})
+
+    rows = X.per_run(nodes, edges, "w", spark.range(30).union(spark.range(3)).withColumnRenamed("id", "seed"), ["seed"], run, "seed long, task long").collect()
+    assert sorted(r.seed for r in rows) == list(range(30)) == sorted(r.task for r in rows)
