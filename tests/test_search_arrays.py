@@ -106,3 +106,39 @@ def test_a_task_for_each_run(spark):
 
     rows = X.per_run(nodes, edges, "w", spark.range(30).union(spark.range(3)).withColumnRenamed("id", "seed"), ["seed"], run, "seed long, task long").collect()
     assert sorted(r.seed for r in rows) == list(range(30)) == sorted(r.task for r in rows)
+
+
+def test_moves_as_with_a_sort():
+    """evo15_same_seed: links of a node are summed without a sort, and of equal communities the smallest is taken, as before."""
+    rng = np.random.default_rng(8)
+    s, t = np.triu_indices(50, 1)
+    keep = rng.random(len(s)) < 0.3
+    g = X.Graph(50, s[keep], t[keep], rng.integers(1, 4, int(keep.sum())).astype(float))
+
+    def moved(rng, within):
+        labels, total, queue, head = np.arange(50), g.degree.copy(), rng.permutation(50).tolist(), 0
+        while head < len(queue):
+            i, head = queue[head], head + 1
+            to, w = g.near(i)
+            to, w = to[within[to] == within[i]], w[within[to] == within[i]]
+            if not len(to):
+                continue
+            total[labels[i]] -= g.degree[i]
+            options, back = np.unique(np.append(labels[to], labels[i]), return_inverse=True)
+            gain = np.bincount(back, np.append(w, 0.0)) - g.degree[i] * total[options] / (2 * g.total)
+            new = options[np.argmax(gain)] if gain.max() > gain[np.searchsorted(options, labels[i])] + 1e-12 else labels[i]
+            total[new] += g.degree[i]
+            if new != labels[i]:
+                labels[i] = new
+                queue += [j for j in to[labels[to] != new].tolist() if j not in queue[head:]]
+        return labels
+
+    for seed in range(4):
+        for within in (np.zeros(50, int), np.arange(50) % 3):
+            assert X.local_moves(g, np.arange(50), 1.0, np.random.default_rng(seed), within).tolist() == moved(np.random.default_rng(seed), within).tolist()
+
+
+def test_same_seed_writes_no_stream_by_weight(spark, tables_cut):
+    """evo15_same_seed."""
+    catalog.queries()["evo15_same_seed"](spark, SF)
+    assert tables_cut.count("by-ends") == 2 and "by-weight" not in tables_cut
