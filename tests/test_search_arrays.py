@@ -142,3 +142,9 @@ def test_same_seed_writes_no_stream_by_weight(spark, tables_cut):
     """evo15_same_seed."""
     catalog.queries()["evo15_same_seed"](spark, SF)
     assert tables_cut.count("by-ends") == 2 and "by-weight" not in tables_cut
+
+
+def test_strongest_edges_write_no_ends(spark, tables_cut):
+    """clu03_strongest_edges: its runs read a stream by weight only."""
+    catalog.queries()["clu03_strongest_edges"](spark, SF)
+    assert "by-weight" in tables_cut and "by-ends" not in tables_cut
