@@ -144,6 +144,20 @@ def test_same_seed_writes_no_stream_by_weight(spark, tables_cut):
     assert tables_cut.count("by-ends") == 2 and "by-weight" not in tables_cut
 
 
+@pytest.mark.parametrize("cells", [0, X.CELLS])
+def test_leiden_holds_neighbours_and_weights_only(tmp_path, monkeypatch, cells):
+    """evo13_seeds: coarser graphs are summed some edges at a time."""
+    monkeypatch.setattr(X, "CELLS", cells)
+    monkeypatch.setattr(X, "SUMMED", 1 << 14)
+    g, m = dense(tmp_path, 1500)
+    found = []
+    assert peak(lambda: found.append(X.leiden(g, seed=1))) < 32 * m
+    part = np.arange(1500) % 40
+    small = g.merged(part, 40)
+    assert small.total == g.total and len(small.s) == 40 * 41 // 2
+    assert np.allclose(small.degree, np.bincount(part, g.degree))
+
+
 def test_strongest_edges_write_no_ends(spark, tables_cut):
     """clu03_strongest_edges: its runs read a stream by weight only."""
     catalog.queries()["clu03_strongest_edges"](spark, SF)
