@@ -144,6 +144,15 @@ def test_same_seed_writes_no_stream_by_weight(spark, tables_cut):
     assert tables_cut.count("by-ends") == 2 and "by-weight" not in tables_cut
 
 
+def test_a_generation_goes_over_the_edges_once(tmp_path, monkeypatch):
+    """evo08_nsga2: the children of a generation are compared side by side."""
+    g, _ = dense(tmp_path, 60)
+    seen, inside = [], X.Graph.inside
+    monkeypatch.setattr(X.Graph, "inside", lambda self, xs: seen.append(len(xs)) or inside(self, xs))
+    X.nsga2(g, [], 3, 20, 5)
+    assert len(seen) == 6 and max(seen) == 20
+
+
 @pytest.mark.parametrize("cells", [0, X.CELLS])
 def test_leiden_holds_neighbours_and_weights_only(tmp_path, monkeypatch, cells):
     """evo13_seeds: coarser graphs are summed some edges at a time."""
