@@ -208,13 +208,18 @@ def hypergeometric_cdf(total: int, good: int, draws: int) -> tuple[int, np.ndarr
 
 
 def random_baseline(spark, labels: np.ndarray, edges: int, repetitions: int = 1000, base: int = 0) -> DataFrame:
-    """Share of edges within one label over random graphs: one row a repetition.
+    """`random_shares` of the labels given."""
+    sizes = np.unique(np.asarray(labels), return_counts=True)[1]
+    return random_shares(spark, len(labels), int((sizes * (sizes - 1) // 2).sum()), edges, repetitions, base)
+
+
+def random_shares(spark, n: int, good: int, edges: int, repetitions: int = 1000, base: int = 0) -> DataFrame:
+    """Share of edges within one label over random graphs of n classes, good pairs of which share theirs: one row a repetition.
 
     Of all pairs of classes, a uniform G(n, m) graph (`random_edges`) draws m without replacement, so its edges within a label are hypergeometric. A
     repetition draws that number by its distribution function, and no edge: memory and time don't grow with the edges of all graphs.
     """
-    n, sizes = len(labels), np.unique(np.asarray(labels), return_counts=True)[1]
-    total, good = n * (n - 1) // 2, int((sizes * (sizes - 1) // 2).sum())
+    total = n * (n - 1) // 2
     if edges > total:
         raise ValueError(f"{edges} edges of {total} pairs")
     low, cdf = hypergeometric_cdf(total, good, edges) if edges else (0, np.ones(1))
