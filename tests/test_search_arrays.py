@@ -89,6 +89,41 @@ def test_perturbed_copies_hold_four_bytes_an_end(tmp_path):
     assert [len(y) for y in got] == [g.n] * 3 and used < 16 * m
 
 
+def test_seeds_hold_no_edges(tmp_path):
+    """evo12_distinct_seeds: neighbours are read at the places that the copies ask for, so a run holds nothing of the size of its graph."""
+    g, m = dense(tmp_path, 2000)
+    rng, got = np.random.default_rng(0), []
+    used = peak(lambda: got.extend(X.seeds(g, X.random_labels(g.n, rng), 0)))
+    assert len(got) >= 16 and "_arrays" not in vars(g) and "_weights" not in vars(g) and used < 4 * m
+
+
+@pytest.mark.parametrize("batch", [1, 50, 1 << 16])
+def test_perturbed_as_node_by_node(tmp_path, monkeypatch, batch):
+    """evo12_distinct_seeds: the same copies as with the neighbours of each node at hand; loops, repeated pairs, nodes without edges, runs of several batches and files."""
+    monkeypatch.setattr(X, "CHUNK", batch)
+    rng = np.random.default_rng(7)
+    n, shares = 40, [0.05, 0.3, 1.0, 1.0]
+    s, t = np.sort(np.concatenate((rng.integers(3, n - 2, (2, 300)), np.full((2, 4), 5)), axis=1), axis=0)
+    w, labels = rng.integers(1, 9, len(s)).astype(float), rng.integers(0, 9, n)
+    plain, g = X.Graph(n, s, t, w), stored(tmp_path, n, s, t, w)
+    whole = pq.read_table(tmp_path / "ends" / "part-0.parquet")
+    for k, at in enumerate((0, 111, 300)):
+        pq.write_table(whole.slice(at, (111, 189, whole.num_rows)[k]), tmp_path / "ends" / f"part-{k}.parquet")
+    assert g.bounds.tolist() == plain.bounds.tolist() == [0, *np.cumsum(np.bincount(np.concatenate((s, t)), minlength=n))]
+    held = X.StoredGraph(n, str(tmp_path / "ends"), None)
+    held._arrays  # noqa: B018
+    for graph in (g, plain, held):
+        one, rng = np.random.default_rng(3), np.random.default_rng(3)
+        for share, x in zip(shares, X.perturbed_copies(graph, labels, shares, rng), strict=True):
+            y = labels.copy()
+            for i in one.choice(n, max(1, round(share * n)), replace=False):
+                if len(to := held.neighbours(int(i)) if graph is not plain else plain.neighbours(int(i))):
+                    y[i] = labels[one.choice(to)]
+            assert x.tolist() == X.canonical(y).tolist()
+        assert one.integers(1 << 40) == rng.integers(1 << 40)
+    assert "_arrays" not in vars(g)
+
+
 def test_sweep_writes_no_stream_by_weight(spark, tables_cut):
     """clu04_sweep."""
     catalog.queries()["clu04_sweep"](spark, SF)
