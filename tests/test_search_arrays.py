@@ -124,6 +124,28 @@ def test_perturbed_as_node_by_node(tmp_path, monkeypatch, batch):
     assert "_arrays" not in vars(g)
 
 
+@pytest.mark.parametrize(("most", "join"), [(1 << 17, "BroadcastHashJoin"), (2, "SortMergeJoin")])
+def test_edges_are_numbered_without_a_shuffle(spark, monkeypatch, most, join):
+    """evo12_distinct_seeds: the numbers of few classes go to the edges, the edges nowhere; those of many are joined by class."""
+    plans, cut = {}, Tables.cut
+    monkeypatch.setattr(Tables, "cut", lambda self, df, name="part": plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or cut(self, df, name))
+    monkeypatch.setattr(X, "BROADCAST", most)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "class_id string")
+        edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("c", "unknown", 1.0)], "source string, target string, w double")
+
+        def run(ids, g, p):
+            return pd.DataFrame({"s": g.s, "t": g.t, "w": g.w})
+
+        rows = X.per_run(nodes, edges, "w", spark.range(1).withColumnRenamed("id", "seed"), ["seed"], run, "s long, t long, w double").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, rows)) == [(0, 1, 1.0), (1, 2, 2.0)]
+    assert plans["numbered"].count(join) >= 2 and ("SortMergeJoin" in plans["numbered"]) == (join == "SortMergeJoin")
+
+
 def test_sweep_writes_no_stream_by_weight(spark, tables_cut):
     """clu04_sweep."""
     catalog.queries()["clu04_sweep"](spark, SF)
