@@ -207,8 +207,20 @@ def hypergeometric_cdf(total: int, good: int, draws: int) -> tuple[int, np.ndarr
     return low, np.cumsum(mass) / mass.sum()
 
 
-def random_baseline(spark, labels: np.ndarray, edges: int, repetitions: int = 1000, base: int = 0) -> DataFrame:
+class LabelSizes:
+    """Labels of n classes, known by their sizes only: good pairs of classes share theirs."""
+
+    def __init__(self, n: int, good: int):
+        self.n, self.good = n, good
+
+    def __len__(self) -> int:
+        return self.n
+
+
+def random_baseline(spark, labels: np.ndarray | LabelSizes, edges: int, repetitions: int = 1000, base: int = 0) -> DataFrame:
     """`random_shares` of the labels given."""
+    if isinstance(labels, LabelSizes):
+        return random_shares(spark, labels.n, labels.good, edges, repetitions, base)
     sizes = np.unique(np.asarray(labels), return_counts=True)[1]
     return random_shares(spark, len(labels), int((sizes * (sizes - 1) // 2).sum()), edges, repetitions, base)
 
